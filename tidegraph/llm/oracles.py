@@ -32,3 +32,62 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
             OR word_chars > 20 * n_words OR word_chars < 2 * n_words) AS kept
 FROM base
 """
+
+MIX = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5(concat_ws(':', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))), 1, 12))::BIGINT AS u
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+  FROM d GROUP BY source),
+o AS (
+  SELECT *, row_number() OVER (ORDER BY 3 * source_size / weight::DOUBLE, source) AS k,
+         (SELECT sum(source_size) FROM s)::DOUBLE AS total FROM s),
+steps AS (
+  SELECT *, coalesce(sum(3 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fixed,
+         sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM o),
+lv AS (
+  SELECT arg_min((total - fixed) / free, k) AS level FROM steps
+  WHERE 3 * source_size >= weight * ((total - fixed) / free)),
+t AS (
+  SELECT source, source_size, least(3.0::DOUBLE * source_size, weight * coalesce(level, 0)::DOUBLE) AS target FROM s CROSS JOIN lv),
+r AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(least(round(target / source_size, 9), 3))::BIGINT ELSE 0 END AS whole FROM t),
+run AS (
+  SELECT doc_id, d.source, size, u, source_size, target, whole, target - whole * source_size AS rest,
+         sum(size) OVER (PARTITION BY d.source ORDER BY u) AS upto
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+lim AS (
+  SELECT source, coalesce(max(u) FILTER (rest > 0 AND size > 0 AND upto - size / 2.0 <= rest), -1) AS last FROM run GROUP BY source)
+SELECT doc_id, run.source, size, source_size, target,
+       whole + (whole < 3 AND size > 0 AND u <= last)::BIGINT AS n_copies,
+       size * (whole + (whole < 3 AND size > 0 AND u <= last)::BIGINT) AS taken
+FROM run JOIN lim ON run.source IS NOT DISTINCT FROM lim.source
+"""
+
+DECONTAMINATE = r"""
+WITH norm AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT item, w, least(len(w), 13) AS n, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM item WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM win),
+dw AS (
+  SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM norm CROSS JOIN lens WHERE len(w) >= n)),
+hit AS (SELECT r, i, dw.n, item FROM dw JOIN win ON dw.n = win.n AND dw.g = win.g),
+cov AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
+its AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(cov.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(cov.n, 0) > 0 AND 20 * coalesce(cov.n, 0) >= len(w) AS contaminated
+FROM norm LEFT JOIN cov USING (r) LEFT JOIN its USING (r)
+"""

@@ -1,12 +1,18 @@
 """The operators' registered queries and their SQL."""
 
 from tidegraph.llm import oracles
+from tidegraph.llm.op4_mix import op4_mix
+from tidegraph.llm.op7_decontaminate import op7_decontaminate
 from tidegraph.llm.op8_rules import op8_rules
 
 QUERIES = {
+    "op4_mix": op4_mix,
+    "op7_decontaminate": op7_decontaminate,
     "op8_rules": op8_rules,
 }
 
 ORACLES = {
+    "op4_mix": oracles.MIX,
+    "op7_decontaminate": oracles.DECONTAMINATE,
     "op8_rules": oracles.RULES,
 }
