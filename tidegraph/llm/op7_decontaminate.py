@@ -54,6 +54,11 @@ def grams_of(wins: DataFrame) -> DataFrame:
     return cut.select(F.explode(found).alias("g"), "length", "win").select("g.gram", "g.ahead", "length", "win")
 
 
+def _gram_at(words: Column, m: int):
+    """A lambda of one parameter; a second one would get the element's index."""
+    return lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, F.lit(m))).alias("gram"))
+
+
 def doc_grams(words: Column, lengths: list[int]) -> Column:
     """array<struct<at, gram>>: what the scan looks up for windows of the given lengths."""
     size = F.size(words)
@@ -62,7 +67,7 @@ def doc_grams(words: Column, lengths: list[int]) -> Column:
         s = stride(n)
         m = n - s + 1
         places = F.when(size >= m, F.sequence(F.lit(0), size - m, F.lit(s))).otherwise(F.array().cast("array<int>"))
-        each.append(F.transform(places, lambda i, m=m: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, F.lit(m))).alias("gram"))))
+        each.append(F.transform(places, _gram_at(words, m)))
     return F.concat(*each) if len(each) > 1 else each[0]
 
 
