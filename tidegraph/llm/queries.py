@@ -1,6 +1,7 @@
 """The operators' registered queries and their SQL."""
 
 from tidegraph.llm import oracles
+from tidegraph.llm.op10_license import op10_license
 from tidegraph.llm.op4_mix import op4_mix
 from tidegraph.llm.op7_decontaminate import op7_decontaminate
 from tidegraph.llm.op8_rules import op8_rules
@@ -9,6 +10,7 @@ QUERIES = {
     "op4_mix": op4_mix,
     "op7_decontaminate": op7_decontaminate,
     "op8_rules": op8_rules,
+    "op10_license": op10_license,
 }
 
 ORACLES = {
