@@ -2,11 +2,13 @@
 
 from tidegraph.llm import oracles
 from tidegraph.llm.op10_license import op10_license
+from tidegraph.llm.op3_tokens import op3_tokens
 from tidegraph.llm.op4_mix import op4_mix
 from tidegraph.llm.op7_decontaminate import op7_decontaminate
 from tidegraph.llm.op8_rules import op8_rules
 
 QUERIES = {
+    "op3_tokens": op3_tokens,
     "op4_mix": op4_mix,
     "op7_decontaminate": op7_decontaminate,
     "op8_rules": op8_rules,

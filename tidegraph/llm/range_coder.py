@@ -1,0 +1,293 @@
+"""Adaptive context-mixing range coder for token ids, many blocks side by side.
+
+A block of ids is coded on its own: it lists the ids that occur in it, starts a fresh model
+and carries a crc32. Places in that list are the symbols. Order 2 and order 1 each remember
+the symbol that last followed their context and how often it was right; order 0 counts the
+symbols. For each symbol one binary decision says whether it is the remembered one; its
+probability is the logistic mix of what the three orders have learned, with weights that
+adapt by their errors. A miss codes the symbol by the order-0 counts, whose sums are renewed
+every RENEW symbols. All arithmetic is on integers, so every machine decodes alike.
+
+Blocks are the lanes of NumPy vectors: step t codes the t-th symbol of every block.
+"""
+
+from __future__ import annotations
+
+import zlib
+from dataclasses import dataclass
+
+import numpy as np
+
+BLOCK = 4096
+LANES = 1536
+RENEW = 128
+_SLOTS2 = 8192
+
+_U = np.uint64
+_TOP, _BOT = _U(1 << 48), _U(1 << 32)
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """stretch: 12-bit probability -> logit * 256; squash: logit * 256 + 2047 -> 12-bit probability."""
+    points = [1, 2, 3, 6, 10, 16, 27, 45, 73, 120, 194, 310, 488, 747, 1101, 1546, 2047, 2549, 2994, 3348, 3607, 3785, 3901, 3975, 4022, 4050, 4068, 4079, 4085, 4089, 4092, 4093, 4094]
+    x = np.arange(-2047, 2048)
+    left, weight = (x + 2048) >> 7, x & 127
+    p = np.array(points)
+    squash = (p[left] * (128 - weight) + p[np.minimum(left + 1, 32)] * weight + 64) >> 7
+    squash = np.clip(squash, 1, 4095)
+    stretch = np.searchsorted(squash, np.arange(4096)) - 2047
+    return np.clip(stretch, -2047, 2047).astype(np.int64), squash.astype(np.int64)
+
+
+_STRETCH, _SQUASH = _tables()
+
+
+class _Model:
+    """The mixing model of `n` lanes over at most `size` symbols each."""
+
+    def __init__(self, n: int, sizes: np.ndarray):
+        self.size = int(sizes.max())
+        self.lane = np.arange(n)
+        self.next1, self.sure1 = np.full(n * (self.size + 1), -1, np.int32), np.zeros(n * (self.size + 1), np.uint8)
+        self.next2, self.sure2 = np.full(n * _SLOTS2, -1, np.int32), np.zeros(n * _SLOTS2, np.uint8)
+        self.p = [np.full(n * k, 2048, np.int64) for k in (16, 16, 16)]
+        self.weight = [np.full(n, 24000, np.int64) for _ in range(3)]
+        self.count = (np.arange(self.size)[None, :] < sizes[:, None]).astype(np.int32)
+        self.flat = self.count.reshape(-1)
+        self.prev1, self.prev2 = np.full(n, self.size, np.int64), np.full(n, self.size, np.int64)
+        self.cum = np.zeros((n, self.size + 1), np.int32)
+        self.renew()
+
+    def renew(self) -> None:
+        np.cumsum(self.count, axis=1, out=self.cum[:, 1:])
+        self.flat_cum = self.cum.reshape(-1)
+        self.total = self.cum[:, -1].astype(np.uint64)
+
+    def predict(self, a: int) -> None:
+        """For the first `a` lanes: guess (-1: none) and its probability of 4096."""
+        lane = self.lane[:a]
+        self.at1 = lane * (self.size + 1) + self.prev1[:a]
+        self.at2 = lane * _SLOTS2 + ((self.prev1[:a] * 40503 + self.prev2[:a] * 30011) & (_SLOTS2 - 1))
+        g1, g2 = self.next1[self.at1], self.next2[self.at2]
+        self.g1, self.g2 = g1, g2
+        self.guess = np.where(g2 >= 0, g2, g1)
+        alike = g1 == self.guess
+        seen = self.flat[lane * self.size + np.maximum(self.guess, 0)]
+        bits = np.minimum(np.frexp(seen.astype(np.float64))[1], 15)
+        k1, k2 = self.sure1[self.at1].astype(np.int64), self.sure2[self.at2].astype(np.int64)
+        self.k1, self.k2 = k1, k2
+        base = lane * 16
+        self.ctx = (base + k2 * 2 + alike, base + k1 * 2 + alike, base + bits)
+        self.st = [_STRETCH[p[c]] for p, c in zip(self.p, self.ctx, strict=True)]
+        dot = sum(w[:a] * s for w, s in zip(self.weight, self.st, strict=True)) >> 16
+        self.hit_p = _SQUASH[np.clip(dot, -2047, 2047) + 2047]
+
+    def update(self, a: int, symbol: np.ndarray) -> None:
+        hit = symbol == self.guess
+        error = np.where(hit, 4096 - self.hit_p, -self.hit_p)
+        error[self.guess < 0] = 0
+        for i in range(3):
+            p, c = self.p[i], self.ctx[i]
+            now = p[c]
+            p[c] = np.clip(now + ((hit * 4096 - now) >> 5), 16, 4080)
+            self.weight[i][:a] += (self.st[i] * error * 6) >> 10
+        for table, sure, at, guess, k in ((self.next1, self.sure1, self.at1, self.g1, self.k1), (self.next2, self.sure2, self.at2, self.g2, self.k2)):
+            right = guess == symbol
+            lost = ~right & (k <= 1)
+            sure[at] = np.where(right, np.minimum(k + 1, 7), np.where(lost, 1, k >> 1))
+            table[at] = np.where(lost, symbol, guess)
+        self.flat[self.lane[:a] * self.size + symbol] += 1
+        self.prev2[:a], self.prev1[:a] = self.prev1[:a], symbol
+
+
+class _Writer:
+    def __init__(self, n: int, room: int):
+        self.low, self.range = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
+        self.out, self.used = np.zeros((n, room), np.uint16), np.zeros(n, np.int64)
+
+    def put(self, lanes: np.ndarray, low: np.ndarray, span: np.ndarray) -> None:
+        """Narrow the lanes' intervals to [low, low + span) and emit settled digits."""
+        todo = np.arange(len(lanes))
+        while True:
+            settled = (low[todo] ^ (low[todo] + span[todo])) < _TOP
+            tight = ~settled & (span[todo] < _BOT)
+            if tight.any():
+                t = todo[tight]
+                span[t] = (_U(0) - low[t]) & (_BOT - _U(1))
+            todo = todo[settled | tight]
+            if not len(todo):
+                break
+            at = lanes[todo]
+            self.out[at, self.used[at]] = (low[todo] >> _U(48)).astype(np.uint16)
+            self.used[at] += 1
+            low[todo] <<= _U(16)
+            span[todo] <<= _U(16)
+        self.low[lanes], self.range[lanes] = low, span
+
+    def finish(self) -> list[bytes]:
+        for shift in (48, 32, 16, 0):
+            self.out[np.arange(len(self.low)), self.used] = ((self.low >> _U(shift)) & _U(0xFFFF)).astype(np.uint16)
+            self.used += 1
+        return [self.out[i, : self.used[i]].astype("<u2").tobytes() for i in range(len(self.low))]
+
+
+class _Reader:
+    def __init__(self, digits: list[np.ndarray]):
+        n = len(digits)
+        self.data = np.zeros((n, max(map(len, digits)) + 8), np.uint16)
+        for i, d in enumerate(digits):
+            self.data[i, : len(d)] = d
+        self.low, self.range = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
+        self.code = np.zeros(n, np.uint64)
+        for k in range(4):
+            self.code = (self.code << _U(16)) | self.data[:, k].astype(np.uint64)
+        self.used = np.full(n, 4)
+
+    def take(self, lanes: np.ndarray, low: np.ndarray, span: np.ndarray) -> None:
+        code = self.code[lanes]
+        todo = np.arange(len(lanes))
+        while True:
+            settled = (low[todo] ^ (low[todo] + span[todo])) < _TOP
+            tight = ~settled & (span[todo] < _BOT)
+            if tight.any():
+                t = todo[tight]
+                span[t] = (_U(0) - low[t]) & (_BOT - _U(1))
+            todo = todo[settled | tight]
+            if not len(todo):
+                break
+            at = lanes[todo]
+            code[todo] = (code[todo] << _U(16)) | self.data[at, self.used[at]].astype(np.uint64)
+            self.used[at] += 1
+            low[todo] <<= _U(16)
+            span[todo] <<= _U(16)
+        self.low[lanes], self.range[lanes], self.code[lanes] = low, span, code
+
+
+@dataclass
+class Block:
+    """One coded block."""
+
+    n: int
+    crc: int
+    symbols: bytes
+    payload: bytes
+
+
+def _crc(ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes())
+
+
+def _pack(ids: np.ndarray) -> bytes:
+    """The block's ids in rising order: gaps as bytes, 255 and four bytes for larger ones."""
+    gaps = np.diff(ids, prepend=0)
+    if (gaps < 255).all():
+        return gaps.astype(np.uint8).tobytes()
+    out = bytearray()
+    for g in gaps.tolist():
+        out += bytes([g]) if g < 255 else b"\xff" + g.to_bytes(4, "little")
+    return bytes(out)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    if b"\xff" not in data:
+        return np.cumsum(np.frombuffer(data, np.uint8), dtype=np.int64)
+    gaps, i = [], 0
+    while i < len(data):
+        if data[i] == 255:
+            gaps.append(int.from_bytes(data[i + 1 : i + 5], "little"))
+            i += 5
+        else:
+            gaps.append(data[i])
+            i += 1
+    return np.cumsum(np.array(gaps, np.int64))
+
+
+def encode_blocks(ids: np.ndarray) -> list[Block]:
+    """Code ids (each below 2**32) in blocks of BLOCK."""
+    out: list[Block] = []
+    cuts = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
+    for first in range(0, len(cuts), LANES):
+        out += _encode_lanes(cuts[first : first + LANES])
+    return out
+
+
+def _encode_lanes(cuts: list[np.ndarray]) -> list[Block]:
+    listed = [np.unique(c, return_inverse=True) for c in cuts]
+    lengths = np.array([len(c) for c in cuts])  # only the last may be shorter
+    steps = int(lengths[0])
+    symbols = np.zeros((steps, len(cuts)), np.int32)
+    for i, (_, inverse) in enumerate(listed):
+        symbols[: len(inverse), i] = inverse
+    model = _Model(len(cuts), np.array([len(x[0]) for x in listed]))
+    writer = _Writer(len(cuts), 2 * steps + 8)
+    for t in range(steps):
+        a = len(cuts) if t < lengths[-1] else len(cuts) - 1
+        if t and t % RENEW == 0:
+            model.renew()
+        model.predict(a)
+        s = symbols[t, :a].astype(np.int64)
+        hit = s == model.guess
+        asked = np.flatnonzero(model.guess >= 0)
+        r = writer.range[asked] >> _U(12)
+        cut = r * model.hit_p[asked].astype(np.uint64)
+        yes = hit[asked]
+        writer.put(asked, np.where(yes, writer.low[asked], writer.low[asked] + cut), np.where(yes, cut, r * (_U(4096) - model.hit_p[asked].astype(np.uint64))))
+        miss = np.flatnonzero(~hit)
+        if len(miss):
+            at = miss * (model.size + 1) + s[miss]
+            below, above = model.flat_cum[at].astype(np.uint64), model.flat_cum[at + 1].astype(np.uint64)
+            r = writer.range[miss] // model.total[miss]
+            writer.put(miss, writer.low[miss] + r * below, r * (above - below))
+        model.update(a, s)
+    return [Block(len(c), _crc(c), _pack(x[0]), p) for c, x, p in zip(cuts, listed, writer.finish(), strict=True)]
+
+
+def decode_blocks(blocks: list[Block]) -> np.ndarray:
+    """The ids of consecutive blocks of one file; a block that fails its crc32 raises ValueError."""
+    parts = [_decode_lanes(blocks[i : i + LANES]) for i in range(0, len(blocks), LANES)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def _decode_lanes(blocks: list[Block]) -> np.ndarray:
+    listed = [_unpack(b.symbols) for b in blocks]
+    lengths = np.array([b.n for b in blocks])
+    steps, n = int(lengths[0]), len(blocks)
+    model = _Model(n, np.array([len(x) for x in listed]))
+    reader = _Reader([np.frombuffer(b.payload, "<u2") for b in blocks])
+    symbols = np.zeros((steps, n), np.int32)
+    levels = max(1, int(model.size).bit_length())
+    for t in range(steps):
+        a = n if t < lengths[-1] else n - 1
+        if t and t % RENEW == 0:
+            model.renew()
+        model.predict(a)
+        s = model.guess.astype(np.int64)
+        asked = np.flatnonzero(model.guess >= 0)
+        r = reader.range[asked] >> _U(12)
+        cut = r * model.hit_p[asked].astype(np.uint64)
+        yes = reader.code[asked] - reader.low[asked] < cut
+        reader.take(asked, np.where(yes, reader.low[asked], reader.low[asked] + cut), np.where(yes, cut, r * (_U(4096) - model.hit_p[asked].astype(np.uint64))))
+        missed = np.ones(a, bool)
+        missed[asked[yes]] = False
+        miss = np.flatnonzero(missed)
+        if len(miss):
+            r = reader.range[miss] // model.total[miss]
+            value = np.minimum((reader.code[miss] - reader.low[miss]) // r, model.total[miss] - _U(1)).astype(np.int64)
+            base = miss * (model.size + 1)
+            lo, hi = np.zeros(len(miss), np.int64), np.full(len(miss), model.size, np.int64)
+            for _ in range(levels):
+                mid = (lo + hi + 1) >> 1
+                up = (model.flat_cum[base + mid] <= value) & (lo < hi)
+                lo, hi = np.where(up, mid, lo), np.where(up, hi, np.maximum(mid - 1, lo))
+            s[miss] = lo
+            below, above = model.flat_cum[base + lo].astype(np.uint64), model.flat_cum[base + lo + 1].astype(np.uint64)
+            reader.take(miss, reader.low[miss] + r * below, r * (above - below))
+        model.update(a, s)
+        symbols[t, :a] = s
+    out = []
+    for i, b in enumerate(blocks):
+        ids = listed[i][symbols[: b.n, i]]
+        if _crc(ids) != b.crc:
+            raise ValueError(f"block {i}: checksum differs")
+        out.append(ids)
+    return np.concatenate(out)
