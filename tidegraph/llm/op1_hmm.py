@@ -109,7 +109,8 @@ class Vocabulary:
         ends = counts.where(F.col("word") == END).select("n").collect()
         self.ends = ends[0]["n"] if ends else 0
         words = counts.where(F.col("word") != END)
-        top = words.orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas().sort_values("word")
+        # written first, as a plain collect of the top rows would send every partition's own top to the driver
+        top = materialise(words.orderBy(F.desc("n"), "word").limit(FREQUENT), "top").toPandas().sort_values("word")
         self.word, self.count = top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
         self.class_tokens, self.class_words = np.zeros(SUFFIXES), np.zeros(SUFFIXES)
         for r in words.groupBy("suffix").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
