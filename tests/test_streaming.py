@@ -38,11 +38,9 @@ def test_keyed_state_and_windows(spark, tmp_path):
     rows = [(1, 5, 1.0, 10, 0), (1, 6, 1.0, 20, 1), (1, 5, 9.0, 5, 2), (1, 7, 1.0, 30, 3), (2, 8, 1.0, 1, 4)]
     _write(spark, tmp_path / "in", rows, "a")
     stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    query = ingest.newest_edges(stream, 2, 60_000).writeStream.outputMode("update").format("memory").queryName("newest").option("checkpointLocation", f"file://{tmp_path}/c1").start()
-    query.processAllAvailable()
-    query.stop()
-    assert sorted((r["src"], r["dst"]) for r in spark.table("newest").collect()) == [(1, 6), (1, 7), (2, 8)]
-    query = ingest.event_counts(stream).writeStream.outputMode("update").format("memory").queryName("counts").option("checkpointLocation", f"file://{tmp_path}/c2").start()
-    query.processAllAvailable()
-    query.stop()
+    query = ingest.latest_edges(stream).writeStream.outputMode("update").format("memory").queryName("newest").option("checkpointLocation", f"file://{tmp_path}/c1").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert sorted((r["src"], r["dst"], r["weight"]) for r in spark.table("newest").collect()) == [(1, 5, 1.0), (1, 6, 1.0), (1, 7, 1.0), (2, 8, 1.0)]
+    query = ingest.event_counts(stream).writeStream.outputMode("update").format("memory").queryName("counts").option("checkpointLocation", f"file://{tmp_path}/c2").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
     assert spark.table("counts").agg(F.sum("n")).first()[0] == 5

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidegraph.plans.graph import Relation
 
@@ -44,36 +42,13 @@ def ingest(stream: DataFrame, sink: TableSink, checkpoint: str) -> StreamingQuer
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).start()
 
 
-NEWEST_OUT = "src long, dst long, weight double, ts long"
-NEWEST_STATE = "dst array<long>, weight array<double>, ts array<long>"
+def latest_edges(stream: DataFrame) -> DataFrame:
+    """Each pair's latest edge by (ts, seq) as keyed state, emitted whenever it changes (output mode update).
 
-
-def newest_edges(stream: DataFrame, cap: int, ttl_ms: int) -> DataFrame:
-    """Each source's newest `cap` destinations as keyed state, emitted whenever the source changes.
-
-    An edge that comes later than its stored time is ignored, one with no newer edges for ttl_ms
-    (processing time) is forgotten with its source.
+    An edge that comes later than its stored time changes nothing; no watermark drops it.
     """
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        have = dict(zip(state.get[0], zip(state.get[1], state.get[2], strict=True), strict=True)) if state.exists else {}
-        have = {int(k): v for k, v in have.items()}
-        for batch in batches:
-            for row in batch.sort_values(["ts", "seq"]).itertuples():
-                dst = int(row.dst)
-                if dst in have and row.ts < have[dst][1]:
-                    continue
-                have[dst] = (float(row.weight), int(row.ts))
-        kept = sorted(have.items(), key=lambda x: (-x[1][1], x[0]))[:cap]
-        state.update(([k for k, _ in kept], [v[0] for _, v in kept], [v[1] for _, v in kept]))
-        state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame({"src": [key[0]] * len(kept), "dst": [k for k, _ in kept], "weight": [v[0] for _, v in kept], "ts": [v[1] for _, v in kept]})
-
-    own = stream.where(F.col("dst") != 0).groupBy("src")
-    return own.applyInPandasWithState(update, NEWEST_OUT, NEWEST_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    last = stream.where(F.col("dst") != 0).groupBy("src", "dst").agg(F.max(F.struct("ts", "seq", "weight")).alias("e"))
+    return last.select("src", "dst", "e.weight", "e.ts", "e.seq")
 
 
 def event_counts(stream: DataFrame, late: str = "1 day", window: str = "1 day") -> DataFrame:
