@@ -14,12 +14,12 @@ def write_bytes(uri: str, data: bytes) -> None:
     """Write a whole file under another name, then move it into place."""
     fs, path = open_fs(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(f"{path}.part") as out:
+    with fs.open_output_stream(f"{path}.part", compression=None) as out:
         out.write(data)
     fs.move(f"{path}.part", path)
 
 
 def read_bytes(uri: str) -> bytes:
     fs, path = open_fs(uri)
-    with fs.open_input_stream(path) as source:
+    with fs.open_input_stream(path, compression=None) as source:
         return source.read()

@@ -21,6 +21,9 @@ from tidegraph.llm.common import materialise, read
 
 WINDOW = 13
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words and gaps of a text that is not lower-cased yet: they lie at the same places.
+CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+CASED_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The grams are broadcast up to this many rows (some 200 bytes each); beyond it they are shuffled.
 BROADCAST_ROWS = 2_000_000
@@ -127,8 +130,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
     text = F.col("row.text")
-    pieces = F.regexp_extract_all(text, F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))
-    first = F.when(text.rlike(r"^[\x00-\x2F\x3A-\x60\x7B-\x7F]"), 1).otherwise(0)
+    pieces = F.regexp_extract_all(text, F.lit(f"({CASED_WORD}|{CASED_GAP})"), F.lit(1))
+    first = F.when(text.rlike(f"^{CASED_GAP}"), 1).otherwise(0)
 
     def stays(piece: Column, j: Column) -> Column:
         at = F.floor((j - first) / 2)

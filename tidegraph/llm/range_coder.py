@@ -156,7 +156,7 @@ class _Reader:
             if not len(todo):
                 break
             at = lanes[todo]
-            code[todo] = (code[todo] << _U(16)) | self.data[at, self.used[at]].astype(np.uint64)
+            code[todo] = (code[todo] << _U(16)) | self.data[at, np.minimum(self.used[at], self.data.shape[1] - 1)].astype(np.uint64)  # a damaged payload may ask for more
             self.used[at] += 1
             low[todo] <<= _U(16)
             span[todo] <<= _U(16)
@@ -244,7 +244,10 @@ def _encode_lanes(cuts: list[np.ndarray]) -> list[Block]:
 
 def decode_blocks(blocks: list[Block]) -> np.ndarray:
     """The ids of consecutive blocks of one file; a block that fails its crc32 raises ValueError."""
-    parts = [_decode_lanes(blocks[i : i + LANES]) for i in range(0, len(blocks), LANES)]
+    try:
+        parts = [_decode_lanes(blocks[i : i + LANES]) for i in range(0, len(blocks), LANES)]
+    except IndexError:
+        raise ValueError("a block's list of ids is damaged") from None
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
