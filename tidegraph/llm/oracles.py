@@ -103,3 +103,23 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN first END AS refers_to
 FROM f
 """
+
+JACCARD = r"""
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT r, g FROM (
+    SELECT r, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) >= 5)
+    UNION ALL SELECT r, array_to_string(w, ' ') FROM t WHERE len(w) BETWEEN 1 AND 4)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r AS x, b.r AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n p ON p.r = x JOIN n q ON q.r = y WHERE 5 * k >= 4 * (p.n + q.n - k)),
+e AS (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+least_id AS (SELECT a AS r, min(doc_id) AS class_id FROM reach JOIN t ON t.r = b GROUP BY a),
+deg AS (SELECT a AS r, count(*) AS n FROM e GROUP BY a)
+SELECT doc_id, coalesce(least(class_id, doc_id), doc_id) AS class_id, coalesce(deg.n, 0)::BIGINT AS n_links
+FROM t LEFT JOIN least_id USING (r) LEFT JOIN deg USING (r)
+"""

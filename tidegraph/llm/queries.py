@@ -27,6 +27,7 @@ QUERIES = {
 
 ORACLES = {
     "op4_mix": oracles.MIX,
+    "op5_jaccard": oracles.JACCARD,
     "op6_warc": oracles.WARC,
     "op7_decontaminate": oracles.DECONTAMINATE,
     "op8_rules": oracles.RULES,
