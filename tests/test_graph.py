@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegraph.functions import scalars
-from tidegraph.operators import lookup, maintain, pools, stats, upsert
+from tidegraph.operators import lookup, maintain, pools, stats, store, upsert
 from tidegraph.operators.sampling import sample_neighbors
 from tidegraph.plans.graph import Graph, Relation, seconds
 from tidegraph.schema import RelationConfig, resolve_config
@@ -307,3 +307,15 @@ def test_config(spark):
         RelationConfig("r", edge_max_num=70000)
     document = {"host_service_config": {"default": "a"}, "service_config": {"a": {"dbs": ["x"], "default_init": "l"}}, "db_list": [{"relation_name": "x"}], "init_list": [{"name": "l", "path": "/p"}]}
     assert resolve_config(document, "host")["dbs"][0]["init"][0]["path"] == "/p"
+
+
+def test_store(spark, tmp_path):
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    rows = spark.createDataFrame([(2, "c", 1), (2, "d", 2), (3, "e", 1)], "id long, v string, seq long")
+    assert sorted(tuple(r) for r in store.put(base, rows).collect()) == [(1, "a"), (2, "d"), (3, "e")]
+    assert [r["id"] for r in store.erase_where(base, F.col("v") == "a").collect()] == [2]
+    assert [r["id"] for r in store.erase_keys(base, rows).collect()] == [1]
+    pool = store.PoolSnapshot(lambda: base.select("id", F.lit(1.0).alias("weight")), f"file://{tmp_path}/pool")
+    with pytest.raises(RuntimeError):
+        pool.draw(spark, 3)
+    assert pool.refresh().draw(spark, 50).count() == 50

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.functions import scalars
-from tidegraph.operators import lookup, maintain, pools, stats, upsert
+from tidegraph.operators import lookup, maintain, pools, stats, store, upsert
 from tidegraph.operators.sampling import as_of, next_seeds, sample_neighbors
 from tidegraph.plans.graph import Graph, Relation
 from tidegraph.schema import RelationConfig
@@ -513,3 +513,37 @@ def weight_transforms(spark, d):
     c = stats.node_counts(tables.customer_part(spark, d)).where("edge_num > 1")
     n = F.col("edge_num")
     return c.select("id", n.alias("n"), scalars.transform_weight(n, "log").alias("w_log"), scalars.transform_weight(n, "log1p").alias("w_log1p"), scalars.transform_weight(n, "power", 0.75).alias("w_power"))
+
+
+@query("""SELECT c_custkey + 1 AS id, coalesce(o.v, c_acctbal) AS v FROM customer LEFT JOIN (SELECT o_custkey, max_by(o_totalprice, o_orderkey) AS v FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey
+UNION ALL SELECT o_custkey + 1, max_by(o_totalprice, o_orderkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) GROUP BY o_custkey""")
+def put_rows(spark, d):
+    """Whole rows put by key: the last order's price replaces the balance."""
+    base = tables.table(spark, d, "customer").select((F.col("c_custkey") + 1).alias("id"), F.col("c_acctbal").alias("v"))
+    rows = tables.table(spark, d, "orders").select((F.col("o_custkey") + 1).alias("id"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("seq"))
+    return store.put(base, rows)
+
+
+@query("SELECT c_custkey + 1 AS id, c_acctbal AS v FROM customer WHERE NOT (c_acctbal < 0 OR c_mktsegment = 'BUILDING')")
+def erase_where(spark, d):
+    base = tables.table(spark, d, "customer")
+    return store.erase_where(base, (F.col("c_acctbal") < 0) | (F.col("c_mktsegment") == "BUILDING")).select((F.col("c_custkey") + 1).alias("id"), F.col("c_acctbal").alias("v"))
+
+
+@query(f"WITH {_PURCHASES} SELECT src AS id, 24 + count(*) * 26 AS size FROM e GROUP BY src")
+def key_sizes(spark, d):
+    return store.key_sizes(tables.customer_part(spark, d), attr_values=2)
+
+
+@query(f"WITH {_PURCHASES}, n AS (SELECT src AS id, max(ts) + 86400000 AS expire_ts FROM e GROUP BY src) SELECT id, expire_ts - ({T_HIGH} + 90000000) AS left FROM n WHERE expire_ts > {T_HIGH} + 90000000".replace(" AS left", " AS \"left\""))
+def copy_live(spark, d):
+    nodes = tables.customer_part(spark, d).groupBy(F.col("src").alias("id")).agg((F.max("ts") + 86400000).alias("expire_ts"))
+    return store.copy_live(nodes, T_HIGH + 90000000).select("id", "left")
+
+
+@query(f"WITH {_PURCHASES}, kept AS (SELECT * FROM e WHERE src NOT IN (SELECT o_custkey + 1 FROM orders WHERE o_orderpriority = '1-URGENT')), logs AS (SELECT * FROM raw WHERE src IN (SELECT o_custkey + 1 FROM orders WHERE o_orderpriority = '1-URGENT')) SELECT src, dst, weight FROM kept UNION ALL SELECT src, dst, sum(weight) FROM logs GROUP BY src, dst")
+def insert_overwrite(spark, d):
+    """Sources of a log lose their edges before its own are inserted."""
+    urgent = tables.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select((F.col("o_custkey") + 1).alias("src")).distinct()
+    logs = tables.purchases(spark, d).join(urgent, "src", "left_semi")
+    return upsert.overwrite(tables.customer_part(spark, d), logs, "add").select("src", "dst", "weight")
