@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,12 +36,6 @@ def materialise(df: DataFrame, name: str = "table", where: str | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a scratch folder that no returned DataFrame reads."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def arrow_rows(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch, so that a batch of long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
@@ -62,8 +57,6 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterat
     if len(texts) == 0:
         return
     lengths = texts.cast(pa.large_binary()).buffers()[1]
-    import numpy as np
-
     ends = np.frombuffer(lengths, dtype=np.int64, count=len(texts) + 1 + texts.offset)[texts.offset :]
     start = 0
     while start < len(texts):
