@@ -36,67 +36,67 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     squash = (p[left] * (128 - weight) + p[np.minimum(left + 1, 32)] * weight + 64) >> 7
     squash = np.clip(squash, 1, 4095)
     stretch = np.searchsorted(squash, np.arange(4096)) - 2047
-    return np.clip(stretch, -2047, 2047).astype(np.int64), squash.astype(np.int64)
+    return np.clip(stretch, -2047, 2047).astype(np.int32), squash.astype(np.int32)
 
 
 _STRETCH, _SQUASH = _tables()
+#: Bits of a count, for all counts that a block reaches.
+_BITS = np.frexp(np.arange(2 * BLOCK + 2, dtype=np.float64))[1].astype(np.int64)
 
 
 class _Model:
     """The mixing model of `n` lanes over at most `size` symbols each."""
 
     def __init__(self, n: int, sizes: np.ndarray):
-        self.size = int(sizes.max())
-        self.lane = np.arange(n)
-        self.next1, self.sure1 = np.full(n * (self.size + 1), -1, np.int32), np.zeros(n * (self.size + 1), np.uint8)
-        self.next2, self.sure2 = np.full(n * _SLOTS2, -1, np.int32), np.zeros(n * _SLOTS2, np.uint8)
-        self.p = [np.full(n * k, 2048, np.int64) for k in (16, 16, 16)]
-        self.weight = [np.full(n, 24000, np.int64) for _ in range(3)]
+        self.size = 1 << max(1, int(sizes.max() - 1).bit_length())  # a power of two, for the search in decoding
+        lane = np.arange(n)
+        self.row1, self.row2, self.row16, self.row = lane * (self.size + 1), lane * _SLOTS2, lane * 16, lane * self.size
+        self.next1, self.sure1 = np.full(n * (self.size + 1), -1, np.int32), np.zeros(n * (self.size + 1), np.int8)
+        self.next2, self.sure2 = np.full(n * _SLOTS2, -1, np.int32), np.zeros(n * _SLOTS2, np.int8)
+        self.p = [np.full(n * 16, 2048, np.int32) for _ in range(3)]
+        self.weight = [np.full(n, 24000, np.int32) for _ in range(3)]
         self.count = (np.arange(self.size)[None, :] < sizes[:, None]).astype(np.int32)
         self.flat = self.count.reshape(-1)
         self.prev1, self.prev2 = np.full(n, self.size, np.int64), np.full(n, self.size, np.int64)
         self.cum = np.zeros((n, self.size + 1), np.int32)
+        self.flat_cum = self.cum.reshape(-1)
         self.renew()
 
     def renew(self) -> None:
         np.cumsum(self.count, axis=1, out=self.cum[:, 1:])
-        self.flat_cum = self.cum.reshape(-1)
         self.total = self.cum[:, -1].astype(np.uint64)
 
     def predict(self, a: int) -> None:
         """For the first `a` lanes: guess (-1: none) and its probability of 4096."""
-        lane = self.lane[:a]
-        self.at1 = lane * (self.size + 1) + self.prev1[:a]
-        self.at2 = lane * _SLOTS2 + ((self.prev1[:a] * 40503 + self.prev2[:a] * 30011) & (_SLOTS2 - 1))
-        g1, g2 = self.next1[self.at1], self.next2[self.at2]
-        self.g1, self.g2 = g1, g2
-        self.guess = np.where(g2 >= 0, g2, g1)
-        alike = g1 == self.guess
-        seen = self.flat[lane * self.size + np.maximum(self.guess, 0)]
-        bits = np.minimum(np.frexp(seen.astype(np.float64))[1], 15)
-        k1, k2 = self.sure1[self.at1].astype(np.int64), self.sure2[self.at2].astype(np.int64)
-        self.k1, self.k2 = k1, k2
-        base = lane * 16
-        self.ctx = (base + k2 * 2 + alike, base + k1 * 2 + alike, base + bits)
-        self.st = [_STRETCH[p[c]] for p, c in zip(self.p, self.ctx, strict=True)]
-        dot = sum(w[:a] * s for w, s in zip(self.weight, self.st, strict=True)) >> 16
-        self.hit_p = _SQUASH[np.clip(dot, -2047, 2047) + 2047]
+        prev1, row16 = self.prev1[:a], self.row16[:a]
+        self.at1 = self.row1[:a] + prev1
+        self.at2 = self.row2[:a] + ((prev1 * 40503 + self.prev2[:a] * 30011) & (_SLOTS2 - 1))
+        self.g1, self.g2 = self.next1.take(self.at1), self.next2.take(self.at2)
+        self.guess = np.where(self.g2 >= 0, self.g2, self.g1)
+        alike = self.g1 == self.guess
+        bits = _BITS.take(self.flat.take(self.row[:a] + np.maximum(self.guess, 0)))
+        self.k1, self.k2 = self.sure1.take(self.at1), self.sure2.take(self.at2)
+        self.ctx = (row16 + (self.k2 + self.k2 + alike), row16 + (self.k1 + self.k1 + alike), row16 + bits)
+        self.now = [p.take(c) for p, c in zip(self.p, self.ctx, strict=True)]
+        self.st = [_STRETCH.take(x) for x in self.now]
+        w, st = self.weight, self.st
+        dot = (w[0][:a] * st[0] + w[1][:a] * st[1] + w[2][:a] * st[2]) >> 16
+        self.hit_p = _SQUASH.take(np.minimum(np.maximum(dot, -2047), 2047) + 2047)
 
     def update(self, a: int, symbol: np.ndarray) -> None:
         hit = symbol == self.guess
-        error = np.where(hit, 4096 - self.hit_p, -self.hit_p)
-        error[self.guess < 0] = 0
+        goal = hit * np.int32(4096)
+        error = np.where(self.guess < 0, np.int32(0), goal - self.hit_p) * np.int32(6)
         for i in range(3):
-            p, c = self.p[i], self.ctx[i]
-            now = p[c]
-            p[c] = np.clip(now + ((hit * 4096 - now) >> 5), 16, 4080)
-            self.weight[i][:a] += (self.st[i] * error * 6) >> 10
+            now = self.now[i]
+            self.p[i][self.ctx[i]] = np.minimum(np.maximum(now + ((goal - now) >> 5), 16), 4080)
+            self.weight[i][:a] += (self.st[i] * error) >> 10
         for table, sure, at, guess, k in ((self.next1, self.sure1, self.at1, self.g1, self.k1), (self.next2, self.sure2, self.at2, self.g2, self.k2)):
             right = guess == symbol
             lost = ~right & (k <= 1)
             sure[at] = np.where(right, np.minimum(k + 1, 7), np.where(lost, 1, k >> 1))
             table[at] = np.where(lost, symbol, guess)
-        self.flat[self.lane[:a] * self.size + symbol] += 1
+        self.flat[self.row[:a] + symbol] += 1
         self.prev2[:a], self.prev1[:a] = self.prev1[:a], symbol
 
 
@@ -178,28 +178,19 @@ def _crc(ids: np.ndarray) -> int:
 
 
 def _pack(ids: np.ndarray) -> bytes:
-    """The block's ids in rising order: gaps as bytes, 255 and four bytes for larger ones."""
+    """The block's ids in rising order: their number, gaps as bytes, then four bytes for each gap of 255 and more."""
     gaps = np.diff(ids, prepend=0)
-    if (gaps < 255).all():
-        return gaps.astype(np.uint8).tobytes()
-    out = bytearray()
-    for g in gaps.tolist():
-        out += bytes([g]) if g < 255 else b"\xff" + g.to_bytes(4, "little")
-    return bytes(out)
+    return len(ids).to_bytes(4, "little") + np.minimum(gaps, 255).astype(np.uint8).tobytes() + gaps[gaps >= 255].astype("<u4").tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    if b"\xff" not in data:
-        return np.cumsum(np.frombuffer(data, np.uint8), dtype=np.int64)
-    gaps, i = [], 0
-    while i < len(data):
-        if data[i] == 255:
-            gaps.append(int.from_bytes(data[i + 1 : i + 5], "little"))
-            i += 5
-        else:
-            gaps.append(data[i])
-            i += 1
-    return np.cumsum(np.array(gaps, np.int64))
+    n = int.from_bytes(data[:4], "little")
+    gaps = np.frombuffer(data[4 : 4 + n], np.uint8).astype(np.int64)
+    large = np.frombuffer(data[4 + n :], "<u4")
+    if len(large) != int((gaps == 255).sum()) or len(gaps) != n or not n:
+        raise ValueError("a block's list of ids is damaged")
+    gaps[gaps == 255] = large
+    return np.cumsum(gaps)
 
 
 def encode_blocks(ids: np.ndarray) -> list[Block]:
@@ -234,7 +225,7 @@ def _encode_lanes(cuts: list[np.ndarray]) -> list[Block]:
         writer.put(asked, np.where(yes, writer.low[asked], writer.low[asked] + cut), np.where(yes, cut, r * (_U(4096) - model.hit_p[asked].astype(np.uint64))))
         miss = np.flatnonzero(~hit)
         if len(miss):
-            at = miss * (model.size + 1) + s[miss]
+            at = model.row1[miss] + s[miss]
             below, above = model.flat_cum[at].astype(np.uint64), model.flat_cum[at + 1].astype(np.uint64)
             r = writer.range[miss] // model.total[miss]
             writer.put(miss, writer.low[miss] + r * below, r * (above - below))
@@ -258,7 +249,6 @@ def _decode_lanes(blocks: list[Block]) -> np.ndarray:
     model = _Model(n, np.array([len(x) for x in listed]))
     reader = _Reader([np.frombuffer(b.payload, "<u2") for b in blocks])
     symbols = np.zeros((steps, n), np.int32)
-    levels = max(1, int(model.size).bit_length())
     for t in range(steps):
         a = n if t < lengths[-1] else n - 1
         if t and t % RENEW == 0:
@@ -276,12 +266,13 @@ def _decode_lanes(blocks: list[Block]) -> np.ndarray:
         if len(miss):
             r = reader.range[miss] // model.total[miss]
             value = np.minimum((reader.code[miss] - reader.low[miss]) // r, model.total[miss] - _U(1)).astype(np.int64)
-            base = miss * (model.size + 1)
-            lo, hi = np.zeros(len(miss), np.int64), np.full(len(miss), model.size, np.int64)
-            for _ in range(levels):
-                mid = (lo + hi + 1) >> 1
-                up = (model.flat_cum[base + mid] <= value) & (lo < hi)
-                lo, hi = np.where(up, mid, lo), np.where(up, hi, np.maximum(mid - 1, lo))
+            base = model.row1[miss]
+            lo = np.zeros(len(miss), np.int64)
+            step = model.size >> 1
+            while step:
+                probe = lo + step
+                lo = np.where(model.flat_cum.take(base + probe) <= value, probe, lo)
+                step >>= 1
             s[miss] = lo
             below, above = model.flat_cum[base + lo].astype(np.uint64), model.flat_cum[base + lo + 1].astype(np.uint64)
             reader.take(miss, reader.low[miss] + r * below, r * (above - below))

@@ -7,7 +7,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from tidegraph.llm.words import scan
+from tidegraph.llm.words import Words, scan
 
 #: Words whose ids a worker keeps; beyond it the store starts anew.
 KEEP_WORDS = 400_000
@@ -15,8 +15,28 @@ KEEP_WORDS = 400_000
 CALL_WORDS = 4000
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b".,!?;:")] = True
+
+
+def _without_stops(w: Words) -> Words:
+    """The words with one stop behind an ASCII letter taken off as a word of its own: pieces end there anyway."""
+    if not len(w.start):
+        return w
+    cut = _STOP[w.data[w.stop - 1]] & (w.stop - w.start > 1)
+    cut &= _LETTER[w.data[np.maximum(w.stop - 2, 0)]]
+    at = np.flatnonzero(cut)
+    start = np.insert(w.start, at + 1, w.stop[at] - 1)
+    stop = np.insert(w.stop - cut, at + 1, w.stop[at])
+    more = np.zeros(len(cut) + 1, np.int64)
+    np.cumsum(cut, out=more[1:])
+    return Words(w.data, w.text_start, start, stop, w.doc_start + more[w.doc_start], w.inside)
+
+
 class WordEncoder:
-    """Ids of texts under a tokenizer whose pieces never cross white space, and that drops it.
+    """Ids of texts under a lower-casing tokenizer whose pieces never cross white space, and that drops it.
 
     For such a tokenizer the ids of a text are those of its words, one after another. Unseen
     words go to the library together, a special token between them.
@@ -64,8 +84,11 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (each ends with end_id), and where each text begins (one more at the end)."""
-        w = scan(texts)
-        keys, where, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        w = _without_stops(scan(texts))
+        bars = np.zeros(len(w.data) + 1, np.int64)
+        np.cumsum(w.data == ord("|"), out=bars[1:])
+        marked = bars[w.stop] > bars[w.start]  # only these may hold a special token, which small letters would change
+        keys, where, inverse = np.unique(np.where(marked, w.hashes(), w.hashes(lower=True)), return_index=True, return_inverse=True)
         if len(self.slot) + len(keys) > max(KEEP_WORDS, len(keys)):
             self._clear()
         asked = keys.tolist()
