@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,19 +18,37 @@ CALL_WORDS = 4000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
+#: Behind byte 0xC3: letters, all but the signs of multiplication and division.
+_TRAIL = np.zeros(256, bool)
+_TRAIL[0x80:0xC0] = True
+_TRAIL[[0x97, 0xB7]] = False
 _STOP = np.zeros(256, bool)
-_STOP[list(b".,!?;:")] = True
+_STOP[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = True
+#: Code points of the letters that these bytes spell.
+_LETTERS = [*range(65, 91), *range(97, 123), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))]
 
 
-def _without_stops(w: Words) -> Words:
-    """The words with one stop behind an ASCII letter taken off as a word of its own: pieces end there anyway."""
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Bytes of ASCII and Latin-1 letters."""
+    found = _LETTER[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[_TRAIL[data[lead + 1]]]
+    found[lead] = found[lead + 1] = True
+    return found
+
+
+def _without_stops(w: Words, letters: np.ndarray) -> Words:
+    """The words with the stops behind a letter at their end taken off as a word of its own: pieces end there anyway."""
     if not len(w.start):
         return w
-    cut = _STOP[w.data[w.stop - 1]] & (w.stop - w.start > 1)
-    cut &= _LETTER[w.data[np.maximum(w.stop - 2, 0)]]
+    last = np.arange(len(w.data), dtype=np.int64)
+    last[_STOP[w.data]] = -1
+    np.maximum.accumulate(last, out=last)
+    last = last[w.stop - 1]  # the last byte of each word that is not a stop
+    cut = (last >= w.start) & (last < w.stop - 1) & letters[last]
     at = np.flatnonzero(cut)
-    start = np.insert(w.start, at + 1, w.stop[at] - 1)
-    stop = np.insert(w.stop - cut, at + 1, w.stop[at])
+    start = np.insert(w.start, at + 1, last[at] + 1)
+    stop = np.insert(np.where(cut, last + 1, w.stop), at + 1, w.stop[at])
     more = np.zeros(len(cut) + 1, np.int64)
     np.cumsum(cut, out=more[1:])
     return Words(w.data, w.text_start, start, stop, w.doc_start + more[w.doc_start], w.inside)
@@ -39,7 +58,8 @@ class WordEncoder:
     """Ids of texts under a lower-casing tokenizer whose pieces never cross white space, and that drops it.
 
     For such a tokenizer the ids of a text are those of its words, one after another. Unseen
-    words go to the library together, a special token between them.
+    words of ASCII and Latin-1 letters go straight to the library's model, spelled as its normalizer
+    and pre-tokenizer spell these letters, where they make one piece of them; others go to the library together, a special token between them.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -50,55 +70,86 @@ class WordEncoder:
         special = max(self.tokenizer.get_added_tokens_decoder().items())
         self.mark_id, self.mark = special[0], special[1].content
         self.tokens_in_text = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        self.spelled = {c: "".join(x[0] for x in self._pieces(chr(c))) for c in _LETTERS}
+        every = "".join(map(chr, _LETTERS))
+        self.one_piece = [x[0] for x in self._pieces(every)] == [every.translate(self.spelled)]
         self.end_id = end_id
         self._clear()
 
+    def _pieces(self, text: str) -> list:
+        """The tokenizer's pieces of a text, as its model gets them."""
+        normal = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+        return self.tokenizer.pre_tokenizer.pre_tokenize_str(normal) if self.tokenizer.pre_tokenizer else []
+
     def _clear(self) -> None:
         self.slot: dict[int, int] = {}
         self.pool = np.array([self.end_id], np.int32)
         self.first, self.length = np.zeros(1, np.int64), np.ones(1, np.int64)  # slot 0: the end of a text
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        pools, lengths = [], []
+    def _encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of words that are not of letters alone."""
+        out: list[list[int]] = []
         for at in range(0, len(words), CALL_WORDS):
             some = words[at : at + CALL_WORDS]
-            plain = [w for w in some if not any(t in w for t in self.tokens_in_text)]
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.mark} ".join(plain)], add_special_tokens=False)[0].ids if plain else [], np.int32)
-            cuts = np.flatnonzero(ids == self.mark_id)
-            bounds = np.concatenate([[-1], cuts, [len(ids)]])
-            if len(plain) == len(some):
-                pools.append(ids[ids != self.mark_id])
-                lengths.append(np.diff(bounds) - 1)
-                continue
-            parts = iter([ids[bounds[i] + 1 : bounds[i + 1]] for i in range(len(plain))])
-            for w in some:
-                own = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.int32) if any(t in w for t in self.tokens_in_text) else next(parts)
-                pools.append(own)
-                lengths.append(np.array([len(own)]))
-        length = np.concatenate(lengths).astype(np.int64)
+            marked = ["<" in w and any(t in w for t in self.tokens_in_text) for w in some]
+            plain = [w for w, m in zip(some, marked, strict=True) if not m]
+            ids = self.tokenizer.encode_batch_fast([f" {self.mark} ".join(plain)], add_special_tokens=False)[0].ids if plain else []
+            parts, own = [], []
+            for i in ids:
+                if i == self.mark_id:
+                    parts.append(own)
+                    own = []
+                else:
+                    own.append(i)
+            parts.append(own)
+            each = iter(parts)
+            out += [self.tokenizer.encode(w, add_special_tokens=False).ids if m else next(each) for w, m in zip(some, marked, strict=True)]
+        return out
+
+    def _learn(self, hashes: list[int], letters: list[str], others: list[str]) -> None:
+        """Keep the ids of words: first those of letters alone, then the others."""
+        tokenize, spelled = self.model.tokenize, self.spelled
+        ids = [[t.id for t in tokenize(w.translate(spelled))] for w in letters] + self._encode_words(others)
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
         first = len(self.pool) + np.cumsum(length) - length
         base = len(self.first)
-        self.pool = np.concatenate([self.pool, *pools])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.int32, int(length.sum()))])
         self.first, self.length = np.concatenate([self.first, first]), np.concatenate([self.length, length])
         self.slot.update(zip(hashes, range(base, base + len(hashes)), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (each ends with end_id), and where each text begins (one more at the end)."""
-        w = _without_stops(scan(texts))
+        w = scan(texts)
+        letters = _letters(w.data)
+        w = _without_stops(w, letters)
         bars = np.zeros(len(w.data) + 1, np.int64)
         np.cumsum(w.data == ord("|"), out=bars[1:])
         marked = bars[w.stop] > bars[w.start]  # only these may hold a special token, which small letters would change
-        keys, where, inverse = np.unique(np.where(marked, w.hashes(), w.hashes(lower=True)), return_index=True, return_inverse=True)
+        keys = w.hashes(lower=True)
+        if marked.any():
+            keys = np.where(marked, w.hashes(), keys)
+        keys, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.slot) + len(keys) > max(KEEP_WORDS, len(keys)):
             self._clear()
         asked = keys.tolist()
-        new = [i for i, k in enumerate(asked) if k not in self.slot]
-        if new:
-            raw, a, b = w.data, w.start, w.stop
+        slots = np.fromiter(map(self.slot.get, asked, repeat(-1)), np.int64, len(asked))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            other = np.zeros(len(w.data) + 1, np.int32)
+            np.cumsum(~letters, out=other[1:])
             at = where[new]
-            whole = raw.tobytes()
-            self._learn([asked[i] for i in new], [whole[s:e].decode() for s, e in zip(a[at].tolist(), b[at].tolist(), strict=True)])
-        slots = np.fromiter((self.slot[k] for k in asked), np.int64, len(asked))[inverse] if len(asked) else np.zeros(0, np.int64)
+            simple = (other[w.stop[at]] == other[w.start[at]]) & self.one_piece
+            order = np.argsort(~simple, kind="stable")
+            new, at = new[order], at[order]
+            n = int(simple.sum())
+            whole = w.data.tobytes()
+            a, b = w.start[at].tolist(), w.stop[at].tolist()
+            base = len(self.first)
+            words = [whole[i:j].decode() for i, j in zip(a, b, strict=True)]
+            self._learn(keys[new].tolist(), words[:n], words[n:])
+            slots[new] = np.arange(base, base + len(new))
+        slots = slots[inverse]
         slots = np.insert(slots, w.doc_start[1:], 0)
         length = self.length[slots]
         upto = np.cumsum(length)
