@@ -32,7 +32,7 @@ from tidegraph.llm.common import arrow_rows, materialise, read, scratch_dir, ste
 from tidegraph.llm.files import read_bytes, write_bytes
 from tidegraph.llm.tokenizing import encoder
 
-MAGIC = b"TGID0001"
+MAGIC = b"TGID0002"
 END_ID = 1
 FILE_TOKENS = range_coder.BLOCK * range_coder.LANES
 

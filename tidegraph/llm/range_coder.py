@@ -3,12 +3,14 @@
 A block of ids is coded on its own: it lists the ids that occur in it, starts a fresh model
 and carries a crc32. Places in that list are the symbols. Order 2 and order 1 each remember
 the symbol that last followed their context and how often it was right; order 0 counts the
-symbols. For each symbol one binary decision says whether it is the remembered one; its
-probability is the logistic mix of what the three orders have learned, with weights that
-adapt by their errors. A miss codes the symbol by the order-0 counts, whose sums are renewed
-every RENEW symbols. All arithmetic is on integers, so every machine decodes alike.
-
-Blocks are the lanes of NumPy vectors: step t codes the t-th symbol of every block.
+symbols. Whether a symbol is the remembered one has a probability that is the logistic mix of
+what the three orders have learned, with weights that adapt by their errors; the rest of the
+range is dealt by the order-0 counts. The model learns after every CHUNK symbols and renews its
+counts' sums after every RENEW, so that much of its work is done for whole chunks. All
+arithmetic is on whole numbers, so every machine decodes alike.
+
+Blocks are the lanes of NumPy vectors: step t codes the t-th symbol of every block. A shorter
+last block is filled up with symbol 0, which reading cuts off.
 """
 
 from __future__ import annotations
@@ -20,11 +22,14 @@ import numpy as np
 
 BLOCK = 4096
 LANES = 1536
+CHUNK = 32
 RENEW = 128
-_SLOTS2 = 8192
+_SLOTS2 = 4096
+#: Rate at which a chunk's errors move the weights, as a right shift, and a weight's largest value.
+_RATE, _HEAVY = 12, 1 << 17
 
 _U = np.uint64
-_TOP, _BOT = _U(1 << 48), _U(1 << 32)
+_LEAST, _DIGIT = _U(1 << 32), _U(32)
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -34,133 +39,90 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     left, weight = (x + 2048) >> 7, x & 127
     p = np.array(points)
     squash = (p[left] * (128 - weight) + p[np.minimum(left + 1, 32)] * weight + 64) >> 7
-    squash = np.clip(squash, 1, 4095)
+    squash = np.clip(squash, 16, 4080)
     stretch = np.searchsorted(squash, np.arange(4096)) - 2047
     return np.clip(stretch, -2047, 2047).astype(np.int32), squash.astype(np.int32)
 
 
 _STRETCH, _SQUASH = _tables()
+#: Chances out of 4096 for sums of weighted logits from -2048; the lowest means that nothing is remembered.
+_CHANCE = np.concatenate([[0], _SQUASH]).astype(np.uint64)
 #: Bits of a count, for all counts that a block reaches.
 _BITS = np.frexp(np.arange(2 * BLOCK + 2, dtype=np.float64))[1].astype(np.int64)
+#: k2, k1 and agreement of each joint context.
+_K2, _K1, _ALIKE = (np.arange(128) >> 4, (np.arange(128) >> 1) & 7, np.arange(128) & 1)
 
 
 class _Model:
-    """The mixing model of `n` lanes over at most `size` symbols each."""
-
-    def __init__(self, n: int, sizes: np.ndarray):
-        self.size = 1 << max(1, int(sizes.max() - 1).bit_length())  # a power of two, for the search in decoding
-        lane = np.arange(n)
-        self.row1, self.row2, self.row16, self.row = lane * (self.size + 1), lane * _SLOTS2, lane * 16, lane * self.size
-        self.next1, self.sure1 = np.full(n * (self.size + 1), -1, np.int32), np.zeros(n * (self.size + 1), np.int8)
-        self.next2, self.sure2 = np.full(n * _SLOTS2, -1, np.int32), np.zeros(n * _SLOTS2, np.int8)
-        self.p = [np.full(n * 16, 2048, np.int32) for _ in range(3)]
+    """The mixing model of len(sizes) lanes; lane i has sizes[i] symbols."""
+
+    def __init__(self, sizes: np.ndarray):
+        n = len(sizes)
+        self.n, self.lane, self.sizes = n, np.arange(n), sizes
+        self.off = np.cumsum(sizes) - sizes  # the lanes' symbols lie one after another
+        self.row1, self.row2 = self.off + self.lane, self.lane * _SLOTS2
+        self.row16, self.row128 = self.lane * 16, self.lane * 128
+        self.count = np.ones(int(sizes.sum()), np.int64)
+        self.local = (np.arange(len(self.count)) - np.repeat(self.off, sizes)).astype(np.int16)
+        # a remembered symbol * 8 + how sure it is; 0: none
+        self.tab1, self.tab2 = np.zeros(len(self.count) + n, np.int16), np.zeros(n * _SLOTS2, np.int16)
+        self.p = [np.full(n * 16, 2048, np.int32) for _ in range(3)]  # orders 0, 1, 2
         self.weight = [np.full(n, 24000, np.int32) for _ in range(3)]
-        self.count = (np.arange(self.size)[None, :] < sizes[:, None]).astype(np.int32)
-        self.flat = self.count.reshape(-1)
-        self.prev1, self.prev2 = np.full(n, self.size, np.int64), np.full(n, self.size, np.int64)
-        self.cum = np.zeros((n, self.size + 1), np.int32)
-        self.flat_cum = self.cum.reshape(-1)
-        self.renew()
-
-    def renew(self) -> None:
-        np.cumsum(self.count, axis=1, out=self.cum[:, 1:])
-        self.total = self.cum[:, -1].astype(np.uint64)
-
-    def predict(self, a: int) -> None:
-        """For the first `a` lanes: guess (-1: none) and its probability of 4096."""
-        prev1, row16 = self.prev1[:a], self.row16[:a]
-        self.at1 = self.row1[:a] + prev1
-        self.at2 = self.row2[:a] + ((prev1 * 40503 + self.prev2[:a] * 30011) & (_SLOTS2 - 1))
-        self.g1, self.g2 = self.next1.take(self.at1), self.next2.take(self.at2)
-        self.guess = np.where(self.g2 >= 0, self.g2, self.g1)
-        alike = self.g1 == self.guess
-        bits = _BITS.take(self.flat.take(self.row[:a] + np.maximum(self.guess, 0)))
-        self.k1, self.k2 = self.sure1.take(self.at1), self.sure2.take(self.at2)
-        self.ctx = (row16 + (self.k2 + self.k2 + alike), row16 + (self.k1 + self.k1 + alike), row16 + bits)
-        self.now = [p.take(c) for p, c in zip(self.p, self.ctx, strict=True)]
-        self.st = [_STRETCH.take(x) for x in self.now]
-        w, st = self.weight, self.st
-        dot = (w[0][:a] * st[0] + w[1][:a] * st[1] + w[2][:a] * st[2]) >> 16
-        self.hit_p = _SQUASH.take(np.minimum(np.maximum(dot, -2047), 2047) + 2047)
-
-    def update(self, a: int, symbol: np.ndarray) -> None:
-        hit = symbol == self.guess
-        goal = hit * np.int32(4096)
-        error = np.where(self.guess < 0, np.int32(0), goal - self.hit_p) * np.int32(6)
-        for i in range(3):
-            now = self.now[i]
-            self.p[i][self.ctx[i]] = np.minimum(np.maximum(now + ((goal - now) >> 5), 16), 4080)
-            self.weight[i][:a] += (self.st[i] * error) >> 10
-        for table, sure, at, guess, k in ((self.next1, self.sure1, self.at1, self.g1, self.k1), (self.next2, self.sure2, self.at2, self.g2, self.k2)):
-            right = guess == symbol
-            lost = ~right & (k <= 1)
-            sure[at] = np.where(right, np.minimum(k + 1, 7), np.where(lost, 1, k >> 1))
-            table[at] = np.where(lost, symbol, guess)
-        self.flat[self.row[:a] + symbol] += 1
-        self.prev2[:a], self.prev1[:a] = self.prev1[:a], symbol
-
-
-class _Writer:
-    def __init__(self, n: int, room: int):
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-        self.out, self.used = np.zeros((n, room), np.uint16), np.zeros(n, np.int64)
-
-    def put(self, lanes: np.ndarray, low: np.ndarray, span: np.ndarray) -> None:
-        """Narrow the lanes' intervals to [low, low + span) and emit settled digits."""
-        todo = np.arange(len(lanes))
-        while True:
-            settled = (low[todo] ^ (low[todo] + span[todo])) < _TOP
-            tight = ~settled & (span[todo] < _BOT)
-            if tight.any():
-                t = todo[tight]
-                span[t] = (_U(0) - low[t]) & (_BOT - _U(1))
-            todo = todo[settled | tight]
-            if not len(todo):
-                break
-            at = lanes[todo]
-            self.out[at, self.used[at]] = (low[todo] >> _U(48)).astype(np.uint16)
-            self.used[at] += 1
-            low[todo] <<= _U(16)
-            span[todo] <<= _U(16)
-        self.low[lanes], self.range[lanes] = low, span
-
-    def finish(self) -> list[bytes]:
-        for shift in (48, 32, 16, 0):
-            self.out[np.arange(len(self.low)), self.used] = ((self.low >> _U(shift)) & _U(0xFFFF)).astype(np.uint16)
-            self.used += 1
-        return [self.out[i, : self.used[i]].astype("<u2").tobytes() for i in range(len(self.low))]
-
-
-class _Reader:
-    def __init__(self, digits: list[np.ndarray]):
-        n = len(digits)
-        self.data = np.zeros((n, max(map(len, digits)) + 8), np.uint16)
-        for i, d in enumerate(digits):
-            self.data[i, : len(d)] = d
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-        self.code = np.zeros(n, np.uint64)
-        for k in range(4):
-            self.code = (self.code << _U(16)) | self.data[:, k].astype(np.uint64)
-        self.used = np.full(n, 4)
-
-    def take(self, lanes: np.ndarray, low: np.ndarray, span: np.ndarray) -> None:
-        code = self.code[lanes]
-        todo = np.arange(len(lanes))
-        while True:
-            settled = (low[todo] ^ (low[todo] + span[todo])) < _TOP
-            tight = ~settled & (span[todo] < _BOT)
-            if tight.any():
-                t = todo[tight]
-                span[t] = (_U(0) - low[t]) & (_BOT - _U(1))
-            todo = todo[settled | tight]
-            if not len(todo):
-                break
-            at = lanes[todo]
-            code[todo] = (code[todo] << _U(16)) | self.data[at, np.minimum(self.used[at], self.data.shape[1] - 1)].astype(np.uint64)  # a damaged payload may ask for more
-            self.used[at] += 1
-            low[todo] <<= _U(16)
-            span[todo] <<= _U(16)
-        self.low[lanes], self.range[lanes], self.code[lanes] = low, span, code
+        self.prev1, self.prev2 = sizes.astype(np.int64), sizes.astype(np.int64)
+        self.cum = np.zeros(len(self.count) + 1, np.int64)
+        self.renew(None)
+        self.mix()
+
+    def renew(self, symbols: np.ndarray | None) -> None:
+        """Add coded symbols [steps, lanes] to the counts and renew their sums."""
+        if symbols is not None:
+            self.count += np.bincount((self.off + symbols).reshape(-1), minlength=len(self.count))
+        np.cumsum(self.count, out=self.cum[1:])
+        self.base = self.cum[self.off]
+        total = np.append(self.base[1:], self.cum[-1]) - self.base
+        self.most, self.total = total - 1, total.astype(np.uint64)
+        self.size = self.count.astype(np.uint64)
+        self.below = (self.cum[:-1] - np.repeat(self.base, self.sizes)).astype(np.uint64)
+        self.bits = _BITS.take(self.count)
+
+    def mix(self) -> None:
+        """Weighted logits of order 0 by bits of the count, and of orders 1 and 2 by their joint context."""
+        self.st = [_STRETCH.take(p).reshape(self.n, 16) for p in self.p]
+        w0, w1, w2 = ((self.st[i] * self.weight[i][:, None]) >> 16 for i in range(3))
+        self.mix0 = w0.reshape(-1)
+        joint = w1[:, _K1 * 2 + _ALIKE] + w2[:, _K2 * 2 + _ALIKE]
+        joint[:, :2] = -(1 << 20)
+        self.mix12 = joint.reshape(-1)
+
+    def contexts(self, prev1: np.ndarray, prev2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.row1 + prev1, self.row2 + ((prev1 * 40503 + prev2 * 30011) & (_SLOTS2 - 1))
+
+    def predict(self, at1: np.ndarray, at2: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What is remembered in both contexts, the guess, its contexts and its chance of 4096 (0: no guess)."""
+        e1, e2 = self.tab1.take(at1), self.tab2.take(at2)
+        guess = np.where(e2 > 0, e2, e1) >> 3
+        joint = ((e2 & 7) << 4) | ((e1 & 7) << 1) | ((e1 >> 3) == guess)
+        bits = self.bits.take(self.off + guess)
+        dot = self.mix12.take(self.row128 + joint) + self.mix0.take(self.row16 + bits)
+        return e1, e2, guess, joint, bits, _CHANCE.take(dot + 2048, mode="clip")
+
+    def learn(self, symbols: np.ndarray, at1: np.ndarray, at2: np.ndarray, e1: np.ndarray, e2: np.ndarray, guess: np.ndarray, joint: np.ndarray, bits: np.ndarray, chance: np.ndarray) -> None:
+        """From a chunk, all [steps, lanes]; of repeated contexts in a chunk the last one counts."""
+        some = symbols.astype(np.int16)
+        for table, at, e in ((self.tab1, at1, e1), (self.tab2, at2, e2)):
+            k = e & 7
+            right = ((e >> 3) == some) & (k > 0)
+            table[at.reshape(-1)] = np.where(right, e + (k < 7), np.where(k <= 1, (some << 3) | 1, (e & -8) | (k >> 1))).reshape(-1)
+        asked = joint > 1
+        hit = (guess == some) & asked
+        error = np.where(asked, hit * np.int32(4096) - chance.astype(np.int32), np.int32(0))
+        for i, ctx in ((0, bits), (1, joint & 15), (2, ((joint >> 4) << 1) | (joint & 1))):
+            where = self.row16 + ctx
+            self.weight[i] = np.minimum(np.maximum(self.weight[i] + ((self.st[i].reshape(-1).take(where) * error).sum(axis=0) >> _RATE), 0), _HEAVY).astype(np.int32)
+            seen = np.bincount((where * 2 + hit)[asked], minlength=self.n * 32).reshape(-1, 2)
+            times = seen[:, 0] + seen[:, 1]
+            self.p[i] = np.clip(self.p[i] + (4096 * seen[:, 1] - times * self.p[i]) // (times + 12), 16, 4080).astype(np.int32)
+        self.mix()
 
 
 @dataclass
@@ -187,7 +149,7 @@ def _unpack(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:4], "little")
     gaps = np.frombuffer(data[4 : 4 + n], np.uint8).astype(np.int64)
     large = np.frombuffer(data[4 + n :], "<u4")
-    if len(large) != int((gaps == 255).sum()) or len(gaps) != n or not n:
+    if len(large) != int((gaps == 255).sum()) or len(gaps) != n or not 0 < n <= BLOCK:
         raise ValueError("a block's list of ids is damaged")
     gaps[gaps == 255] = large
     return np.cumsum(gaps)
@@ -202,35 +164,58 @@ def encode_blocks(ids: np.ndarray) -> list[Block]:
     return out
 
 
+def _carried(digits: np.ndarray) -> bytes:
+    """Digits of 32 bits, some with a carry above them, as bytes."""
+    over = digits >> _DIGIT
+    plain = (digits & (_LEAST - _U(1))).astype(">u4").tobytes()
+    if not over.any():
+        return plain
+    number = int.from_bytes(plain, "big") + (int.from_bytes(over.astype(">u4").tobytes(), "big") << 32)
+    return number.to_bytes(len(plain), "big")
+
+
 def _encode_lanes(cuts: list[np.ndarray]) -> list[Block]:
     listed = [np.unique(c, return_inverse=True) for c in cuts]
-    lengths = np.array([len(c) for c in cuts])  # only the last may be shorter
-    steps = int(lengths[0])
-    symbols = np.zeros((steps, len(cuts)), np.int32)
+    n, steps = len(cuts), len(cuts[0])  # only the last may be shorter
+    symbols = np.zeros((steps, n), np.int64)
     for i, (_, inverse) in enumerate(listed):
         symbols[: len(inverse), i] = inverse
-    model = _Model(len(cuts), np.array([len(x[0]) for x in listed]))
-    writer = _Writer(len(cuts), 2 * steps + 8)
-    for t in range(steps):
-        a = len(cuts) if t < lengths[-1] else len(cuts) - 1
+    sizes = np.array([len(x[0]) for x in listed])
+    model = _Model(sizes)
+    before = np.concatenate([np.tile(sizes, (2, 1)), symbols])  # row t + 2 is step t
+    low, span = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
+    out, used = np.zeros((n, steps + 4), np.uint64), np.zeros(n, np.int64)
+    for t in range(0, steps, CHUNK):
         if t and t % RENEW == 0:
-            model.renew()
-        model.predict(a)
-        s = symbols[t, :a].astype(np.int64)
-        hit = s == model.guess
-        asked = np.flatnonzero(model.guess >= 0)
-        r = writer.range[asked] >> _U(12)
-        cut = r * model.hit_p[asked].astype(np.uint64)
-        yes = hit[asked]
-        writer.put(asked, np.where(yes, writer.low[asked], writer.low[asked] + cut), np.where(yes, cut, r * (_U(4096) - model.hit_p[asked].astype(np.uint64))))
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            at = model.row1[miss] + s[miss]
-            below, above = model.flat_cum[at].astype(np.uint64), model.flat_cum[at + 1].astype(np.uint64)
-            r = writer.range[miss] // model.total[miss]
-            writer.put(miss, writer.low[miss] + r * below, r * (above - below))
-        model.update(a, s)
-    return [Block(len(c), _crc(c), _pack(x[0]), p) for c, x, p in zip(cuts, listed, writer.finish(), strict=True)]
+            model.renew(symbols[t - RENEW : t])
+        s = symbols[t : t + CHUNK]
+        u = len(s)
+        at1, at2 = model.contexts(before[t + 1 : t + 1 + u], before[t : t + u])
+        e1, e2, guess, joint, bits, chance = model.predict(at1, at2)
+        hit = (guess == s) & (chance > 0)
+        at = model.off + s
+        below, size, total = model.below.take(at), model.size.take(at), model.total
+        for j in range(u):
+            r = span >> _U(12)
+            a = r * chance[j]
+            each = ((r << _U(12)) - a) // total
+            add = np.where(hit[j], _U(0), a + each * below[j])
+            span = np.where(hit[j], a, each * size[j])
+            low += add
+            carry = np.flatnonzero(low < add)
+            if len(carry):
+                out[carry, used[carry] - 1] += _U(1)
+            full = np.flatnonzero(span < _LEAST)
+            if len(full):
+                out[full, used[full]] = low[full] >> _DIGIT
+                used[full] += 1
+                low[full] <<= _DIGIT
+                span[full] <<= _DIGIT
+        model.learn(s, at1, at2, e1, e2, guess, joint, bits, chance)
+    for digit in (low >> _DIGIT, low & (_LEAST - _U(1))):
+        out[model.lane, used] = digit
+        used += 1
+    return [Block(len(c), _crc(c), _pack(x[0]), _carried(out[i, : used[i]])) for i, (c, x) in enumerate(zip(cuts, listed, strict=True))]
 
 
 def decode_blocks(blocks: list[Block]) -> np.ndarray:
@@ -244,40 +229,51 @@ def decode_blocks(blocks: list[Block]) -> np.ndarray:
 
 def _decode_lanes(blocks: list[Block]) -> np.ndarray:
     listed = [_unpack(b.symbols) for b in blocks]
-    lengths = np.array([b.n for b in blocks])
-    steps, n = int(lengths[0]), len(blocks)
-    model = _Model(n, np.array([len(x) for x in listed]))
-    reader = _Reader([np.frombuffer(b.payload, "<u2") for b in blocks])
-    symbols = np.zeros((steps, n), np.int32)
-    for t in range(steps):
-        a = n if t < lengths[-1] else n - 1
-        if t and t % RENEW == 0:
-            model.renew()
-        model.predict(a)
-        s = model.guess.astype(np.int64)
-        asked = np.flatnonzero(model.guess >= 0)
-        r = reader.range[asked] >> _U(12)
-        cut = r * model.hit_p[asked].astype(np.uint64)
-        yes = reader.code[asked] - reader.low[asked] < cut
-        reader.take(asked, np.where(yes, reader.low[asked], reader.low[asked] + cut), np.where(yes, cut, r * (_U(4096) - model.hit_p[asked].astype(np.uint64))))
-        missed = np.ones(a, bool)
-        missed[asked[yes]] = False
-        miss = np.flatnonzero(missed)
-        if len(miss):
-            r = reader.range[miss] // model.total[miss]
-            value = np.minimum((reader.code[miss] - reader.low[miss]) // r, model.total[miss] - _U(1)).astype(np.int64)
-            base = model.row1[miss]
-            lo = np.zeros(len(miss), np.int64)
-            step = model.size >> 1
-            while step:
-                probe = lo + step
-                lo = np.where(model.flat_cum.take(base + probe) <= value, probe, lo)
-                step >>= 1
-            s[miss] = lo
-            below, above = model.flat_cum[base + lo].astype(np.uint64), model.flat_cum[base + lo + 1].astype(np.uint64)
-            reader.take(miss, reader.low[miss] + r * below, r * (above - below))
-        model.update(a, s)
-        symbols[t, :a] = s
+    n, steps = len(blocks), blocks[0].n
+    model = _Model(np.array([len(x) for x in listed]))
+    room = max(len(b.payload) for b in blocks) // 4 + 2
+    digits = np.zeros((n, room), np.uint64)
+    for i, b in enumerate(blocks):
+        own = np.frombuffer(b.payload[: len(b.payload) // 4 * 4], ">u4")
+        digits[i, : len(own)] = own
+    digits = digits.reshape(-1)
+    at = model.lane * room
+    last = at + room - 1  # a damaged payload may ask for more
+    ahead, span = (digits[at] << _DIGIT) | digits[at + 1], np.full(n, (1 << 64) - 1, np.uint64)
+    at = at + 2
+    symbols = np.zeros((steps, n), np.int64)
+    prev1, prev2 = model.prev1, model.prev2
+    for t in range(0, steps, CHUNK):
+        if t % RENEW == 0:
+            model.renew(symbols[t - RENEW : t] if t else None)
+            symbol_at = np.repeat(model.local, model.count)
+        kept = []
+        for j in range(t, min(t + CHUNK, steps)):
+            at1, at2 = model.contexts(prev1, prev2)
+            found = model.predict(at1, at2)
+            chance = found[5]
+            r = span >> _U(12)
+            a = r * chance
+            hit = ahead < a
+            each = ((r << _U(12)) - a) // model.total  # 2 ** 11 and more
+            rest = ahead - a
+            value = np.minimum((rest // each).view(np.int64), model.most)
+            own = symbol_at.take(model.base + value)
+            place = model.off + own
+            ahead = np.where(hit, ahead, rest - each * model.below.take(place))
+            span = np.where(hit, a, each * model.size.take(place))
+            full = np.flatnonzero(span < _LEAST)
+            if len(full):
+                ahead[full] = (ahead[full] << _DIGIT) | digits[np.minimum(at[full], last[full])]
+                at[full] += 1
+                span[full] <<= _DIGIT
+            s = np.where(hit, found[2], own).astype(np.int64)
+            symbols[j] = s
+            prev2, prev1 = prev1, s
+            kept.append((at1, at2, *found))
+        model.learn(symbols[t : t + CHUNK], *(np.stack(x) for x in zip(*kept, strict=True)))
+    if ahead.any() or any(4 * int(x) != len(b.payload) for x, b in zip(at - model.lane * room, blocks, strict=True)):
+        raise ValueError("a payload does not end where its block does")
     out = []
     for i, b in enumerate(blocks):
         ids = listed[i][symbols[: b.n, i]]
