@@ -168,7 +168,7 @@ def test_range_coder_round_trip_and_checksum():
 
 def test_word_encoder_equals_whole_texts():
     coder = WordEncoder(op3_tokens.default_tokenizer(), 1)
-    texts = ["Hello, it's me!! 123", "", "a <|endoftext|>b <|startoftext|>", "été Ångström   nbsp", "日本語 テスト 👩‍👩‍👧", "don't you'll  WE'RE", LONG]
+    texts = ["Hello, it's me!! 123", "", "a <|endoftext|>b <|startoftext|>", "été Ångström   nbsp", "日本語 テスト 👩‍👩‍👧", "don't you'll  WE'RE", LONG, "Éa×b÷ ÀÝÞß,,, a.b... 's' x's, É!!' ſK İI ÿ# e\u0301. a-\u0301 é=\u0338 .. A.|. <|endoftext|>... x<|endoftext|>! it'S O'Ré"]
     ids, bounds = coder.encode(pa.array(texts, pa.large_string()))
     for i, t in enumerate(texts):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == [*coder.tokenizer.encode(t, add_special_tokens=False).ids, 1]
