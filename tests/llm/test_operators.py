@@ -286,6 +286,47 @@ def test_join_of_large_groups_splits_and_blocks(spark, monkeypatch):
     assert got == brute_classes(texts)
 
 
+def joined_by(edges):
+    """The sets of nodes that edges join."""
+    found = []
+    for edge in edges:
+        touched = [x for x in found if x & set(edge)]
+        found = [x for x in found if not x & set(edge)] + [set(edge).union(*touched)]
+    return sorted(map(sorted, found))
+
+
+def test_blocks_join_chains_of_near_copies():
+    """Links between two blocks may form chains that each row's smallest linked row would cut."""
+    text = [f"t{i}" for i in range(40)]
+    near = {1: 0, 4: 4, 3: 8, 2: 12}  # 1-4, 4-3 and 3-2 are links, others are not
+    sets = {r: np.array([zlib.crc32(x.encode()) for x in [*text, *(f"e{i}" for i in range(60))][k : k + 40]], np.uint64) for r, k in near.items()}
+    rows = [(r, 1, [7], np.unique(sets[r]), int(r % 2 == 0)) for r in (1, 3, 2, 4)]
+    found = op5_jaccard.compare(7, rows)
+    assert {r: k for r, _, k in found} == {1: 1, 2: 1, 3: 2, 4: 2}
+    assert joined_by([(r, p) for r, p, _ in found]) == [[1, 2, 3, 4]]
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        linked = rng.random((9, 7)) < 0.12
+        numbers = rng.permutation(16)
+        a, b = op5_jaccard.smallest_reached(linked, numbers[:9], numbers[9:])
+        groups = joined_by([(int(numbers[i]), int(numbers[9 + j])) for i, j in np.argwhere(linked)] + [(int(x), int(x)) for x in numbers])
+        want = {x: g[0] for g in groups for x in g}
+        assert [want[x] for x in numbers.tolist()] == [*a, *b]
+
+
+def test_join_of_chains_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(op5_jaccard, "SMALL", 2)
+    monkeypatch.setattr(op5_jaccard, "BLOCK", 3)
+    words = [f"c{i}" for i in range(400)]
+    texts = [(i, " ".join(words[3 * i : 3 * i + 60]), "", "") for i in range(100)]
+    docs = spark.createDataFrame(texts, SCHEMA).repartition(3)
+    # chosen_buckets gives one bucket that all share
+    one = lambda reps, where: reps.select("row", F.lit(1).cast("long").alias("path"), F.lit(100).cast("long").alias("size"))
+    monkeypatch.setattr(op5_jaccard, "chosen_buckets", one)
+    got = rows_of(op5_jaccard.classes(docs).select("doc_id", "class_id", "n_links"))
+    assert got == brute_classes(texts)
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(100 + i, 101 + i) for i in range(30)] + [(5, 5)]

@@ -193,11 +193,28 @@ def _owned_elsewhere(path: int, a: list[list[int]], b: list[list[int]], out: np.
             out[np.ix_(left, right)] = False
 
 
+def smallest_reached(linked: np.ndarray, row_a: np.ndarray, row_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest row that links between two blocks reach from each row of either; every row is visited once."""
+    rows = np.concatenate([row_a, row_b])
+    label, n = rows.copy(), len(row_a)
+    seen_a, seen_b = ~linked.any(axis=1), ~linked.any(axis=0)
+    for i in np.argsort(rows, kind="stable").tolist():
+        if seen_a[i] if i < n else seen_b[i - n]:
+            continue
+        at_a, at_b = (np.array([i]), np.zeros(0, np.int64)) if i < n else (np.zeros(0, np.int64), np.array([i - n]))
+        while len(at_a) or len(at_b):
+            seen_a[at_a], seen_b[at_b] = True, True
+            label[at_a], label[n + at_b] = rows[i], rows[i]
+            at_a, at_b = np.flatnonzero(linked[:, at_b].any(axis=1) & ~seen_a), np.flatnonzero(linked[at_a].any(axis=0) & ~seen_b)
+    return label[:n], label[n:]
+
+
 def compare(path: int, rows: list[tuple]) -> list[tuple[int, int, int]]:
     """Links within a bucket, or between two of its blocks.
 
     rows: (row, copies, paths, tokens, side); side 0 and 1 are the blocks. Returns
-    (row, smallest row linked with it here, other rows linked in pairs counted here).
+    (row, smallest row that links here reach from it, or its smallest linked row where it is that
+    itself, other rows linked in pairs counted here): these edges join all that the links join.
     """
     a = [r for r in rows if r[4] == 0]
     b = [r for r in rows if r[4] == 1] or None
@@ -218,9 +235,10 @@ def compare(path: int, rows: list[tuple]) -> list[tuple[int, int, int]]:
     out = [(int(row_a[i]), int(low_a[i]), int(links_a[i])) for i in np.flatnonzero(links_a)]
     if b is not None:
         links_b = copies_a @ linked
+        label_a, label_b = smallest_reached(linked, row_a, row_b)
         low_b = np.where(linked, row_a[:, None], top).min(axis=0)
-        out += [(int(row_b[i]), int(low_b[i]), int(links_b[i])) for i in np.flatnonzero(links_b)]
-        return out
+        out = [(r, int(label_a[i]) if label_a[i] != r else low, k) for (r, low, k), i in zip(out, np.flatnonzero(links_a), strict=True)]
+        return out + [(int(row_b[i]), int(label_b[i] if label_b[i] != row_b[i] else low_b[i]), int(links_b[i])) for i in np.flatnonzero(links_b)]
     # the smallest neighbours alone may leave a group in parts: add each row's smallest reachable one
     label = np.minimum(row_a, low_a)
     while True:
@@ -252,7 +270,8 @@ def find_links(docs: DataFrame, reps: DataFrame, buckets: DataFrame) -> DataFram
                         own = int(mix(np.array([row], np.uint64))[0] % np.uint64(blocks))
                         for other in range(blocks):
                             low, high = min(own, other), max(own, other)
-                            out.append((path, low * blocks + high, int(own == high and low != high), row, copies, paths, packed))
+                            block = low * blocks + high if low != high else -1 - own
+                            out.append((path, block, int(own == high and low != high), row, copies, paths, packed))
                             held += len(packed)
                             if held > 4 << 20:
                                 yield _spread_batch(out)
@@ -267,7 +286,8 @@ def find_links(docs: DataFrame, reps: DataFrame, buckets: DataFrame) -> DataFram
         now, rows, seen = None, [], set()
 
         def done() -> Iterator[pa.RecordBatch]:
-            if len(rows) > 1:
+            # a block compared with one that has no rows has no pairs; negative: one block by itself
+            if len(rows) > 1 and (now[1] < 0 or len({r[4] for r in rows}) == 2):
                 found = compare(now[0], rows)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["row", "peer", "links"])
