@@ -321,12 +321,27 @@ def test_join_of_chains_across_blocks(spark, monkeypatch):
     texts = [(i, " ".join(words[3 * i : 3 * i + 60]), "", "") for i in range(100)]
     docs = spark.createDataFrame(texts, SCHEMA).repartition(3)
     # chosen_buckets gives one bucket that all share
-    one = lambda reps, where: reps.select("row", F.lit(1).cast("long").alias("path"), F.lit(100).cast("long").alias("size"))
+    one = lambda docs, reps, where: reps.select("row", F.lit(1).cast("long").alias("path"), F.lit(100).cast("long").alias("size"))
     monkeypatch.setattr(op5_jaccard, "chosen_buckets", one)
     got = rows_of(op5_jaccard.classes(docs).select("doc_id", "class_id", "n_links"))
     assert got == brute_classes(texts)
 
 
+def test_crowded_links_are_found(spark, monkeypatch):
+    """Pairs of the least similarity whose shingles stand in many other sets, so that buckets are split at all levels."""
+    assert op5_jaccard.run_loss(op5_jaccard.LEVELS) ** op5_jaccard.RUNS <= 1 - op5_jaccard.RECALL
+    monkeypatch.setattr(op5_jaccard, "SMALL", 3)
+    rng = np.random.default_rng(11)
+    passages = [" ".join(f"p{i}w{k}" for k in range(14)) for i in range(60)]
+    texts = []
+    for i in range(500):
+        own = [passages[k] for k in rng.choice(60, 16, replace=False)]
+        words = " ".join(own).split()
+        texts += [(2 * i, " ".join(words), "", ""), (2 * i + 1, " ".join([*words, *(f"e{i}x{k}" for k in range(len(shingles(" ".join(words))) // 4))]), "", "")]
+    got = op5_jaccard.classes(spark.createDataFrame(texts, SCHEMA).repartition(3)).select("doc_id", "class_id", "n_links")
+    assert rows_of(got) == sorted(((i, i - i % 2, 1) for i in range(1000)), key=repr)
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(100 + i, 101 + i) for i in range(30)] + [(5, 5)]

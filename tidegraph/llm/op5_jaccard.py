@@ -4,14 +4,17 @@ A text's set are the 64-bit hashes of its runs of SHINGLE words ([^\\x20\\x09-\\
 a text of fewer words has one, of all its words. Texts of equal sets form a class of copies,
 which the join treats as one set with a multiplicity.
 
-In each of RUNS runs a set of n tokens chooses the tokens whose hash for the run and level lies
-below BRANCH / n: similar sets choose alike, so they meet in the bucket of a shared token. A bucket
-of more than SMALL sets is split again by tokens chosen for the next level, unless a child
+In each of RUNS runs a set of n tokens chooses the tokens whose hash for the run lies below
+BRANCH / n: similar sets choose alike, so they meet in the bucket of a shared token. A bucket
+of more than SMALL sets is split again by tokens chosen by their hash for its path, unless a child
 holds half of it (its sets are alike, splitting does not help) or LEVELS are reached. Buckets are
 then compared by brute force, large ones in pairs of blocks of BLOCK sets, and every pair is counted
-in the first bucket that both sets share. Sets of similarity 0.8 share at least 1.6 tokens a
-run in the mean, so one run at the first level misses e**-1.6 of them and RUNS runs fewer than
-1 in 1,000; below that level the chance that a branch of shared paths dies out is added.
+in the first bucket that both sets share.
+
+Sets of similarity 0.8 share at least 1.6 chosen tokens a bucket in the mean, and buckets choose
+independently, so a run loses a pair with a chance of at most q(1) = e**-1.6 at the first level and
+q(k) = e**(-1.6 (1 - q(k - 1))) at level k. RUNS are as many as keep the chance that all of them
+lose it below 1 - RECALL at the deepest level.
 
 Results: per row its class_id (the smallest doc_id among the texts that links join, directly or
 through others) and n_links (other rows whose sets have a similarity of at least 0.8, copies
@@ -22,6 +25,7 @@ table gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,14 +41,29 @@ from tidegraph.llm.words import mix, scan, windows
 SHINGLE = 5
 #: Similarity as a fraction: 4 / 5.
 NUMERATOR, DENOMINATOR = 4, 5
-RUNS, LEVELS, BRANCH = 5, 3, 2.0
+LEVELS, BRANCH = 3, 2.0
+#: Least chance of each link to be found, also of one whose buckets are split at all levels.
+RECALL = 0.9999
 SMALL = 64
 BLOCK = 2048
 #: Bytes kept of a token's hash where sets are compared.
 TOKEN_BYTES = 5
 #: Cells of a dense block of sets by tokens.
 CELLS = 1 << 23
-_SEEDS = mix(np.arange(1, RUNS * LEVELS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Tokens by paths of a step in which crowded buckets choose.
+CHOICES = 1 << 20
+
+
+def run_loss(levels: int) -> float:
+    """A bound on the chance that a run loses a pair of the least similarity, if all buckets are split down to a level."""
+    lost = 0.0
+    for _ in range(levels):
+        lost = math.exp(-BRANCH * NUMERATOR / DENOMINATOR * (1 - lost))
+    return lost
+
+
+RUNS = math.ceil(math.log(1 - RECALL) / math.log(run_loss(LEVELS)))
+_SEEDS = mix(np.arange(1, RUNS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def token_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -74,11 +93,37 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-SETS_SCHEMA = "row long, doc_id long, key long, n long, d1 long, d2 long, chosen array<array<long>>"
+SETS_SCHEMA = "row long, doc_id long, key long, n long, d1 long, d2 long, chosen array<long>"
+
+
+def limits(sizes: np.ndarray) -> np.ndarray:
+    """The hashes up to which sets of these sizes choose tokens."""
+    share = np.minimum(BRANCH / np.maximum(sizes, 1), 1.0)
+    limit = np.minimum(share * 2.0**64, 2.0**64 - 2048).astype(np.uint64)
+    limit[share >= 1] = np.uint64(2**64 - 1)
+    return limit
+
+
+def further_paths(tokens: np.ndarray, bounds: np.ndarray, at: np.ndarray, paths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The paths by which set at[i] leaves bucket paths[i]: each one's i, and the path."""
+    sizes, seeds = np.diff(bounds), mix(paths ^ np.uint64(0xD1B54A32D192ED03))
+    limit, total = limits(sizes), np.concatenate([[0], np.cumsum(sizes[at])])
+    which, out, first = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    while first < len(at):
+        stop = max(first + 1, int(np.searchsorted(total, total[first] + CHOICES, side="right")) - 1)
+        n = sizes[at[first:stop]]
+        i = np.repeat(np.arange(first, stop), n)
+        place = np.arange(len(i)) + np.repeat(bounds[at[first:stop]] - (total[first:stop] - total[first]), n)
+        mixed = mix(tokens[place] ^ seeds[i])
+        hit = np.flatnonzero(mixed <= limit[at[i]])
+        which.append(i[hit])
+        out.append(mix(mixed[hit] + seeds[i[hit]]))
+        first = stop
+    return np.concatenate(which), np.concatenate(out)
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """Per row: a row number, the text's hash, its set's size and 128-bit digest, and the tokens chosen for each level and run."""
+    """Per row: a row number, the text's hash, its set's size and 128-bit digest, and the tokens chosen in all runs."""
     arrow_rows(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
 
@@ -88,21 +133,17 @@ def describe(docs: DataFrame) -> DataFrame:
             for part, texts in steps(batch, "text"):
                 tokens, bounds = token_sets(texts)
                 sizes, n = np.diff(bounds), len(texts)
-                share = np.minimum(BRANCH / np.maximum(sizes, 1), 1.0)
-                limit = np.minimum(share * 2.0**64, 2.0**64 - 2048).astype(np.uint64)
-                limit[share >= 1] = np.uint64(2**64 - 1)
-                limit, owner = np.repeat(limit, sizes), np.repeat(np.arange(n), sizes)
+                limit, owner = np.repeat(limits(sizes), sizes), np.repeat(np.arange(n), sizes)
                 slots, values = [], []
-                for i, seed in enumerate(_SEEDS):
+                for seed in _SEEDS:
                     mixed = mix(tokens ^ seed)
                     at = np.flatnonzero(mixed <= limit)
-                    slots.append(owner[at] * len(_SEEDS) + i)
+                    slots.append(owner[at])
                     values.append(mixed[at])
                 slot, value = np.concatenate(slots), np.concatenate(values)
                 order = np.argsort(slot, kind="stable")
-                inner = np.searchsorted(slot[order], np.arange(n * len(_SEEDS) + 1))
-                lists = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(value[order].view(np.int64)))
-                chosen = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(_SEEDS), pa.int32()), lists)
+                inner = np.searchsorted(slot[order], np.arange(n + 1))
+                chosen = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(value[order].view(np.int64)))
                 d1 = _sums(mix(tokens + np.uint64(1)), bounds)
                 d2 = _sums(mix(tokens ^ np.uint64(0xA0761D6478BD642F)), bounds)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), part.column(0), part.column(1), pa.array(sizes), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), chosen], names=[x.split(" ")[0] for x in SETS_SCHEMA.split(", ")])
@@ -117,10 +158,35 @@ def _sized(members: DataFrame, *more) -> DataFrame:
     return found.where("size > 1")
 
 
-def chosen_buckets(reps: DataFrame, where: str) -> DataFrame:
+def with_texts(docs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (row, ...) with copies and text; rows alike in id and text come once for each of them."""
+    needed = rows.join(reps.select("row", "copies", F.col("doc_id").alias("d"), F.col("key").alias("k")), "row")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    return texts.join(needed, texts["doc_id"].eqNullSafe(F.col("d")) & (texts["key"] == F.col("k")))
+
+
+def branches(docs: DataFrame, reps: DataFrame, large: DataFrame) -> DataFrame:
+    """(row, level, parent, path): the paths of all further levels below large (row, path)."""
+    crowded = with_texts(docs, reps, large.groupBy("row").agg(F.collect_list("path").alias("paths"))).select("row", "paths", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in steps(batch, "text"):
+                tokens, bounds = token_sets(texts)
+                rows, lists = part.column(0).to_numpy(), part.column(1)
+                paths = lists.flatten().to_numpy().view(np.uint64)
+                at = np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy())
+                for level in range(2, LEVELS + 1):
+                    above, path = further_paths(tokens, bounds, at, paths)
+                    at, parent, paths = at[above], paths[above], path
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[at]), pa.array(np.full(len(at), level, np.int32)), pa.array(parent.view(np.int64)), pa.array(paths.view(np.int64))], names=["row", "level", "parent", "path"])
+
+    return crowded.mapInArrow(run, "row long, level int, parent long, path long").distinct()
+
+
+def chosen_buckets(docs: DataFrame, reps: DataFrame, where: str) -> DataFrame:
     """(row, path, size): the buckets to compare by brute force, each set of members once."""
-    each = reps.select("row", F.posexplode(F.slice("chosen", 1, RUNS)).alias("run", "tokens"))
-    members = materialise(each.select("row", "run", F.explode("tokens").alias("path")), "members1", where)
+    members = materialise(reps.select("row", F.explode("chosen").alias("path")), "members1", where)
     sizes = materialise(_sized(members), "sizes1", where)
     leaves = []
     for level in range(1, LEVELS + 1):
@@ -130,13 +196,15 @@ def chosen_buckets(reps: DataFrame, where: str) -> DataFrame:
         if level == LEVELS or large.isEmpty():
             leaves.append(large.select("row", "path", "size", "mark"))
             break
-        tokens = F.get("chosen", F.lit(level * RUNS) + F.col("run"))
-        children = large.join(reps.select("row", "chosen"), "row").select("row", "run", F.col("path").alias("parent"), F.col("size").alias("parent_size"), F.explode(tokens).alias("token"))
-        children = materialise(children.select("row", "run", "parent", "parent_size", F.xxhash64("parent", "token").alias("path")), f"members{level + 1}", where)
+        if level == 1:
+            below = materialise(branches(docs, reps, large), "branches", where)
+        parents = large.select(F.col("path").alias("parent"), F.col("size").alias("parent_size")).distinct()
+        children = below.where(F.col("level") == level + 1).join(parents, "parent").select("row", "parent", "parent_size", "path")
+        children = materialise(children, f"members{level + 1}", where)
         sized = materialise(_sized(children, F.first("parent").alias("parent"), F.first("parent_size").alias("parent_size")), f"sizes{level + 1}", where)
         alike = sized.where(2 * F.col("size") >= F.col("parent_size")).select("parent").distinct()
         leaves.append(large.join(alike, large["path"] == alike["parent"], "left_semi").select("row", "path", "size", "mark"))
-        members = children.select("row", "run", "path")
+        members = children.select("row", "path")
         sizes = sized.join(alike, "parent", "left_anti").select("path", "size", "mark")
     every = leaves[0]
     for more in leaves[1:]:
@@ -252,9 +320,7 @@ def compare(path: int, rows: list[tuple]) -> list[tuple[int, int, int]]:
 def find_links(docs: DataFrame, reps: DataFrame, buckets: DataFrame) -> DataFrame:
     """(row, peer, links): compare the sets of each bucket; copies of one pair count by their number."""
     needed = buckets.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("path", "size"))).alias("buckets"))
-    needed = needed.join(reps.select("row", "copies", F.col("doc_id").alias("d"), F.col("key").alias("k")), "row")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    met = texts.join(needed, texts["doc_id"].eqNullSafe(F.col("d")) & (texts["key"] == F.col("k")))
+    met = with_texts(docs, reps, needed)
     met = met.select("row", "copies", F.col("buckets.path").alias("paths"), F.col("buckets.size").alias("sizes"), "text")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +388,7 @@ def classes(docs: DataFrame) -> DataFrame:
     groups = materialise(groups, "groups", where)
     reps = some.join(groups.select(F.col("rep").alias("row"), "copies"), "row").select("row", "doc_id", "key", "copies", "chosen")
     reps = materialise(reps, "reps", where)
-    buckets = materialise(chosen_buckets(reps, where), "buckets", where)
+    buckets = materialise(chosen_buckets(docs, reps, where), "buckets", where)
     links = materialise(find_links(docs, reps, buckets), "links", where)
     counted = links.groupBy("row").agg(F.sum("links").alias("links"))
     joined = components(links.select(F.col("row").alias("a"), F.col("peer").alias("b")))
