@@ -361,6 +361,14 @@ def test_components(spark):
     assert got == {i: root(i) for i in parent}
 
 
+def test_components_settle(spark, monkeypatch):
+    """However many rounds a long chain takes, none of its nodes is left with another component."""
+    monkeypatch.setattr("tidegraph.llm.components.MAX_ROUNDS", 2, raising=False)
+    order = np.random.default_rng(3).permutation(200).tolist()
+    edges = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long")
+    assert rows_of(components(edges)) == sorted(((i, 0) for i in range(200)), key=repr)
+
+
 # 6
 
 def test_warc(spark):

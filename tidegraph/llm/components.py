@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm.common import materialise, scratch_dir
 
-MAX_ROUNDS = 50
-
 
 def _stars(edges: DataFrame) -> DataFrame:
     """(u, v, low): each edge with the smallest of u and its neighbours."""
@@ -19,13 +19,13 @@ def _stars(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node that has an edge to another; component is its smallest node.
 
-    Each round halves distances to the smallest node; edges never grow in number. Loops are
-    ignored and an empty table gives an empty table.
+    Each round halves distances to the smallest node; edges never grow in number. Rounds
+    go on until one changes nothing. Loops are ignored and an empty table gives an empty table.
     """
     where = scratch_dir(edges.sparkSession)
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now, before = materialise(now, "edges", where), None
-    for step in range(MAX_ROUNDS):
+    for step in count():
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _stars(both).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
         small = _stars(large)
