@@ -389,6 +389,26 @@ def test_warc(spark):
     assert op6_warc.read_warc(op6_warc.write_warc(df.limit(0), op6_warc.scratch_dir(spark))).count() == 0
 
 
+def test_query_logs_gaps(spark, tmp_path, monkeypatch, caplog):
+    """The query itself writes what it could not read of a damaged archive."""
+    spark.createDataFrame([(i, "u", f"{i}" * 300) for i in range(4)], "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    write, folders = op6_warc.write_warc, []
+
+    def damaged(pages, folder):
+        manifest = write(pages, folder)
+        path = manifest.first()["path"]
+        data = bytearray(read_bytes(path))
+        data[30] ^= 0xFF
+        op6_warc.write_bytes(path, bytes(data))
+        folders.append(folder)
+        return manifest
+
+    monkeypatch.setattr(op6_warc, "write_warc", damaged)
+    assert op6_warc.op6_warc(spark, str(tmp_path)).count() == 3
+    logged = spark.read.parquet(f"{folders[0]}/quarantine").collect()
+    assert len(logged) == 1 and logged[0]["start"] == 0 < logged[0]["stop"] and "quarantine" in caplog.text
+
+
 def test_salvage():
     records = [op6_warc.pack_record(i, f"u{i}", bytes([65 + i]) * 300, hashlib.sha256(bytes([65 + i]) * 300).hexdigest(), None, False) for i in range(6)]
     members = [op6_warc.gzip_member(r) for r in records]

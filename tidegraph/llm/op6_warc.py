@@ -17,6 +17,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import logging
 import re
 import uuid
 import zlib
@@ -229,43 +230,58 @@ def _each_file(paths: DataFrame) -> DataFrame:
     return paths.select("path").repartition(max(1, min(paths.count(), 100_000)), "path")
 
 
-def read_warc(paths: DataFrame) -> DataFrame:
-    """The records of archives (path), with length and digest taken from the payload itself where there is one."""
+def salvaged(paths: DataFrame) -> DataFrame:
+    """The records and the quarantined gaps of archives (path), of one pass over them; rows of gaps have a reason."""
+    names = [x.split(" ")[0] for x in f"{RECORD_SCHEMA}, {GAP_SCHEMA}".split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows = []
-                for r in salvage(read_bytes(path))[0]:
+                records, gaps = salvage(read_bytes(path))
+                for r in records:
                     h = r.headers
                     page = int(h["x-page-id"]) if "x-page-id" in h else None
                     if h["warc-type"] == "revisit":
-                        rows.append((page, int(h["x-payload-length"]), h["warc-payload-digest"].partition(":")[2], "revisit", int(h["x-refers-to-page"])))
+                        row = (page, int(h["x-payload-length"]), h["warc-payload-digest"].partition(":")[2], "revisit", int(h["x-refers-to-page"]))
                     else:
                         payload = r.payload
-                        rows.append((page, len(payload), hashlib.sha256(payload).hexdigest(), "response", None))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[i] for x in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))],
-                    names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
-                )
+                        row = (page, len(payload), hashlib.sha256(payload).hexdigest(), "response", None)
+                    rows.append((*row, None, None, None, None))
+                rows += [(None, None, None, None, None, path, *gap) for gap in gaps]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate(kinds)], names=names)
+
+    return _each_file(paths).mapInArrow(run, f"{RECORD_SCHEMA}, {GAP_SCHEMA}")
+
 
-    return _each_file(paths).mapInArrow(run, RECORD_SCHEMA)
+def records_in(rows: DataFrame) -> DataFrame:
+    return rows.where("reason is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def gaps_in(rows: DataFrame) -> DataFrame:
+    return rows.where("reason is not null").select("path", "start", "stop", "reason")
+
+
+def read_warc(paths: DataFrame) -> DataFrame:
+    """The records of archives (path), with length and digest taken from the payload itself where there is one."""
+    return records_in(salvaged(paths))
 
 
 def read_gaps(paths: DataFrame) -> DataFrame:
     """The quarantined gaps of archives: path, start, stop, reason."""
+    return gaps_in(salvaged(paths))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                gaps = salvage(read_bytes(path))[1]
-                yield pa.RecordBatch.from_pydict({
-                    "path": pa.array([path] * len(gaps), pa.string()), "start": pa.array([g[0] for g in gaps], pa.int64()),
-                    "stop": pa.array([g[1] for g in gaps], pa.int64()), "reason": pa.array([g[2] for g in gaps], pa.string()),
-                })
 
-    return _each_file(paths).mapInArrow(run, GAP_SCHEMA)
+def read_and_log(paths: DataFrame, folder: str) -> DataFrame:
+    """The records of archives; where there are gaps, they are written to folder/quarantine and a warning names it."""
+    rows = materialise(salvaged(paths), "salvaged", folder)
+    if not gaps_in(rows).isEmpty():
+        lost = materialise(gaps_in(rows), "quarantine", folder)
+        logging.getLogger(__name__).warning("%d gaps in archives, see %s/quarantine", lost.count(), folder)
+    return records_in(rows)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_warc(write_warc(read(spark, sf_dir, "pages", "page_id", "url", "html"), scratch_dir(spark)))
+    folder = scratch_dir(spark)
+    return read_and_log(write_warc(read(spark, sf_dir, "pages", "page_id", "url", "html"), folder), folder)
