@@ -427,6 +427,28 @@ def test_salvage():
     assert op6_warc.salvage(b"") == ([], [])
 
 
+def test_salvage_keeps_intact_records_of_a_damaged_member():
+    rng = np.random.default_rng(8)
+    bodies = [rng.integers(0, 256, 9000, dtype=np.uint8).tobytes() for _ in range(6)]
+    records = [op6_warc.pack_record(i, f"u{i}", b, hashlib.sha256(b).hexdigest(), None, False) for i, b in enumerate(bodies)]
+    many, last = op6_warc.gzip_member(b"".join(records[:5])), op6_warc.gzip_member(records[5])
+    pages = lambda found: [r.headers["x-page-id"] for r in found]
+    for cut in (1, 8, 9, 100):
+        found, gaps = op6_warc.salvage(many[:-cut])
+        assert pages(found) == (["0", "1", "2", "3", "4"] if cut < 9 else pages(found)) and len(found) >= 4
+        assert len(gaps) == 1 and len(many) - 10000 < gaps[0][0] < gaps[0][1] == len(many) - cut
+    wrong = bytearray(many)
+    wrong[-6] ^= 0xFF  # the crc32
+    found, gaps = op6_warc.salvage(bytes(wrong) + last)
+    assert pages(found) == ["0", "1", "2", "3", "4", "5"]
+    assert len(gaps) == 1 and len(many) - 20 < gaps[0][0] < gaps[0][1] == len(many)
+    wrong = bytearray(many)
+    wrong[len(many) // 2] ^= 0xFF  # in the third record
+    found, gaps = op6_warc.salvage(bytes(wrong) + last)
+    assert pages(found)[:2] == ["0", "1"] and pages(found)[-1] == "5" and "2" not in pages(found) and len(set(pages(found))) == len(found)
+    assert len(gaps) >= 1 and gaps[0][0] > len(many) // 3
+
+
 # 7
 
 def brute_hits(texts, items):

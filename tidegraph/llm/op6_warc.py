@@ -6,7 +6,8 @@ more, the one with the smallest page_id is a response and the others are revisit
 The reader checks each member's crc32, its header and its block digest. After a failed check it
 searches for the next offset at which a member decompresses to a version line (in a file that
 is not compressed: for the next version line), goes on there, and logs the bytes between as a
-quarantined gap. Only file parts that fail are lost.
+quarantined gap. Of a member that is damaged or cut off, the records that came out of it and whose
+block digests hold are kept. Only file parts that fail are lost.
 
 Defined results: a null html is an empty payload; a null url writes no target; a null page_id is
 kept as null, and such a page is a response only where no page with an id has its payload;
@@ -37,6 +38,8 @@ REVISIT_BYTES = 100
 FILE_BYTES = 32 << 20
 #: Parts in which a group of equal payloads is dealt.
 SALT = 32
+#: Bytes of a member that are decompressed at once.
+PIECE_BYTES = 16 << 10
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -116,16 +119,40 @@ def parse_record(data: bytes, at: int = 0) -> tuple[Record, int]:
     return Record(headers, block), stop + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member at an offset, and the offset behind it."""
-    unpacker = zlib.decompressobj(31)
+def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at an offset decompresses to, the offset behind that, and why it fails, if it does."""
+    view, out, pos, unpacker = memoryview(data), [], at, zlib.decompressobj(31)
     try:
-        out = unpacker.decompress(memoryview(data)[at:])
+        while not unpacker.eof and pos < len(data):
+            out.append(unpacker.decompress(view[pos : pos + PIECE_BYTES]))
+            pos = min(pos + PIECE_BYTES, len(data))
     except zlib.error as error:
-        raise ValueError(str(error)) from None
+        got, broken = _unpacked(data, at, pos, min(pos + PIECE_BYTES, len(data)))
+        return got, broken, str(error)
     if not unpacker.eof:
-        raise ValueError("member is cut off")
-    return out, len(data) - len(unpacker.unused_data)
+        return b"".join(out), len(data), "member is cut off"
+    return b"".join(out), pos - len(unpacker.unused_data), ""
+
+
+def _unpacked(data: bytes, at: int, whole: int, stop: int) -> tuple[bytes, int]:
+    """What a damaged member gives byte by byte from an offset on, and where it fails."""
+    view, unpacker = memoryview(data), zlib.decompressobj(31)
+    out = [unpacker.decompress(view[at:whole])]
+    for pos in range(whole, stop):
+        try:
+            out.append(unpacker.decompress(view[pos : pos + 1]))
+        except zlib.error:
+            return b"".join(out), pos
+    return b"".join(out), stop
+
+
+def _packed_bytes(data: bytes, at: int, stop: int, size: int) -> int:
+    """The offset at which a member has given its first size bytes."""
+    unpacker, given, view = zlib.decompressobj(31), 0, memoryview(data)
+    while at < stop and given < size:
+        given += len(unpacker.decompress(view[at : at + 1]))
+        at += 1
+    return at
 
 
 def _starts_record(data: bytes, at: int) -> bool:
@@ -139,18 +166,27 @@ def salvage(data: bytes) -> tuple[list[Record], list[tuple[int, int, str]]]:
     """All records that pass their checks, and the gaps (start, stop, reason) between them."""
     records: list[Record] = []
     gaps: list[tuple[int, int, str]] = []
-    at = 0
+    at = until = 0
+    kept: list[Record] = []  # of the damaged member that reaches to until
     while at < len(data):
         try:
             if data.startswith(_GZIP, at):
-                inner, stop = _member(data, at)
+                inner, stop, broken = _member(data, at)
+                if broken:
+                    kept, intact = kept_of(inner)
+                    records += kept
+                    start = _packed_bytes(data, at, stop, intact) if intact else at
+                    until, at = stop, next_start(data, max(start, at + 1))
+                    gaps.append((min(start, len(data) - 1), at, broken))
+                    continue
                 found, lost = (records_of(inner)) if inner else ([], "")
                 if lost:
                     gaps.append((at, stop, lost))
                 records += found
             else:
                 record, stop = parse_record(data, at)
-                records.append(record)
+                if at >= until or record not in kept:  # stored members show their records
+                    records.append(record)
             at = stop
         except ValueError as error:
             stop = next_start(data, at + 1)
@@ -159,6 +195,23 @@ def salvage(data: bytes) -> tuple[list[Record], list[tuple[int, int, str]]]:
     return records, gaps
 
 
+def kept_of(inner: bytes) -> tuple[list[Record], int]:
+    """The records of a damaged member whose block digests hold, and the bytes before the first that is lost."""
+    found, at, intact = [], 0, None
+    while at < len(inner):
+        try:
+            record, stop = parse_record(inner, at)
+            if "warc-block-digest" not in record.headers:
+                raise ValueError("no block digest")
+            found.append(record)
+            at = stop
+        except ValueError:
+            intact = at if intact is None else intact
+            later = _VERSION.search(inner, at + 1)
+            at = later.start() if later else len(inner)
+    return found, at if intact is None else intact
+
+
 def records_of(inner: bytes) -> tuple[list[Record], str]:
     """The records inside one member, and why some of it was lost, if any was."""
     found, lost, at = [], "", 0
