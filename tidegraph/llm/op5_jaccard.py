@@ -51,7 +51,7 @@ TOKEN_BYTES = 5
 #: Cells of a dense block of sets by tokens.
 CELLS = 1 << 23
 #: Tokens by paths of a step in which crowded buckets choose.
-CHOICES = 1 << 20
+CHOICES = 1 << 17
 
 
 def run_loss(levels: int) -> float:
