@@ -10,10 +10,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidegraph.llm import op1_hmm, op2_quality, op3_tokens, op4_mix, op5_jaccard, op6_warc, op7_decontaminate, op8_rules, op9_sections, op10_license, range_coder
+from tidegraph.llm import block_coder, op1_hmm, op2_quality, op3_tokens, op4_mix, op5_jaccard, op6_warc, op7_decontaminate, op8_rules, op9_sections, op10_license
 from tidegraph.llm.components import components
 from tidegraph.llm.files import read_bytes
-from tidegraph.llm.tokenizing import WordEncoder
+from tidegraph.llm.tokenizing import WordEncoder, _Places
 from tidegraph.llm.words import scan
 
 BASE = "the quick brown fox jumps over the lazy dog while nine other animals look on and say nothing at all about it".split()
@@ -152,18 +152,22 @@ def test_isotonic():
 
 # 3
 
-def test_range_coder_round_trip_and_checksum():
+def test_block_coder_round_trip_and_checksum(spark):
     rng = np.random.default_rng(5)
-    for n in (0, 1, 2, 4096, 4097, 30000):
-        for ids in (rng.integers(0, 49408, n), rng.zipf(1.3, n) % 300, np.zeros(n, np.int64)):
-            blocks = range_coder.encode_blocks(ids)
-            assert np.array_equal(range_coder.decode_blocks(blocks), ids)
-    blocks = range_coder.encode_blocks(rng.integers(0, 49408, 5000))
-    blocks[0].payload = bytes([blocks[0].payload[0] ^ 1]) + blocks[0].payload[1:]
-    with pytest.raises(ValueError):
-        range_coder.decode_blocks(blocks)
-    text = np.tile(rng.integers(0, 500, 200), 100)
-    assert sum(len(b.payload) for b in range_coder.encode_blocks(text)) < len(text)
+    blocks = [ids.astype("<u4").tobytes() for n in (1, 2, 300, 4097, 30000) for ids in (rng.integers(0, 49408, n), rng.zipf(1.3, n) % 300, np.zeros(n, np.int64), rng.integers(0, 1 << 32, n), np.tile(rng.integers(0, 50, 20), n)[:n])]
+    coded = spark.createDataFrame([(i, b) for i, b in enumerate(blocks)], "i int, ids binary").select("i", block_coder.encode_block(spark, F.col("ids")).alias("code"))
+    got = {r["i"]: bytes(r["code"]) for r in coded.collect()}
+    damaged = []
+    for i in (3, 11, 16, 20):
+        damaged += [got[i][:at] + bytes([got[i][at] ^ bit]) + got[i][at + 1 :] for at in {0, 5, 9, 14, len(got[i]) // 2, len(got[i]) - 1} for bit in (1, 128)] + [got[i][:-1], got[i] + b"x", got[i][:10], b""]
+    every = [*got.items(), *((-1, b) for b in damaged)]
+    back = spark.createDataFrame([(i, bytearray(b)) for i, b in every], "i int, code binary").select("i", block_coder.decode_block(spark, F.col("code")).alias("ids")).collect()
+    for r in back:
+        assert (r["ids"] is None) if r["i"] < 0 else bytes(r["ids"]) == blocks[r["i"]]
+    # random ids cost what they hold, repeats next to nothing
+    assert len(got[20]) < 1.1 * 30000 * 2 + 3 * 22000 and len(got[22]) < 400 and len(got[24]) < 400
+    text = np.tile(rng.integers(0, 500, 200), 100).astype("<u4").tobytes()
+    assert spark.createDataFrame([(bytearray(text),)], "b binary").select(F.length(block_coder.encode_block(spark, F.col("b"))).alias("n")).first()["n"] < 2000
 
 
 def test_word_encoder_equals_whole_texts():
@@ -185,14 +189,44 @@ def test_token_files(spark, docs):
     assert op3_tokens.token_digest(docs.limit(0)).count() == 0
 
 
+def test_token_files_of_many_blocks(spark, docs, tmp_path):
+    """Documents longer than a block and than a file, null ids, and damage."""
+    coder = WordEncoder(op3_tokens.default_tokenizer(), 1).tokenizer
+    folder = f"file://{tmp_path}/tokens"
+    manifest = op3_tokens.write_tokens(docs, folder, op3_tokens.default_tokenizer(), file_tokens=500, block=64)
+    got = op3_tokens.read_tokens(manifest, with_ids=True).collect()
+    want = sorted((t[0] or -1, [*coder.encode(t[1] or "", add_special_tokens=False).ids, 1]) for t in TEXTS)
+    assert sorted((r["doc_id"] or -1, r["ids"]) for r in got) == want
+    assert manifest.count() > 2 and manifest.agg(F.sum("n_docs")).first()[0] == len(TEXTS)
+    assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and r["n_tokens"] == len(r["ids"]) for r in got)
+    path = manifest.orderBy(F.desc("n_bytes")).first()["path"]
+    data = read_bytes(path)
+    (tmp_path / "tokens" / path.rpartition("/")[2]).write_bytes(data[:-3] + bytes([data[-3] ^ 4]) + data[-2:])
+    with pytest.raises(Exception, match="checksum differs"):
+        op3_tokens.read_tokens(manifest).collect()
+
+
 def test_token_file_checks():
-    data = op3_tokens.pack_file([1, None], np.array([3, 1]), np.array([5, 6, 1, 1]))
-    assert op3_tokens.unpack_file(data)[0] == [1, None]
-    for at in (3, 25, len(data) - 1):
+    data = op3_tokens.pack_file(op3_tokens.pack_documents([1, None], [3, 1]), [b"abc", b"d"])
+    documents, blocks = op3_tokens.unpack_file(data)
+    assert op3_tokens.unpack_documents(documents) == ([1, None], [3, 1]) and blocks == [b"abc", b"d"]
+    for at in (3, 25, 40):
         with pytest.raises(ValueError):
             op3_tokens.unpack_file(data[:at] + bytes([data[at] ^ 255]) + data[at + 1 :])
 
 
+def test_word_places():
+    rng = np.random.default_rng(2)
+    places, known = _Places(4), {}
+    for _ in range(20):
+        keys = np.unique(rng.integers(1, 3000, 400).astype(np.uint64) * np.uint64(64))  # many for one place
+        found = places.find(keys)
+        assert found.tolist() == [known.get(int(k), -1) for k in keys]
+        new = keys[found < 0]
+        places.add(new, np.arange(len(known), len(known) + len(new), dtype=np.int32))
+        known.update(zip(map(int, new), range(len(known), len(known) + len(new)), strict=True))
+
+
 # 4
 
 def test_mix(spark, docs):

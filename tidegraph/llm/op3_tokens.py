@@ -2,16 +2,19 @@
 
 Documents are dealt by ranges of doc_id and sorted, so the files of one partition after
 another hold them in ascending order. A task encodes its texts with the tokenizers library,
-appends the end id to each document and writes a file whenever FILE_TOKENS ids have come
-together, always at the end of a document. The rows that the write stage returns are the
-manifest; only files named there are read, so files of lost attempts do no harm.
+appends the end id to each document, cuts the ids of all documents into blocks of BLOCK ids and
+closes a file whenever FILE_TOKENS ids have come together, always at the end of a document.
+The coder (block_coder) turns each block into bytes and back; only one block at a time is held as ids.
+The rows that the write stage returns are the manifest; only files named there are read, so files
+of lost attempts do no harm.
 
-File: magic, a crc32 of the index, the index (documents with id, ids and a null mark; blocks
-with ids, crc32 and lengths), then each block's symbols and payload (range_coder).
+File: magic, length and crc32 of the index, the index (documents with id, ids and a null mark;
+the blocks' lengths), then the blocks, each with its own crc32.
 
 Defined results: a null text is empty and holds the end id alone; a null doc_id comes first
 and is read back as null; documents of one id keep the order of their texts' hashes, rows alike
-in both are interchangeable; an empty table gives no file and no row; extra columns are ignored.
+in both are interchangeable; a very long text spans blocks, its ids are never held together;
+an empty table gives no file and no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,30 +30,42 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegraph.llm import range_coder
+from tidegraph.llm.block_coder import decode_block, encode_block
 from tidegraph.llm.common import arrow_rows, materialise, read, scratch_dir, steps
 from tidegraph.llm.files import read_bytes, write_bytes
 from tidegraph.llm.tokenizing import encoder
 
-MAGIC = b"TGID0002"
+MAGIC = b"TGID0003"
 END_ID = 1
-FILE_TOKENS = range_coder.BLOCK * range_coder.LANES
+#: Ids of a block, and ids after which a file is closed.
+BLOCK = 1 << 15
+FILE_TOKENS = BLOCK * 192
+#: Blocks that travel in one batch, and the number that marks a row with the documents of a file.
+BATCH_BLOCKS = 16
+DOCUMENTS = -1
+PARTS = "first long, block int, data binary"
 
 
-def pack_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """A file of documents, given their ids one after another."""
-    blocks = range_coder.encode_blocks(ids)
-    index = [struct.pack("<QQ", len(doc_ids), len(blocks))]
-    index.append(np.array([d or 0 for d in doc_ids], "<i8").tobytes())
-    index.append(np.array([d is None for d in doc_ids], np.uint8).tobytes())
-    index.append(lengths.astype("<u8").tobytes())
-    index.append(np.array([[b.n, b.crc, len(b.symbols), len(b.payload)] for b in blocks], "<u4").tobytes())
-    head = b"".join(index)
-    return b"".join([MAGIC, struct.pack("<QI", len(head), zlib.crc32(head)), head, *(x for b in blocks for x in (b.symbols, b.payload))])
+def pack_documents(doc_ids: list[int | None], lengths: list[int]) -> bytes:
+    """The documents of a file: number, ids, null marks, lengths."""
+    return b"".join([struct.pack("<Q", len(doc_ids)), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(), np.array(lengths, "<u8").tobytes()])
 
 
-def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """(doc ids, lengths, ids); ValueError where a checksum differs."""
+def unpack_documents(data: bytes) -> tuple[list[int | None], list[int]]:
+    (n,) = struct.unpack_from("<Q", data)
+    ids = np.frombuffer(data, "<i8", n, 8).tolist()
+    null = np.frombuffer(data, np.uint8, n, 8 + 8 * n).tolist()
+    return [None if x else d for d, x in zip(ids, null, strict=True)], np.frombuffer(data, "<u8", n, 8 + 9 * n).tolist()
+
+
+def pack_file(documents: bytes, blocks: list[bytes]) -> bytes:
+    """A file of packed documents and coded blocks."""
+    head = struct.pack("<QQ", len(documents), len(blocks)) + documents + np.array([len(b) for b in blocks], "<u8").tobytes()
+    return b"".join([MAGIC, struct.pack("<QI", len(head), zlib.crc32(head)), head, *blocks])
+
+
+def unpack_file(data: bytes) -> tuple[bytes, list[bytes]]:
+    """The packed documents and coded blocks of a file; ValueError where the index is damaged."""
     if data[:8] != MAGIC:
         raise ValueError("not a token file")
     size, crc = struct.unpack_from("<QI", data, 8)
@@ -58,65 +73,116 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     if len(head) != size or zlib.crc32(head) != crc:
         raise ValueError("index: checksum differs")
     n, k = struct.unpack_from("<QQ", head)
-    at = 16
-    doc_ids = np.frombuffer(head, "<i8", n, at).tolist()
-    null = np.frombuffer(head, np.uint8, n, at + 8 * n)
-    lengths = np.frombuffer(head, "<u8", n, at + 9 * n).astype(np.int64)
-    table = np.frombuffer(head, "<u4", 4 * k, at + 17 * n).reshape(k, 4).tolist()
-    at, blocks = 20 + size, []
-    for count, crc, a, b in table:
-        blocks.append(range_coder.Block(count, crc, data[at : at + a], data[at + a : at + a + b]))
-        at += a + b
-    return [None if x else d for d, x in zip(doc_ids, null.tolist(), strict=True)], lengths, range_coder.decode_blocks(blocks)
-
-
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """Write the files of docs (doc_id, text) below folder; returns the manifest."""
-    arrow_rows(docs.sparkSession)
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    dealt = keyed.repartitionByRange("doc_id", "key", F.monotonically_increasing_id()).sortWithinPartitions("doc_id", "key").select("doc_id", "text")
+    ends = 20 + size + np.cumsum(np.frombuffer(head, "<u8", k, 16 + n).astype(np.int64))
+    return head[16 : 16 + n], [data[a:b] for a, b in zip([20 + size, *ends[:-1].tolist()], ends.tolist(), strict=True)] if k else []
+
+
+class _Batches:
+    """Rows (first, block, data) gathered into batches of some blocks."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[int, int, bytes | memoryview]] = []
+
+    def add(self, first: int, block: int, data: bytes) -> Iterator[pa.RecordBatch]:
+        self.rows.append((first, block, data))
+        if len(self.rows) >= BATCH_BLOCKS:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            first, block, data = zip(*self.rows, strict=True)
+            self.rows = []
+            yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(block, pa.int32()), pa.array(data, pa.binary())], names=["first", "block", "data"])
+
+
+def id_blocks(docs: DataFrame, tokenizer: str, end_id: int, file_tokens: int, size: int) -> DataFrame:
+    """PARTS rows, in order: the blocks of ids of each file (first: the file's number), then its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer, end_id)
-        part, seq = TaskContext.get().partitionId(), 0
-        names: list[int | None] = []
-        lengths: list[np.ndarray] = []
-        held: list[np.ndarray] = []
-        n_held = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal names, lengths, held, n_held, seq
-            path = f"{folder}/part-{part:06d}-{seq:06d}-{uuid.uuid4().hex[:8]}.tgid"
-            ids = np.concatenate(held)
-            data = pack_file(names, np.concatenate(lengths), ids)
-            write_bytes(path, data)
-            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [path], "n_docs": [len(names)], "n_tokens": [len(ids)], "n_bytes": [len(data)]})
-            names, lengths, held, n_held, seq = [], [], [], 0, seq + 1
-            return row
+        coder, out, seq, block = encoder(tokenizer, end_id), _Batches(), 0, 0
+        doc_ids: list[int | None] = []
+        lengths: list[int] = []
+        held, n_held, n_file = [], 0, 0
+
+        def put(ids: np.ndarray, close: bool) -> Iterator[pa.RecordBatch]:
+            """Take the ids of whole documents on; a closed file ends with a shorter block."""
+            nonlocal held, n_held, n_file, block, seq, doc_ids, lengths
+            held.append(ids)
+            n_held += len(ids)
+            if n_held >= size or close:
+                every = np.concatenate(held)
+                stop = len(every) if close else len(every) // size * size
+                for at in range(0, stop, size):
+                    yield from out.add(seq, block, every[at : min(at + size, stop)].astype("<u4").tobytes())
+                    block += 1
+                held, n_held = [every[stop:]], len(every) - stop
+            if close:
+                yield from out.add(seq, DOCUMENTS, pack_documents(doc_ids, lengths))
+                doc_ids, lengths, n_file, block, seq = [], [], 0, 0, seq + 1
 
         for batch in batches:
             for piece, texts in steps(batch, "text"):
                 ids, bounds = coder.encode(texts)
-                doc_ids, start = piece.column(0).to_pylist(), 0
-                while start < len(doc_ids):
+                names, start = piece.column(0).to_pylist(), 0
+                while start < len(names):
                     # up to the first document that fills a file
-                    stop = int(np.searchsorted(bounds, bounds[start] + FILE_TOKENS - n_held, side="left"))
-                    stop = min(max(stop, start + 1), len(doc_ids))
-                    names += doc_ids[start:stop]
-                    lengths.append(np.diff(bounds[start : stop + 1]))
-                    held.append(ids[bounds[start] : bounds[stop]].astype(np.int32))
-                    n_held += int(bounds[stop] - bounds[start])
-                    if n_held >= FILE_TOKENS:
-                        yield flush()
+                    stop = int(np.searchsorted(bounds, bounds[start] + file_tokens - n_file, side="left"))
+                    stop = min(max(stop, start + 1), len(names))
+                    doc_ids += names[start:stop]
+                    lengths += np.diff(bounds[start : stop + 1]).tolist()
+                    n_file += int(bounds[stop] - bounds[start])
+                    yield from put(ids[bounds[start] : bounds[stop]], n_file >= file_tokens)
                     start = stop
-        if names:
-            yield flush()
+        if doc_ids:
+            yield from put(np.zeros(0, np.int32), True)
+        yield from out.flush()
+
+    return docs.mapInArrow(run, PARTS)
+
+
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, file_tokens: int = FILE_TOKENS, block: int = BLOCK) -> DataFrame:
+    """Write the files of docs (doc_id, text) below folder; returns the manifest."""
+    spark = docs.sparkSession
+    arrow_rows(spark)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    dealt = keyed.repartitionByRange("doc_id", "key", F.monotonically_increasing_id()).sortWithinPartitions("doc_id", "key").select(F.col("doc_id").cast("long"), "text")
+    blocks = id_blocks(dealt, tokenizer, end_id, file_tokens, block)
+    coded = blocks.select("first", "block", F.when(F.col("block") >= 0, encode_block(spark, F.col("data"))).otherwise(F.col("data")).alias("data"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = TaskContext.get().partitionId(), []
+        for batch in batches:
+            for seq, number, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if number >= 0:
+                    held.append(data)
+                    continue
+                path = f"{folder}/part-{part:06d}-{seq:06d}-{uuid.uuid4().hex[:8]}.tgid"
+                lengths, whole = unpack_documents(data)[1], pack_file(data, held)
+                write_bytes(path, whole)
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [path], "n_docs": [len(lengths)], "n_tokens": [sum(lengths)], "n_bytes": [len(whole)]})
+                held = []
+
+    return materialise(coded.mapInArrow(run, "part int, seq int, path string, n_docs long, n_tokens long, n_bytes long"), "manifest", folder)
 
-    return materialise(dealt.mapInArrow(run, "part int, seq int, path string, n_docs long, n_tokens long, n_bytes long"), "manifest", folder)
+
+def file_parts(placed: DataFrame) -> DataFrame:
+    """PARTS rows of files (path, first): each file's documents (first: the ids of all files before it), then its blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Batches()
+        for batch in batches:
+            for path, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                documents, blocks = unpack_file(read_bytes(path))
+                yield from out.add(first, DOCUMENTS, documents)
+                for i, data in enumerate(blocks):
+                    yield from out.add(first, i, data)
+        yield from out.flush()
+
+    return placed.mapInArrow(run, PARTS)
 
 
 def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32 (and ids)."""
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32 (and ids). A damaged block raises ValueError."""
     parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # one row a partition of the write stage
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
@@ -127,21 +193,45 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     placed = placed.repartition(max(1, min(n_files, 100_000)), "path")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     arrow_rows(spark)
+    each = file_parts(placed)
+    decoded = each.select("first", "block", F.when(F.col("block") >= 0, decode_block(spark, F.col("data"))).otherwise(F.col("data")).alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc_ids: list[int | None] = []
+        lengths: list[int] = []
+        at = have = crc = start = 0  # the next document, its ids so far, their crc32, and where it starts
+        pieces: list[np.ndarray] = []
         for batch in batches:
-            for path, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                doc_ids, lengths, ids = unpack_file(read_bytes(path))
-                stop = np.cumsum(lengths)
-                start = stop - lengths
-                raw = ids.astype("<u4")
-                crc = [zlib.crc32(raw[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
-                columns = {"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(first + start), "n_tokens": pa.array(lengths), "ids_crc32": pa.array(crc, pa.int64())}
-                if with_ids:
-                    columns["ids"] = pa.ListArray.from_arrays(np.concatenate([[0], stop]).astype(np.int32), ids.astype(np.int32))
-                yield pa.RecordBatch.from_pydict(columns)
-
-    return placed.mapInArrow(run, schema)
+            rows: list[tuple] = []
+            for first, number, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if number == DOCUMENTS:
+                    if at < len(doc_ids):
+                        raise ValueError("a file holds fewer ids than its documents")
+                    (doc_ids, lengths), at, have, crc, start = unpack_documents(data), 0, 0, 0, first
+                    continue
+                if data is None:
+                    raise ValueError(f"block {number}: checksum differs")
+                place, n = 0, len(data) // 4
+                while place < n:
+                    if at == len(doc_ids):
+                        raise ValueError("a file holds more ids than its documents")
+                    take = min(lengths[at] - have, n - place)
+                    piece = data[4 * place : 4 * (place + take)]
+                    crc = zlib.crc32(piece, crc)
+                    if with_ids:
+                        pieces.append(np.frombuffer(piece, "<u4").astype(np.int32))
+                    have, place = have + take, place + take
+                    if have == lengths[at]:
+                        rows.append((doc_ids[at], start, have, crc, *([np.concatenate(pieces)] if with_ids else [])))
+                        at, have, crc, start, pieces = at + 1, 0, 0, start + have, []
+            if rows:
+                columns = list(zip(*rows, strict=True))
+                kinds = [pa.int64()] * 4 + [pa.list_(pa.int32())] * with_ids
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split(" ")[0] for x in schema.split(", ")])
+        if at < len(doc_ids):
+            raise ValueError("a file holds fewer ids than its documents")
+
+    return decoded.mapInArrow(run, schema)
 
 
 def default_tokenizer() -> str:

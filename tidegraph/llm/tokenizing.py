@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import os
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 from tidegraph.llm.words import Words, scan
 
-#: Words whose ids a worker keeps; beyond it the store starts anew.
-KEEP_WORDS = 400_000
+#: Words whose ids a worker keeps (some 60 bytes each); beyond it the store starts anew.
+KEEP_WORDS = 1_500_000
 #: Unseen words that one call of the library encodes.
 CALL_WORDS = 4000
 
@@ -54,6 +54,57 @@ def _without_stops(w: Words, letters: np.ndarray) -> Words:
     return Words(w.data, w.text_start, start, stop, w.doc_start + more[w.doc_start], w.inside)
 
 
+def _room(array: np.ndarray, n: int) -> np.ndarray:
+    """The array, or one at least twice as long with the same beginning, so that it holds n values."""
+    if n <= len(array):
+        return array
+    more = np.zeros(max(n, 2 * len(array)), array.dtype)
+    more[: len(array)] = array
+    return more
+
+
+class _Places:
+    """A place for each 64-bit hash: open addressing, whole arrays at once."""
+
+    def __init__(self, bits: int = 16):
+        self.keys, self.places, self.used = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for unknown ones."""
+        mask = np.uint64(len(self.keys) - 1)
+        at = (keys & mask).astype(np.int64)
+        have = self.keys[at]
+        same = have == keys
+        out = np.where(same, self.places[at], -1)
+        left = np.flatnonzero(~same & (have != 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & int(mask)
+            have, wanted = self.keys[at], keys[left]
+            same = have == wanted
+            out[left[same]] = self.places[at[same]]
+            more = ~same & (have != 0)
+            left, at = left[more], at[more]
+        return out
+
+    def add(self, keys: np.ndarray, places: np.ndarray) -> None:
+        """Add distinct keys that are not known yet."""
+        if 2 * (self.used + len(keys)) > len(self.keys):
+            known = np.flatnonzero(self.keys)
+            old = self.keys[known], self.places[known]
+            self.__init__((2 * (self.used + len(keys)) - 1).bit_length())
+            self.add(*old)
+        self.used += len(keys)
+        mask = len(self.keys) - 1
+        at = (keys & np.uint64(mask)).astype(np.int64)
+        while len(keys):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[free]  # of several keys for one place one stays
+            own = free & (self.keys[at] == keys)
+            self.places[at[own]] = places[own]
+            keys, places, at = keys[~own], places[~own], (at[~own] + 1) & mask
+
+
 class WordEncoder:
     """Ids of texts under a lower-casing tokenizer whose pieces never cross white space, and that drops it.
 
@@ -83,9 +134,9 @@ class WordEncoder:
         return self.tokenizer.pre_tokenizer.pre_tokenize_str(normal) if self.tokenizer.pre_tokenizer else []
 
     def _clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.pool = np.array([self.end_id], np.int32)
-        self.first, self.length = np.zeros(1, np.int64), np.ones(1, np.int64)  # slot 0: the end of a text
+        self.known = _Places()
+        self.pool, self.n_pool = np.array([self.end_id], np.int32), 1
+        self.first, self.length, self.n_words = np.zeros(1, np.int64), np.ones(1, np.int64), 1  # place 0: the end of a text
 
     def _encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of words that are not of letters alone."""
@@ -107,16 +158,18 @@ class WordEncoder:
             out += [self.tokenizer.encode(w, add_special_tokens=False).ids if m else next(each) for w, m in zip(some, marked, strict=True)]
         return out
 
-    def _learn(self, hashes: list[int], letters: list[str], others: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, letters: list[str], others: list[str]) -> None:
         """Keep the ids of words: first those of letters alone, then the others."""
         tokenize, spelled = self.model.tokenize, self.spelled
         ids = [[t.id for t in tokenize(w.translate(spelled))] for w in letters] + self._encode_words(others)
         length = np.fromiter(map(len, ids), np.int64, len(ids))
-        first = len(self.pool) + np.cumsum(length) - length
-        base = len(self.first)
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.int32, int(length.sum()))])
-        self.first, self.length = np.concatenate([self.first, first]), np.concatenate([self.length, length])
-        self.slot.update(zip(hashes, range(base, base + len(hashes)), strict=True))
+        stop, base = self.n_pool + int(length.sum()), self.n_words
+        self.pool = _room(self.pool, stop)
+        self.pool[self.n_pool : stop] = np.fromiter(chain.from_iterable(ids), np.int32, stop - self.n_pool)
+        self.first, self.length = _room(self.first, base + len(ids)), _room(self.length, base + len(ids))
+        self.first[base : base + len(ids)], self.length[base : base + len(ids)] = self.n_pool + np.cumsum(length) - length, length
+        self.n_pool, self.n_words = stop, base + len(ids)
+        self.known.add(hashes, np.arange(base, self.n_words, dtype=np.int32))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (each ends with end_id), and where each text begins (one more at the end)."""
@@ -129,27 +182,27 @@ class WordEncoder:
         keys = w.hashes(lower=True)
         if marked.any():
             keys = np.where(marked, w.hashes(), keys)
-        keys, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.slot) + len(keys) > max(KEEP_WORDS, len(keys)):
-            self._clear()
-        asked = keys.tolist()
-        slots = np.fromiter(map(self.slot.get, asked, repeat(-1)), np.int64, len(asked))
-        new = np.flatnonzero(slots < 0)
-        if len(new):
+        keys[keys == 0] = 1
+        slots = self.known.find(keys)
+        unseen = np.flatnonzero(slots < 0)
+        if len(unseen):
+            if self.n_words + len(unseen) > max(KEEP_WORDS, len(keys)):
+                self._clear()
+                unseen = np.arange(len(keys))
+            new, at, inverse = np.unique(keys[unseen], return_index=True, return_inverse=True)
+            at = unseen[at]
             other = np.zeros(len(w.data) + 1, np.int32)
             np.cumsum(~letters, out=other[1:])
-            at = where[new]
             simple = (other[w.stop[at]] == other[w.start[at]]) & self.one_piece
             order = np.argsort(~simple, kind="stable")
-            new, at = new[order], at[order]
             n = int(simple.sum())
             whole = w.data.tobytes()
-            a, b = w.start[at].tolist(), w.stop[at].tolist()
-            base = len(self.first)
-            words = [whole[i:j].decode() for i, j in zip(a, b, strict=True)]
-            self._learn(keys[new].tolist(), words[:n], words[n:])
-            slots[new] = np.arange(base, base + len(new))
-        slots = slots[inverse]
+            base = self.n_words
+            words = [whole[i:j].decode() for i, j in zip(w.start[at[order]].tolist(), w.stop[at[order]].tolist(), strict=True)]
+            self._learn(new[order], words[:n], words[n:])
+            place = np.empty(len(new), np.int64)
+            place[order] = np.arange(base, base + len(new))
+            slots[unseen] = place[inverse]
         slots = np.insert(slots, w.doc_start[1:], 0)
         length = self.length[slots]
         upto = np.cumsum(length)
