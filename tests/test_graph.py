@@ -5,12 +5,14 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tidegraph import scratch
 from tidegraph.functions import scalars
 from tidegraph.operators import lookup, maintain, pools, stats, store, upsert
 from tidegraph.operators.sampling import sample_neighbors
 from tidegraph.plans.graph import Graph, Relation, seconds
 from tidegraph.schema import RelationConfig, resolve_config
 from tidegraph.sources import checkpoint, text
+from tidegraph.streaming import schedule
 
 NOW = 1_700_000_000
 
@@ -142,7 +144,9 @@ def test_decay(spark):
 def test_delete_and_expire_edges(spark):
     relation = Relation(spark, RelationConfig("r", edge_expire_interval_s=100)).upsert(log(spark, [(1, 1, NOW), (2, 1, NOW - 500)]), NOW)
     pairs = spark.createDataFrame([(1, 1), (1, 0), (9, 9)], "src long, dst long")
-    gone = relation.delete(pairs, NOW)
+    assert relation.delete(pairs, NOW).edges.count() == 2  # a group with an id 0 deletes nothing
+    runs = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (9, 9, 2), (0, 2, 3)], "src long, dst long, run long")
+    gone = relation.delete(runs, NOW)
     assert [r["dst"] for r in gone.edges.collect()] == [2] and gone.nodes.collect()[0]["degree"] == 2
     assert [r["dst"] for r in relation.expire(NOW).edges.collect()] == [1]
     both = gone.delete(spark.createDataFrame([(1, 2)], "src long, dst long"), NOW)
@@ -238,11 +242,24 @@ def test_checkpoints(spark, tmp_path):
     assert checkpoint.load(spark, root, "r")[0].count() == 0
     edges, nodes = checkpoint.load(spark, root, "r", 1)
     assert edges.count() == nodes.count() == 1
-    moved = checkpoint.migrate(edges, nodes.withColumn("int_attrs", F.array(F.lit(4).cast("long"))), 2, 1, 10, -(NOW + 50))[1].collect()[0]
+    cfg = RelationConfig("r", edge_max_num=10, int_attr_len=2, float_attr_len=1)
+    moved = checkpoint.migrate(edges, nodes.withColumn("int_attrs", F.array(F.lit(4).cast("long"))), cfg, -(NOW + 50))[1].collect()[0]
     assert moved["int_attrs"] == [4, 0] and moved["float_attrs"] == [0.0] and moved["expire_ts"] == 0
     assert [f for f in range(6) if checkpoint.should_read(f, 6, 1, 4)] == [1, 3, 5]
     ids = spark.createDataFrame([(-1,), (5,), (6,)], "id long")
     assert [r["id"] for r in checkpoint.shard_rows(ids, "id", 3, 4).collect()] == [-1]  # 2**64 - 1 is 3 modulo 4
+    assert [checkpoint.load(spark, root, "r", 1, shard, 2)[0].count() for shard in range(2)] == [0, 1]
+
+
+def test_migration_inserts_anew(spark):
+    """Edges go in by their times under the new capacity and eviction; their attributes are cut or filled."""
+    edges = log(spark, [(1, 5, 30), (2, 1, 10), (3, 3, 20), (4, 2, 40)]).withColumn("int_attrs", F.array(F.lit(7).cast("long"), F.lit(8).cast("long")))
+    nodes = Relation(spark, RelationConfig("r"), edges).nodes.withColumn("expire_ts", F.lit(90).cast("long"))
+    cfg = RelationConfig("r", edge_max_num=3, eviction="weight", edge_int_attr_len=1, edge_float_attr_len=2)
+    kept, moved = checkpoint.migrate(edges, nodes, cfg, -100)
+    # arriving as 2, 3, 1 and 4: the lightest of the first three makes room for the last
+    assert sorted((r["dst"], r["weight"], r["int_attrs"], r["float_attrs"]) for r in kept.collect()) == [(1, 5, [7], [0, 0]), (3, 3, [7], [0, 0]), (4, 2, [7], [0, 0])]
+    assert [(r["edge_num"], r["degree"], r["expire_ts"]) for r in moved.collect()] == [(3, 4, 0)]
 
 
 def test_fluent_chain(spark):
@@ -294,6 +311,145 @@ def test_checks_and_quantiles(spark):
     assert {r["q"]: r["length"] for r in stats.length_quantiles(counts).collect()} == {10 * i: i for i in range(1, 11)}
 
 
+def test_combine_is_the_fold(spark):
+    """Late rows, ties of times, invalid rows and missing times, against the fold, for every action."""
+    rows = [(1 + (i * 7) % 4 if i % 9 else 0, 3000.0 if i % 8 == 5 else float(i % 11 + 1), None if i % 10 == 4 else (i * 37) % 23) for i in range(120)]
+    for action in ("add", "replace", "max", "avg"):
+        for precise in (True, False):
+            cfg = RelationConfig("r", elst="cpt_precise_weight_indexed" if precise else "cpt")
+            want = upsert.split_folded(upsert.fold(None, None, log(spark, rows), cfg, action, NOW))[0].collect()
+            got = upsert.combine(log(spark, rows), action, precise=precise).collect()
+            assert {(r["dst"], round(r["weight"], 9), r["ts"]) for r in got} == {(r["dst"], round(r["weight"], 9), r["ts"]) for r in want}, action
+    assert [(r["dst"], r["weight"]) for r in upsert.combine(log(spark, [(5, 2, 100), (5, 3, 50), (0, 1, 1), (7, 5000, 1)]), "add").collect()] == [(5, 2)]
+
+
+def test_rejected_rows_make_no_node(spark):
+    empty = spark.createDataFrame([(1, 0, 1.0, 5, 0)], "src long, dst long, weight double, ts long, seq long")
+    assert upsert.fold(None, None, empty, RelationConfig("r"), "add", NOW).count() == 0
+    attrs = empty.withColumn("node_ints", F.array(F.lit(4).cast("long")))
+    assert upsert.fold(None, None, attrs, RelationConfig("r", int_attr_len=1), "add", NOW).collect()[0]["int_attrs"] == [4]
+    had = Relation(spark, RelationConfig("r", expire_interval=100)).upsert(log(spark, [(1, 1, 5)]), NOW)
+    assert had.upsert(empty, NOW + 50).nodes.collect()[0]["expire_ts"] == NOW + 100
+
+
+@pytest.mark.parametrize("eviction", ["lru", "weight", "random", "cancel"])
+def test_fold_of_one_long_list(spark, eviction):
+    """Lists of thousands of edges, against a plain fold that looks at every edge to make room."""
+    cfg = RelationConfig("r", edge_max_num=400, eviction=eviction)
+    rows = [((i * 7919) % 1500 + 1, float((i * 31) % 97 + 1), (i * 53) % 977 + 1) for i in range(4000)]
+    state, kept = upsert._List(cfg, 1), {}
+    for touch, (dst, weight, ts) in enumerate(rows, 1):
+        if len(kept) == 400:
+            if eviction == "cancel":
+                continue
+            first = min(kept, key={"lru": lambda k: (kept[k][1], kept[k][2]), "weight": lambda k: (kept[k][0], k), "random": lambda k: k}[eviction])
+            if eviction == "lru" and ts <= kept[first][1]:
+                continue
+            if eviction == "random":
+                first = sorted(kept)[int(state._random("evict", touch) * (400 - 1e-9))]
+            del kept[first]
+        if dst not in kept:
+            kept[dst] = (weight, ts, touch)
+        elif ts >= kept[dst][1]:
+            kept[dst] = (weight + kept[dst][0], ts, touch)
+    edges = upsert.split_folded(upsert.fold(None, None, log(spark, rows), cfg, "add", NOW))[0]
+    assert {(r["dst"], r["weight"], r["ts"]) for r in edges.collect()} == {(k, w, t) for k, (w, t, _) in kept.items()}
+
+
+def test_inserts_do_not_grow_plans(spark):
+    graph = Graph(spark).add_relation(Relation(spark, RelationConfig("r")))
+    for i in range(4):
+        graph.insert_edges("r").more_edges([1], [10 + i], [1.0], [NOW + i]).emit(NOW)
+    plan = graph.relations["r"].edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and graph.relations["r"].edges.count() == 4
+
+
+def test_labels_do_not_depend_on_reuse(spark):
+    """Ranges of ids are drawn once, also where Spark evaluates an exchange for each of its uses."""
+    ids = spark.range(0, 60000).select((F.col("id") * 3 + 1).alias("id"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = lookup.reindex(ids).agg(F.max("label"), F.count("*"), F.countDistinct("label")).first()
+        pool = ids.limit(3000).select("id", F.lit(1.0).alias("weight"))
+        drawn = pools.draw_nodes(pool, 2000).count()
+        page = lookup.exact_page(ids, 100, 7).agg(F.min("id"), F.max("id"), F.count("*")).first()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert tuple(got) == (59999, 60000, 60000) and drawn == 2000 and tuple(page) == (2101, 2398, 100)
+
+
+def test_liveness_and_getters(spark):
+    cfg = RelationConfig("r", expire_interval=100)
+    relation = Relation(spark, cfg).upsert(log(spark, [(5, 1, 1), (6, 1, 2)]), NOW)
+    clock = [NOW + 99]
+    graph = Graph(spark, lambda: clock[0]).add_relation(relation)
+    sampled = lambda: [r["dst"] for r in graph.set_nodes("r", [1], "x").sample_neighbor("r", "y").sample(2).by("most_recent", "zero").emit()["y"].orderBy("draw").collect()]
+    assert sampled() == [6, 5]
+    clock[0] += 1  # an expiry second is past on the second itself
+    assert sampled() == [0, 0]
+    pairs = spark.createDataFrame([(0, 1, 5), (1, 2, 5)], "pos long, src long, dst long")
+    for now, found in ((NOW + 99, [True, False]), (NOW + 100, [False, False])):
+        assert [r["found"] for r in lookup.edge_lookup(pairs, relation.edges, relation.nodes, now).orderBy("pos").collect()] == found
+    assert lookup.edges_of(relation.edges, relation.nodes, relation.nodes, NOW + 100).count() == 0
+    ids = spark.createDataFrame([(0, 1), (1, 9)], "pos long, id long")
+    assert [tuple(r)[2:] for r in lookup.node_getters(ids, relation.nodes, NOW).orderBy("pos").collect()] == [(NOW + 100, 2, 2), (0, 0, 0)]
+    assert [r["expire_ts"] for r in lookup.node_getters(ids, relation.nodes, NOW + 100).collect()] == [0, 0]
+    with pytest.raises(TypeError):
+        graph.set_nodes("r", [1], "x").sample_neighbor("r", "y").sample("2")
+    with pytest.raises(TypeError):
+        graph.set_nodes("r", [1], "x").sample_neighbor("r", "y").max_timestamp(1.5)
+
+
+def test_graph_from_a_configuration(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("1|\\N|\\N|5\u00031.5,6\u00032\n2|\\N|\\N|7\n")
+    document = {
+        "host_service_config": {"default": "a"}, "service_config": {"a": {"dbs": ["x", {"relation_name": "y", "edge_max_num": 7, "oversize_replace_strategy": 2, "attr_op_config": {"int_max_size": 3}}], "default_init": []}},
+        "db_list": [{"relation_name": "x", "init": ["lines"]}], "init_list": [{"name": "lines", "path": str(tmp_path / "a.txt")}],
+    }
+    graph = Graph.from_config(spark, document, "any", lambda: NOW)
+    assert graph.relations["x"].edges.count() == 3 and graph.relations["y"].cfg.eviction == "weight" and graph.relations["y"].cfg.int_attr_len == 3
+    checkpoint_root = f"file://{tmp_path}/cp"
+    scheduler = schedule.Scheduler().every(10, "save", schedule.checkpoint_job(graph, checkpoint_root)).every(25, "fail", lambda now: 1 / 0)
+    assert scheduler.tick(NOW) == [] and scheduler.tick(NOW + 9) == [] and scheduler.tick(NOW + 25) == ["save"]
+    document["db_list"][0].pop("init")
+    again = Graph.from_config(spark, document, "any", lambda: NOW, checkpoint_root)
+    assert again.relations["x"].edges.count() == 3
+    seen = {(r["relation"], r["monitor"], r["name"]): r["value"] for r in schedule.Monitors(graph, light=lambda r: r.edges.agg(F.min("weight").alias("least"))).run().collect()}
+    assert seen["x", "relation", "edge_count"] == 3 and seen["x", "length", "avg_len"] == 1.5 and seen["y", "nodes", "count"] == 0 and ("x", "light", "least") in seen
+    schedule.upkeep_job(graph, "x", 86400)(NOW + 1)
+    assert graph.relations["x"].edges.count() == 3
+
+
+def test_eviction_of_ties(spark):
+    nodes = spark.range(1, 1001).select("id", F.lit(1).cast("long").alias("degree"), (F.col("id") * 0 + 7).alias("expire_ts"))
+    kept = maintain.evict_under_pressure(nodes, 0.95)
+    assert kept.count() == 1000 - int(1000 * 0.05 / 0.95) and kept.count() == maintain.evict_under_pressure(nodes, 0.95, by="age").count()
+    assert maintain.nth_smallest(nodes, F.col("id") * 1_000_000_007 - 5_000_000_000, 17) == (17 * 1_000_000_007 - 5_000_000_000, 16)
+    assert maintain.nth_smallest(nodes, F.col("id"), 1001) is None and maintain.without_first(nodes, F.col("id"), 0).count() == 1000
+    seq = nodes.select("id", "expire_ts", (-F.col("id")).alias("seq"))
+    assert sorted(r["id"] for r in maintain.recycle(seq.limit(100), 5, 10).collect()) == list(range(1, 10))
+
+
+def test_user_weights_and_formats(spark):
+    nodes = spark.createDataFrame([(1, 3), (2, 5)], "id long, degree long")
+    drawn = pools.random_nodes(nodes, 200, (F.col("degree") == 5).cast("double"))
+    assert {r["id"] for r in drawn.collect()} == {2}
+    one = spark.range(1).select(scalars.is_equal(F.lit(1.0), F.lit(1.000001)).alias("a"), scalars.is_less(F.lit(1.0), F.lit(1.000001)).alias("b"), scalars.is_less(F.lit(1.0), F.lit(1.1)).alias("c"), scalars.time_text(F.lit(0)).alias("d")).first()
+    assert tuple(one) == (True, False, True, "[1970-01-01 00:00:00]")
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    with_setting = scratch.scratch_dir(spark)
+    assert with_setting.startswith(spark.conf.get("spark.checkpoint.dir"))
+
+    class Far:
+        conf = {}
+        sparkContext = type("C", (), {"master": "spark://host:7077"})  # noqa: N815
+
+    with pytest.raises(RuntimeError):
+        scratch.scratch_dir(Far())
+
+
 def test_eviction_guard(spark):
     nodes = spark.createDataFrame([(i, i, 0) for i in range(1, 101)], "id long, degree long, expire_ts long")
     assert maintain.evict_under_pressure(nodes, 0.5).count() == 100

@@ -45,7 +45,7 @@ def path_time(path: Column, zone: str = "Asia/Shanghai") -> Column:
     return F.coalesce(F.unix_timestamp(F.to_utc_timestamp(at, zone)), F.lit(0)).cast("long")
 
 
-def time_text(t: Column, pattern: str = "[yyyy-MM-dd HH:mm:ss]") -> Column:
+def time_text(t: Column, pattern: str = "'['yyyy-MM-dd HH:mm:ss']'") -> Column:
     return F.from_unixtime(t, pattern)
 
 
@@ -101,6 +101,7 @@ def is_equal(a: Column, b: Column) -> Column:
 
 
 def is_less(a: Column, b: Column) -> Column:
+    """Less by more than EPSILON."""
     return a - b < -EPSILON
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.functions.scalars import expired, fit_attrs, part_of
+from tidegraph.scratch import materialise
 
 
 def node_attrs(layer: DataFrame, nodes: DataFrame, int_len: int, float_len: int) -> DataFrame:
@@ -21,24 +22,47 @@ def node_attrs(layer: DataFrame, nodes: DataFrame, int_len: int, float_len: int)
     )
 
 
-def live_edges(edges: DataFrame, nodes: DataFrame | None, now: int | None) -> DataFrame:
-    """Edges of sources that are not expired at `now`."""
+def live(ids: DataFrame, nodes: DataFrame | None, now: int | None, column: str = "id") -> DataFrame:
+    """Rows whose id is not that of a node expired at `now`; all without nodes or now."""
     if nodes is None or now is None:
-        return edges
-    gone = nodes.where(expired(F.col("expire_ts"), now)).select(F.col("id").alias("src"))
-    return edges.join(gone, "src", "left_anti")
+        return ids
+    gone = nodes.where(expired(F.col("expire_ts"), now)).select(F.col("id").alias(column))
+    return ids.join(gone, column, "left_anti")
 
 
-def edge_lookup(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """For each (pos, src, dst): the edge's weight and ts, and found; a miss is a zero edge."""
-    out = pairs.join(edges.select("src", "dst", "weight", "ts"), ["src", "dst"], "left")
+def node_getters(ids: DataFrame, nodes: DataFrame, now: int) -> DataFrame:
+    """For each (pos, id): expire_ts, degree and edge_num of the node; 0 where it is missing or expired."""
+    own = expire_filter(nodes, now).select("id", "expire_ts", "degree", "edge_num")
+    out = ids.join(own, "id", "left")
+    return out.select("pos", "id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("expire_ts", "degree", "edge_num")])
+
+
+def expire_filter(nodes: DataFrame, now: int) -> DataFrame:
+    return nodes.where(~expired(F.col("expire_ts"), now))
+
+
+def with_degree(layer: DataFrame, nodes: DataFrame, now: int | None = None) -> DataFrame:
+    """A layer of samples with the lifetime degree of each slot's source; 0 where the node is missing or expired."""
+    own = nodes if now is None else expire_filter(nodes, now)
+    own = own.select(F.col("id").alias("src"), F.col("degree").cast("long").alias("degree"))
+    return layer.join(own, "src", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
+
+
+def edge_lookup(pairs: DataFrame, edges: DataFrame, nodes: DataFrame | None = None, now: int | None = None) -> DataFrame:
+    """For each (pos, src, dst): the edge's weight and ts, and found; a miss is a zero edge.
+
+    With nodes and now, edges of expired sources are missed.
+    """
+    found = live(edges.select("src", "dst", "weight", "ts").join(pairs.select("src", "dst").distinct(), ["src", "dst"], "left_semi"), nodes, now, "src")
+    out = pairs.join(found, ["src", "dst"], "left")
     hit = F.col("weight").isNotNull()
     return out.select("pos", "src", F.when(hit, F.col("dst")).otherwise(0).alias("dst"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("ts", F.lit(0)).cast("long").alias("ts"), hit.alias("found"))
 
 
-def edges_of(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """All edges of the given sources (id)."""
-    return edges.join(sources.select(F.col("id").alias("src")).distinct(), "src", "left_semi").select("src", "dst", "weight", "ts")
+def edges_of(edges: DataFrame, sources: DataFrame, nodes: DataFrame | None = None, now: int | None = None) -> DataFrame:
+    """All edges of the given sources (id); with nodes and now, not those of expired ones."""
+    wanted = live(sources.select("id").distinct(), nodes, now).withColumnRenamed("id", "src")
+    return edges.join(wanted, "src", "left_semi").select("src", "dst", "weight", "ts")
 
 
 def exists(ids: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -77,13 +101,21 @@ def exact_page(nodes: DataFrame, size: int, page: int) -> DataFrame:
 
     Rows before the page are counted by ranges of ids, so no task ranks them all.
     """
-    ids = nodes.select("id").distinct()
-    dealt = ids.repartitionByRange("id").withColumn("part", F.spark_partition_id())
+    placed = numbered(nodes.select("id").distinct()).withColumnRenamed("number", "place")
+    return placed.where((F.col("place") >= page * size) & (F.col("place") < (page + 1) * size))
+
+
+def numbered(ids: DataFrame) -> DataFrame:
+    """(id, number): distinct ids numbered 0, 1, ... in rising order, by ranges that are numbered on their own.
+
+    The ranges are written first: their bounds are drawn anew whenever they are evaluated again.
+    """
+    dealt = materialise(ids.repartitionByRange("id").withColumn("part", F.spark_partition_id()))
     counts = dealt.groupBy("part").count()
     before = counts.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
     placed = dealt.join(F.broadcast(before), "part")  # one row a partition
-    place = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
-    return placed.withColumn("place", place).where((F.col("place") >= page * size) & (F.col("place") < (page + 1) * size)).select("id", "place")
+    number = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
+    return placed.select("id", number.cast("long").alias("number"))
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -97,13 +129,8 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def reindex(ids: DataFrame, column: str = "id") -> DataFrame:
-    """Distinct ids with labels 0, 1, ... in rising order: ranges of ids, each numbered on its own."""
-    own = ids.select(F.col(column).alias("id")).distinct()
-    dealt = own.repartitionByRange("id").withColumn("part", F.spark_partition_id())
-    counts = dealt.groupBy("part").count()
-    before = counts.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
-    number = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
-    return dealt.join(F.broadcast(before), "part").select("id", number.cast("long").alias("label"))
+    """Distinct ids with labels 0, 1, ... in rising order."""
+    return numbered(ids.select(F.col(column).alias("id")).distinct()).withColumnRenamed("number", "label")
 
 
 def subgraph(nodes: DataFrame, hops: list[tuple[str, DataFrame, int]], strategy: str = "most_recent") -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.functions.scalars import expired
+from tidegraph.functions.scalars import expired, hash48
+
+#: Ranges in which nth_smallest counts values at once.
+RANGES = 4096
 
 
 def expire_edges(edges: DataFrame, interval: int, now: int) -> DataFrame:
@@ -48,14 +51,52 @@ def ticks_between(before: int, now: int, interval: int) -> int:
     return now // interval - before // interval
 
 
+def nth_smallest(table: DataFrame, value: Column, n: int) -> tuple[int, int] | None:
+    """(the n-th smallest whole number from 1, values below it); None where there are fewer.
+
+    Values are counted in RANGES ranges, and the range that holds the n-th again, until it holds
+    one number: a few passes that send RANGES sums each, whatever the table's size.
+    """
+    own = table.select(value.cast("long").alias("v")).where("v is not null")
+    low, high, count = own.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if not 0 < n <= count:
+        return None
+    below = 0
+    while low < high:
+        width = -(-(high - low + 1) // RANGES)
+        inside = own.where(F.col("v").between(low, high))
+        part = F.floor((F.col("v").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width)).cast("int")
+        for at, k in sorted((r[0], r[1]) for r in inside.groupBy(part.alias("part")).agg(F.count("*")).collect()):
+            if below + k >= n:
+                low, high = low + at * width, min(high, low + (at + 1) * width - 1)
+                break
+            below += k
+    return low, below
+
+
+def without_first(table: DataFrame, score: Column, n: int, key: str = "id") -> DataFrame:
+    """table without its n rows of the lowest score; of rows that tie at the cut those go whose key's hash is lowest."""
+    found = nth_smallest(table, score, n)
+    if found is None:
+        return table if n <= 0 else table.limit(0)
+    cut, below = found
+    ties = table.where(score == cut)
+    last, _ = nth_smallest(ties, hash48(F.col(key)), n - below)
+    return table.where(score.isNull() | (score > cut) | ((score == cut) & (hash48(F.col(key)) > last)))
+
+
 def evict_under_pressure(nodes: DataFrame, occupancy: float, max_occupancy: float = 0.9, reduce: float = 0.05, by: str = "degree") -> DataFrame:
-    """Above max_occupancy, nodes without the lowest scores (degree or expiry), about reduce / occupancy of them.
+    """Above max_occupancy, nodes without the reduce / occupancy of them that have the lowest scores (degree or expiry).
 
-    The cut is the exact rank of the score, found from counts by score.
+    Never more than that share goes: ties at the cut are settled by a hash of the id.
     """
     if occupancy <= max_occupancy:
         return nodes
     score = F.col("degree") if by == "degree" else F.col("expire_ts")
-    share = min(1.0, reduce / occupancy)
-    cut = nodes.agg(F.percentile(score, F.lit(share))).first()[0]
-    return nodes.where(score > cut)
+    return without_first(nodes, score, int(nodes.count() * min(1.0, reduce / occupancy)))
+
+
+def recycle(nodes: DataFrame, now: int, capacity: int, rate: float = 0.95, inserted: str = "seq") -> DataFrame:
+    """Nodes without expired ones; where `rate` of the capacity is still exceeded, without those inserted first."""
+    live = expire_nodes(nodes, now)
+    return without_first(live, F.col(inserted), live.count() - int(rate * capacity))

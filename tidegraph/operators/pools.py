@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.functions.scalars import attr_at, transform_weight, uniform
+from tidegraph.scratch import materialise
 
-#: Ranges of running weight in which draws meet nodes.
-BUCKETS = 1024
+#: Nodes and draws that meet in one range of running weight, about.
+MEET = 512
 
 
-def pool_weight(kind: str = "uniform", index: int = 0, transform: str = "default", exponent: float = 1.0) -> Column:
-    """The weight of a node row: uniform, size, degree, int_attr or float_attr, transformed."""
+def pool_weight(kind: str | Column = "uniform", index: int = 0, transform: str = "default", exponent: float = 1.0) -> Column:
+    """The weight of a node row: uniform, size, degree, int_attr or float_attr, or an own column; transformed."""
+    if isinstance(kind, Column):
+        return transform_weight(kind, transform, exponent)
     raw = {
         "uniform": lambda: F.lit(1.0),
         "size": lambda: F.col("edge_num"),
@@ -40,9 +43,11 @@ def pool_filter(degree: tuple[int, int] | None = None, size: tuple[int, int] | N
 def _running(pool: DataFrame) -> DataFrame:
     """Nodes (id, weight > 0) with the pool's weight before and up to each, in the order of ids.
 
-    Ranges of ids are summed first, so each task sums its own range only.
+    Ranges of ids are written and summed first, so each task sums its own range only, and they
+    are the same wherever they are used.
     """
     dealt = pool.where("weight > 0").select("id", "weight").repartitionByRange("id").withColumn("part", F.spark_partition_id())
+    dealt = materialise(dealt)
     sums = dealt.groupBy("part").agg(F.sum("weight").alias("own"))
     ahead = sums.select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("ahead"), F.sum("own").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
     order = Window.partitionBy("part").orderBy("id")
@@ -55,12 +60,12 @@ def _running(pool: DataFrame) -> DataFrame:
 def draw_nodes(pool: DataFrame, n: int, seed: int = 1) -> DataFrame:
     """n draws (draw, id) in proportion to weight; the pool is (id, weight). An empty pool gives no draw."""
     numbered = _running(pool)
-    total = numbered.agg(F.max("total")).first()[0]
+    total, n_nodes = numbered.agg(F.max("total"), F.count("*")).first()
     spark = pool.sparkSession
     draws = spark.range(n).select(F.col("id").alias("draw"))
     if not total:
         return draws.limit(0).select("draw", F.col("draw").alias("id"))
-    width = float(total) / BUCKETS
+    width = float(total) / max(1, (n + n_nodes) // MEET)
     draws = draws.withColumn("mark", uniform(F.col("draw"), F.lit(seed)) * F.lit(float(total)))
     draws = draws.withColumn("bucket", F.floor(F.col("mark") / width))
     spans = numbered.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("before") / width), F.floor(F.col("upto") / width))))
@@ -69,7 +74,7 @@ def draw_nodes(pool: DataFrame, n: int, seed: int = 1) -> DataFrame:
     return met.select("draw", "id")
 
 
-def random_nodes(nodes: DataFrame, n: int, kind: str = "uniform", keep: Column | None = None, seed: int = 1, **weight) -> DataFrame:
+def random_nodes(nodes: DataFrame, n: int, kind: str | Column = "uniform", keep: Column | None = None, seed: int = 1, **weight) -> DataFrame:
     """Draws from a relation's nodes by a pool's weight and filter."""
     kept = nodes if keep is None else nodes.where(keep)
     return draw_nodes(kept.select("id", pool_weight(kind, **weight).alias("weight")), n, seed)

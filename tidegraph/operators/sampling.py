@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.functions.scalars import uniform
+from tidegraph.operators.lookup import live
 from tidegraph.schema import PADDINGS, STRATEGIES, choose
 
 SLOT = "array<struct<dst:bigint,ts:bigint,weight:double>>"
@@ -120,21 +121,24 @@ def fill(seeds: DataFrame, fanout: int, padding: str) -> DataFrame:
 def sample_neighbors(
     seeds: DataFrame, edges: DataFrame, strategy: str = "random", fanout: int = 1, padding: str = "self", *,
     without_replacement: bool = False, max_ts: int = 0, min_ts: int = 0, min_weight: float = 0.0, elst: str = "cpt", seed: int = 1,
-    drop_padding: bool = False,
+    drop_padding: bool = False, nodes: DataFrame | None = None, now: int | None = None,
 ) -> DataFrame:
-    """Sample `fanout` neighbours of each seed. drop_padding leaves padded slots out."""
+    """Sample `fanout` neighbours of each seed. drop_padding leaves padded slots out.
+
+    With nodes and now, a seed whose node is expired finds nothing, as one that is not there.
+    """
     choose(strategy, STRATEGIES, "strategy")
     if fanout < 1:
         raise ValueError("fanout must be positive")
     if elst == "cdf" and strategy == "topn_weight":
         raise ValueError("a cdf list has no order by weight")
-    kept = select_edges(edges, max_ts, min_ts, min_weight, elst)
+    kept, alive = select_edges(edges, max_ts, min_ts, min_weight, elst), live(seeds, nodes, now)
     if strategy in ("most_recent", "least_recent", "topn_weight"):
-        slots = _ranked(seeds, kept, strategy, fanout)
+        slots = _ranked(alive, kept, strategy, fanout)
         met = seeds.join(slots, seeds["id"] == slots["src"], "left").select("seed_pos", "id", "slots")
     else:
         draw = _picked if without_replacement and elst != "cdf" else _drawn
-        met = seeds.join(draw(seeds, kept, strategy, fanout, seed), "seed_pos", "left")
+        met = seeds.join(draw(alive, kept, strategy, fanout, seed), "seed_pos", "left")
     out = fill(met, fanout, padding)
     return out.where("not padded") if drop_padding else out
 

@@ -49,6 +49,15 @@ def sample_counts(samples: DataFrame) -> DataFrame:
     return samples.groupBy("seed_pos").agg(F.count_if(~F.col("padded")).alias("edge_num"))
 
 
+def usage(nodes: DataFrame, edges: DataFrame, key_limit: int, byte_limit: int, attr_values: int = 0, edge_bytes: int = 26) -> DataFrame:
+    """One row: keys and bytes in use, and their shares of the limits in parts of 10,000."""
+    keys = nodes.agg(F.count("*").alias("keys"))
+    held = edges.agg(F.count("*").alias("n"))
+    size = F.col("keys") * (8 + 8 * attr_values) + F.col("n") * edge_bytes
+    out = keys.join(held)  # one row each
+    return out.select("keys", size.alias("bytes"), F.floor(F.col("keys") * 10000 / key_limit).alias("key_usage"), F.floor(size * 10000 / byte_limit).alias("byte_usage"))
+
+
 def broken_edges(edges: DataFrame, cap: int) -> DataFrame:
     """Sources whose lists break an invariant: a pair twice, an invalid id or weight, or too many edges."""
     out = edges.groupBy("src").agg(F.count("*").alias("n"), F.countDistinct("dst").alias("d"), F.count_if((F.col("dst") == 0) | (F.col("weight") <= 0)).alias("bad"))

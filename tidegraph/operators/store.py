@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,18 @@ def put(table: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
     return table.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
+def merge(table: DataFrame, rows: DataFrame, update: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], key: str = "id") -> DataFrame:
+    """table with the stored rows of each key in `rows` replaced by what update(stored, payload) returns.
+
+    update gets the key's stored rows (none for a new key) and its payload rows, and returns rows
+    with the columns of table; no row erases the key. Keys without payload don't pass through it.
+    """
+    touched = rows.select(key).distinct()
+    stored = table.join(touched, key, "left_semi")
+    fresh = stored.groupBy(key).cogroup(rows.groupBy(key)).applyInPandas(update, table.schema)
+    return table.join(touched, key, "left_anti").select(*table.columns).unionByName(fresh)
+
+
 def erase_keys(table: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
     return table.join(keys.select(key), key, "left_anti")
 

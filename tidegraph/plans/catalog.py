@@ -219,6 +219,66 @@ def edge_all(spark, d):
     return lookup.edges_of(tables.customer_part(spark, d), ids)
 
 
+def _dying(spark, d) -> DataFrame:
+    """Customers as nodes of which a third is expired at T_HIGH, some to the second."""
+    shift = F.when(F.col("id") % 3 == 0, F.col("id") % 2).otherwise(-(F.col("id") % 5))
+    return _customer_nodes(spark, d).withColumn("expire_ts", F.when(F.col("id") % 4 == 0, 0).otherwise(T_HIGH - shift).cast("long"))
+
+
+_DYING = f"{_NODES}, dying AS (SELECT id, degree, CASE WHEN id % 4 = 0 THEN 0 WHEN id % 3 = 0 THEN {T_HIGH} - id % 2 ELSE {T_HIGH} + id % 5 END AS expire_ts FROM nodes), alive AS (SELECT * FROM dying WHERE expire_ts = 0 OR expire_ts > {T_HIGH})"
+
+
+def _nbr_live(spark, d):
+    """Samples of expired sources are padded; each slot carries its source's degree."""
+    nodes = _dying(spark, d)
+    layer = sample_neighbors(tables.customer_seeds(spark, d), tables.customer_part(spark, d), "most_recent", 3, nodes=nodes, now=T_HIGH)
+    return lookup.with_degree(layer, nodes, T_HIGH)
+
+
+register(
+    "nbr_live", _nbr_live,
+    f"SELECT q.*, coalesce(alive.degree, 0)::BIGINT AS degree FROM ({_padded(_rank(_RECENT, 3, 'src IN (SELECT id FROM alive)'), 3, 'self', extra=_DYING.strip() + ',' + chr(10))}) q LEFT JOIN (WITH {_DYING.strip()} SELECT * FROM alive) alive ON alive.id = q.src",
+)
+
+
+@query(
+    f"""WITH {_DYING}, q AS (SELECT l_orderkey * 10 + l_linenumber AS pos, o_custkey + 1 AS src, l_partkey + 1 AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT q.pos, q.src, CASE WHEN g.weight IS NULL THEN 0 ELSE q.dst END AS dst, coalesce(g.weight, 0) AS weight, coalesce(g.ts, 0) AS ts, g.weight IS NOT NULL AS found
+FROM q LEFT JOIN (SELECT e.* FROM e WHERE src NOT IN (SELECT id FROM dying WHERE id NOT IN (SELECT id FROM alive))) g ON g.src = q.src AND g.dst = q.dst"""
+)
+def edge_live(spark, d):
+    """Edges of expired sources are missed."""
+    pairs = tables.purchases(spark, d).select(F.col("seq").alias("pos"), "src", "dst")
+    return lookup.edge_lookup(pairs, tables.customer_part(spark, d), _dying(spark, d), T_HIGH)
+
+
+@query(f"WITH {_DYING}, q AS (SELECT o_orderkey AS pos, o_custkey + o_orderkey % 3 * 1000000 + 1 AS id FROM orders) SELECT pos, q.id, coalesce(expire_ts, 0)::BIGINT AS expire_ts, coalesce(degree, 0)::BIGINT AS degree, coalesce(degree, 0)::BIGINT AS edge_num FROM q LEFT JOIN alive ON alive.id = q.id")
+def node_getters(spark, d):
+    """Expiry, degree and list length of nodes; 0 for missing and expired ones."""
+    ids = tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), (F.col("o_custkey") + F.col("o_orderkey") % 3 * 1000000 + 1).alias("id"))
+    return lookup.node_getters(ids, _dying(spark, d), T_HIGH)
+
+
+@query(f"WITH {_NODES} SELECT (SELECT count(*) FROM nodes) AS keys, (SELECT count(*) FROM nodes) * 24 + (SELECT count(*) FROM e) * 26 AS bytes, floor((SELECT count(*) FROM nodes) * 10000 / 100000)::BIGINT AS key_usage, floor(((SELECT count(*) FROM nodes) * 24 + (SELECT count(*) FROM e) * 26) * 10000 / 100000000)::BIGINT AS byte_usage")
+def memory_usage(spark, d):
+    """Keys and bytes in use, and their shares of a limit of 100,000 keys and 100 MB."""
+    return stats.usage(_customer_nodes(spark, d), tables.customer_part(spark, d), 100_000, 100_000_000, attr_values=2)
+
+
+@query("""SELECT c_custkey + 1 AS id, coalesce(o.n, 0) + c_nationkey AS v FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey
+WHERE coalesce(o.n, 0) < 12 UNION ALL SELECT o_custkey + 1, count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) GROUP BY o_custkey HAVING count(*) < 12""")
+def merge_rows(spark, d):
+    """A user's function merges each customer's orders into its row, and erases customers of twelve orders and more."""
+    base = tables.table(spark, d, "customer").select((F.col("c_custkey") + 1).alias("id"), F.col("c_nationkey").cast("long").alias("v"))
+    rows = tables.table(spark, d, "orders").select((F.col("o_custkey") + 1).alias("id"))
+
+    def update(stored, payload):
+        out = stored if len(stored) else payload[["id"]].head(1).assign(v=0)
+        return out.assign(v=out["v"] + len(payload)) if len(payload) < 12 else out.head(0)
+
+    return store.merge(base, rows, update)
+
+
 @query(f"WITH {_PURCHASES} SELECT src AS id, count(*) AS degree FROM raw GROUP BY src")
 def node_degree(spark, d):
     """Lifetime degree: every accepted insert counts."""
@@ -268,11 +328,15 @@ def pool_custom(spark, d):
     return pools.random_nodes(_customer_nodes(spark, d), 1000, "int_attr", pools.pool_filter(degree=(5, 10000)), index=0, transform="power", exponent=2.0)
 
 
-_LATE = f"WITH {_PURCHASES}, o AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY ts, seq) AS i FROM raw)"
+def _arrivals(merge: str, rows: str = "raw") -> str:
+    """SQL that walks each pair's rows in the order of arrival; merge gives the weight from a (stored) and x (new)."""
+    return f"""SELECT src, dst, f.w AS weight, f.t AS ts FROM (
+SELECT src, dst, list_reduce(list({{'w': weight, 't': ts}} ORDER BY seq, ts, weight), lambda a, x: CASE WHEN x.t < a.t THEN a ELSE {{'w': {merge}, 't': x.t}} END) AS f FROM {rows} GROUP BY src, dst)"""
 
 
-@query(f"WITH {_PURCHASES} SELECT src, dst, sum(weight) AS weight, max(ts) AS ts FROM raw GROUP BY src, dst")
+@query(f"WITH {_PURCHASES} {_arrivals('a.w + x.w')}")
 def upsert_add(spark, d):
+    """Rows arrive by order number; a ship date before one already stored makes a row late."""
     return upsert.combine(tables.purchases(spark, d), "add").drop("seq")
 
 
@@ -281,16 +345,45 @@ def upsert_replace(spark, d):
     return upsert.combine(tables.purchases(spark, d), "replace").drop("seq")
 
 
-@query(f"WITH {_PURCHASES} SELECT src, dst, max(weight) AS weight, max(ts) AS ts FROM raw GROUP BY src, dst")
+@query(f"WITH {_PURCHASES} {_arrivals('greatest(a.w, x.w)')}")
 def upsert_max(spark, d):
     return upsert.combine(tables.purchases(spark, d), "max").drop("seq")
 
 
-@query(f"WITH {_PURCHASES} SELECT src, dst, list_reduce(list(weight ORDER BY ts, seq), lambda a, x: (a + x) / 2) AS weight, max(ts) AS ts FROM raw GROUP BY src, dst")
+@query(f"WITH {_PURCHASES} {_arrivals('(a.w + x.w) / 2')}")
 def upsert_avg(spark, d):
     return upsert.combine(tables.purchases(spark, d), "avg").drop("seq")
 
 
+def _odd_log(spark, d) -> DataFrame:
+    """Purchases by ten parts, in which some destinations are 0 and some weights out of bounds; many rows are late."""
+    return tables.purchases(spark, d).select(
+        "src", F.when(F.col("seq") % 11 == 0, 0).otherwise(F.col("dst") % 10 + 1).cast("long").alias("dst"),
+        (F.col("weight") * F.when(F.col("seq") % 13 == 0, 1000).otherwise(1)).alias("weight"), "ts", (F.col("seq") * 10_000_000 + F.col("dst")).alias("seq"),
+    )
+
+
+@query(
+    f"""WITH {_PURCHASES}, o AS (SELECT src, CASE WHEN seq % 11 = 0 THEN 0 ELSE dst % 10 + 1 END AS dst, weight * CASE WHEN seq % 13 = 0 THEN 1000 ELSE 1 END AS weight, ts, seq * 10000000 + dst AS seq FROM raw),
+v AS (SELECT * FROM o WHERE dst <> 0 AND weight < 1000)
+{_arrivals('a.w + x.w', 'v')}"""
+)
+def upsert_late(spark, d):
+    """Invalid rows and late ones change nothing."""
+    return upsert.combine(_odd_log(spark, d), "add").drop("seq")
+
+
+@query(
+    f"""WITH {_PURCHASES}, o AS (SELECT src, CASE WHEN seq % 11 = 0 THEN 0 ELSE dst % 10 + 1 END AS dst, weight * CASE WHEN seq % 13 = 0 THEN 1000 ELSE 1 END AS weight, ts, seq * 10000000 + dst AS seq FROM raw),
+v AS (SELECT * FROM o WHERE dst <> 0 AND weight < 1000)
+{_arrivals('a.w + x.w', 'v')}"""
+)
+def fold_late(spark, d):
+    """The same rows folded one by one."""
+    folded = upsert.fold(None, None, _odd_log(spark, d), RelationConfig("C2P"), "add", T_HIGH)
+    return upsert.split_folded(folded)[0].select("src", "dst", "weight", "ts")
+
+
 def _fold(spark, d, cfg: RelationConfig, action: str = "replace") -> tuple[DataFrame, DataFrame]:
     log = tables.purchases(spark, d)
     return upsert.split_folded(upsert.fold(None, None, log, cfg, action, now=T_HIGH))
@@ -318,13 +411,29 @@ def cap_cancel(spark, d):
     return upsert.split_folded(folded)[0].select("src", "dst", "weight", "ts")
 
 
-@query()
+def _walk(room: str, fields: str, merge: str) -> str:
+    """SQL that folds each source's rows one by one into a list of at most 10; room makes the tenth free."""
+    return f"""WITH RECURSIVE {_PURCHASES},
+o AS (SELECT src, dst, weight, ts, row_number() OVER (PARTITION BY src ORDER BY seq, dst, ts, weight) AS i FROM raw),
+f(src, i, l) AS (
+  SELECT DISTINCT src, 0::BIGINT, []::STRUCT({fields})[] FROM o
+  UNION ALL
+  SELECT src, i, list_concat(list_filter(m, lambda e: e.d <> dst), [CASE WHEN h IS NULL THEN {{0}} WHEN ts >= h.t THEN {{1}} ELSE h END])
+  FROM (SELECT *, list_filter(m, lambda e: e.d = dst)[1] AS h FROM (
+    SELECT o.src, o.i, o.dst, o.weight, o.ts, CASE WHEN len(f.l) >= 10 THEN {room} ELSE f.l END AS m FROM f JOIN o ON o.src = f.src AND o.i = f.i + 1))),
+x AS (SELECT src, unnest(l) AS e FROM f QUALIFY i = max(i) OVER (PARTITION BY src))
+SELECT src, e.d AS dst, e.w AS weight, e.t AS ts FROM x""".replace("{0}", "{'" + fields.split()[0] + "': " + ("weight, 'd': dst" if fields[0] == "w" else "dst, 'w': weight") + ", 't': ts}").replace("{1}", "{'" + fields.split()[0] + "': " + (f"{merge}, 'd': dst" if fields[0] == "w" else f"dst, 'w': {merge}") + ", 't': ts}")
+
+
+@query(_walk("list_sort(f.l)[2:]", "w DOUBLE, d BIGINT, t BIGINT", "weight + h.w"))
 def cap_weight(spark, d):
+    """A capacity of 10 from which the lightest edge goes, also where the destination is there already."""
     return _fold(spark, d, RelationConfig("C2P", edge_max_num=10, eviction="weight"), "add")[0].select("src", "dst", "weight", "ts")
 
 
-@query()
+@query(_walk(f"list_filter(list_sort(f.l), lambda e, k: k <> floor({_u('1', 'o.src', chr(39) + 'evict' + chr(39), 'o.i')} * (len(f.l) - 1e-9)) + 1)", "d BIGINT, w DOUBLE, t BIGINT", "weight"))
 def cap_random(spark, d):
+    """A capacity of 10 from which an edge goes that a hash of the source and the row's number chooses."""
     return _fold(spark, d, RelationConfig("C2P", edge_max_num=10, eviction="random"))[0].select("src", "dst", "weight", "ts")
 
 
@@ -347,6 +456,19 @@ def delete_edges(spark, d):
     return upsert.delete_edges(tables.customer_part(spark, d), pairs).select("src", "dst", "weight", "ts")
 
 
+@query(
+    f"""WITH {_PURCHASES}, p AS (SELECT o_custkey + 1 AS src, o_orderkey AS run, CASE WHEN l_linenumber = 5 THEN 0 ELSE l_partkey + 1 END AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'),
+g AS (SELECT src, run, list(dst) AS d FROM p GROUP BY src, run), gone AS (SELECT DISTINCT src, unnest(d) AS dst FROM g WHERE NOT list_contains(d, 0))
+SELECT e.src, e.dst, weight, ts FROM e LEFT JOIN gone ON gone.src = e.src AND gone.dst = e.dst WHERE gone.src IS NULL"""
+)
+def delete_zero(spark, d):
+    """Returned lines of an order are a group; one with an id 0 deletes nothing."""
+    lines, orders = tables.table(spark, d, "lineitem").where("l_returnflag = 'R'"), tables.table(spark, d, "orders")
+    dst = F.when(F.col("l_linenumber") == 5, 0).otherwise(F.col("l_partkey") + 1).cast("long")
+    pairs = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("o_custkey") + 1).alias("src"), dst.alias("dst"), F.col("o_orderkey").alias("run"))
+    return upsert.delete_edges(tables.customer_part(spark, d), pairs).select("src", "dst", "weight", "ts")
+
+
 @query(f"WITH {_PURCHASES} SELECT src, dst, weight, ts FROM e WHERE ts = 0 OR ts + 31536000 >= {T_HIGH}")
 def edge_expire(spark, d):
     return maintain.expire_edges(tables.customer_part(spark, d), 31536000, T_HIGH).select("src", "dst", "weight", "ts")
@@ -368,13 +490,29 @@ def node_expire(spark, d):
     return maintain.expire_nodes(nodes, T_HIGH + 90000000)
 
 
-@query(f"WITH {_PURCHASES}, n AS (SELECT src AS id, count(*) AS degree FROM e GROUP BY src) SELECT id, degree FROM n WHERE degree > (SELECT quantile_cont(degree, 0.05 / 0.95) FROM n)")
+@query(f"WITH {_PURCHASES}, n AS (SELECT src AS id, count(*) AS degree FROM e GROUP BY src) SELECT id, degree FROM n QUALIFY row_number() OVER (ORDER BY degree, {_h('id')}) > floor(count(*) OVER () * (0.05 / 0.95))")
 def mem_evict(spark, d):
-    """Under pressure (occupancy 0.95) about 0.05 / 0.95 of the nodes go, those of the smallest degrees."""
+    """Under pressure (occupancy 0.95) 0.05 / 0.95 of the nodes go, those of the smallest degrees."""
     nodes = tables.customer_part(spark, d).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
     return maintain.evict_under_pressure(nodes, 0.95)
 
 
+@query(f"SELECT c_custkey + 1 AS id, c_custkey % 2 AS degree FROM customer QUALIFY row_number() OVER (ORDER BY c_custkey % 2, {_h('c_custkey + 1')}) > floor(count(*) OVER () * 0.3::DOUBLE)")
+def evict_ties(spark, d):
+    """Half of the nodes tie at the cut; three tenths go, not all that tie."""
+    nodes = tables.table(spark, d, "customer").select((F.col("c_custkey") + 1).alias("id"), (F.col("c_custkey") % 2).alias("degree"))
+    return maintain.evict_under_pressure(nodes, 1.0, reduce=0.3)
+
+
+@query(f"""WITH n AS (SELECT c_custkey + 1 AS id, c_custkey % 7 AS expire_ts, c_custkey AS seq FROM customer), live AS (SELECT * FROM n WHERE expire_ts = 0 OR expire_ts > 2)
+SELECT id, expire_ts, seq FROM live QUALIFY row_number() OVER (ORDER BY seq DESC) <= floor(0.95::DOUBLE * (SELECT count(*) // 2 FROM n))""")
+def fifo_recycle(spark, d):
+    """Expired nodes go, then the first inserted, until 0.95 of a capacity of half of all nodes is kept."""
+    customers = tables.table(spark, d, "customer")
+    nodes = customers.select((F.col("c_custkey") + 1).alias("id"), (F.col("c_custkey") % 7).alias("expire_ts"), F.col("c_custkey").alias("seq"))
+    return maintain.recycle(nodes, 2, customers.count() // 2)
+
+
 @query(f"WITH {_PURCHASES} SELECT dst AS src, src AS dst, weight, ts FROM e")
 def reverse_edges(spark, d):
     return lookup.reverse(tables.customer_part(spark, d)).select("src", "dst", "weight", "ts")
@@ -541,7 +679,7 @@ def copy_live(spark, d):
     return store.copy_live(nodes, T_HIGH + 90000000).select("id", "left")
 
 
-@query(f"WITH {_PURCHASES}, kept AS (SELECT * FROM e WHERE src NOT IN (SELECT o_custkey + 1 FROM orders WHERE o_orderpriority = '1-URGENT')), logs AS (SELECT * FROM raw WHERE src IN (SELECT o_custkey + 1 FROM orders WHERE o_orderpriority = '1-URGENT')) SELECT src, dst, weight FROM kept UNION ALL SELECT src, dst, sum(weight) FROM logs GROUP BY src, dst")
+@query(f"WITH {_PURCHASES}, kept AS (SELECT * FROM e WHERE src NOT IN (SELECT o_custkey + 1 FROM orders WHERE o_orderpriority = '1-URGENT')), logs AS (SELECT * FROM raw WHERE src IN (SELECT o_custkey + 1 FROM orders WHERE o_orderpriority = '1-URGENT')) SELECT src, dst, weight FROM kept UNION ALL SELECT src, dst, weight FROM ({_arrivals('a.w + x.w', 'logs')})")
 def insert_overwrite(spark, d):
     """Sources of a log lose their edges before its own are inserted."""
     urgent = tables.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select((F.col("o_custkey") + 1).alias("src")).distinct()

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.functions.scalars import expired, string_id
 from tidegraph.operators import lookup, maintain, pools, upsert
 from tidegraph.operators.sampling import next_seeds, sample_neighbors
-from tidegraph.schema import EDGE_SCHEMA, NODE_SCHEMA, PADDINGS, SEED_SCHEMA, STRATEGIES, RelationConfig, choose
+from tidegraph.schema import EDGE_SCHEMA, PADDINGS, SEED_SCHEMA, STRATEGIES, RelationConfig, choose, relation_configs
+from tidegraph.scratch import materialise
 
 
 class Relation:
@@ -26,22 +28,22 @@ class Relation:
         return counts.select("id", "degree", F.col("degree").alias("edge_num"), F.lit(0).cast("long").alias("expire_ts"), F.array().cast("array<long>").alias("int_attrs"), F.array().cast("array<float>").alias("float_attrs"))
 
     def upsert(self, batch: DataFrame, now: int, action: str = "replace", use_item_ts: bool = False, where: str | None = None) -> Relation:
-        """Fold a batch in. With `where` the new tables are written there as Parquet, which cuts lineage."""
+        """Fold a batch in. The new tables are written as Parquet (below `where`, or in the scratch folder), so plans don't grow."""
         folded = upsert.fold(self.edges, self.nodes, batch, self.cfg, action, now, use_item_ts)
-        if where:
-            folded.write.mode("overwrite").parquet(where)
-            folded = self.spark.read.parquet(where)
-        edges, nodes = upsert.split_folded(folded)
         touched = batch.select("src").distinct()
-        kept = self.edges.join(touched, "src", "left_anti").select(*edges.columns) if set(edges.columns) <= set(self.edges.columns) else self.edges.join(touched, "src", "left_anti")
-        others = self.nodes.join(touched.withColumnRenamed("src", "id"), "id", "left_anti")
-        return Relation(self.spark, self.cfg, edges.unionByName(kept, allowMissingColumns=True), nodes.unionByName(others))
+        others = upsert.join_folded(self.edges, self.nodes).join(touched, "src", "left_anti").select(*folded.columns)
+        return Relation(self.spark, self.cfg, *upsert.split_folded(materialise(folded.unionByName(others), "folded", where)))
+
+    def stored(self, where: str | None = None) -> Relation:
+        """The same relation, written as Parquet."""
+        return Relation(self.spark, self.cfg, *upsert.split_folded(materialise(upsert.join_folded(self.edges, self.nodes), "folded", where)))
 
     def delete(self, pairs: DataFrame, now: int) -> Relation:
-        """Delete edges; a pair with id 0 on either side deletes nothing, a node without edges left expires."""
+        """Delete edges (src, dst and optionally run); a group with an id 0 deletes nothing (upsert.valid_deletes),
+        a node without edges left expires."""
         if self.cfg.multigraph:
             raise ValueError("a cdf relation cannot delete by pair")
-        edges = upsert.delete_edges(self.edges, pairs.where("src <> 0 and dst <> 0"))
+        edges = upsert.delete_edges(self.edges, pairs)
         return Relation(self.spark, self.cfg, edges, maintain.empty_nodes_expire(self.nodes, edges, now))
 
     def expire(self, now: int) -> Relation:
@@ -66,22 +68,44 @@ class Relation:
         return Relation(self.spark, self.cfg)
 
     def node(self, id_: int, now: int | None = None) -> DataFrame:
-        """One node's row with its edges; expired ones are hidden when `now` is given."""
+        """One node's row with its edges in the order of time; expired ones are hidden when `now` is given."""
         own = self.nodes.where(F.col("id") == id_)
         if now is not None:
             own = own.where(~expired(F.col("expire_ts"), now))
-        edges = self.edges.where(F.col("src") == id_).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "weight", "ts"))).alias("edges"))
+        edges = self.edges.where(F.col("src") == id_).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "dst", "weight"))).alias("edges"))
         return own.join(edges, own["id"] == edges["src"], "left").drop("src")
 
 
 class Graph:
-    """Named relations; chains begin at random_nodes, set_nodes or iter."""
+    """Named relations; chains begin at random_nodes, set_nodes or iter.
+
+    With a clock (a function that gives epoch seconds) samples of expired sources find nothing.
+    """
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, clock: Callable[[], int] | None = None):
+        self.spark, self.clock = spark, clock
         self.relations: dict[str, Relation] = {}
         self._pages: dict[str, lookup.NodePages] = {}
 
+    @classmethod
+    def from_config(cls, spark: SparkSession, document: dict, host: str = "default", clock: Callable[[], int] | None = None, checkpoints: str | None = None) -> Graph:
+        """The relations of a host's configuration, each from the newest checkpoint, then from its text loaders."""
+        from tidegraph.sources import checkpoint, text
+
+        graph, now = cls(spark, clock), (clock or (lambda: int(time.time())))()
+        for cfg, loaders in relation_configs(document, host):
+            relation = Relation(spark, cfg)
+            if checkpoints and checkpoint.versions(spark, checkpoints):
+                relation = Relation(spark, cfg, *checkpoint.load(spark, checkpoints, cfg.name))
+            for loader in loaders:
+                batch, _ = text.load_text(spark, loader["path"], now, loader.get("ts_from_path", False))
+                relation = relation.upsert(batch, now, loader.get("action", "add"))
+            graph.add_relation(relation)
+        return graph
+
+    def now(self) -> int | None:
+        return self.clock() if self.clock else None
+
     def add_relation(self, relation: Relation, iter_part_size: int = 1024, iter_shard_num: int = 1, iter_shard_id: int = 0) -> Graph:
         name = relation.cfg.name
         if name in self.relations:
@@ -103,7 +127,7 @@ class Graph:
                 seeds = seeds.select("seed_pos", string_id(F.col("id")).alias("id"))
         return Chain(self, name, seeds)
 
-    def random_nodes(self, relation: str, name: str, batch: int = 1, pool: str = "uniform", seed: int = 1, now: int | None = None, **weight) -> Chain:
+    def random_nodes(self, relation: str, name: str, batch: int = 1, pool: str | Column = "uniform", seed: int = 1, now: int | None = None, **weight) -> Chain:
         nodes = self._known(relation).nodes
         keep = None if now is None else pools.pool_filter(now=now)
         drawn = pools.random_nodes(nodes, batch, pool, keep, seed, **weight)
@@ -152,6 +176,8 @@ class Chain:
         return self._hop
 
     def sample(self, n: int) -> Chain:
+        if not isinstance(n, int) or isinstance(n, bool) or n < 1:
+            raise TypeError("sample takes a positive whole number")
         self._open()["fanout"] = n
         return self
 
@@ -164,17 +190,18 @@ class Chain:
         return self
 
     def max_timestamp(self, t: int) -> Chain:
-        self._open()["max_ts"] = seconds(t)
+        self._open()["max_ts"] = seconds(whole(t))
         return self
 
     def min_timestamp(self, t: int) -> Chain:
-        self._open()["min_ts"] = seconds(t)
+        self._open()["min_ts"] = seconds(whole(t))
         return self
 
     def with_attr(self, relation: str, int64_attr_len: int, float_attr_len: int) -> Chain:
         """Adds attributes of the previous layer's ids to that layer; the next hop starts from the same ids."""
         self._close()
         nodes = self.graph._known(relation).nodes
+        int64_attr_len, float_attr_len = whole(int64_attr_len), whole(float_attr_len)
         attrs = lookup.node_attrs(self.seeds, nodes, int64_attr_len, float_attr_len)
         self.layers[self.name] = self.layers[self.name].join(attrs.drop("id"), "seed_pos") if "draw" not in self.layers[self.name].columns else self._with_slots(attrs)
         return self
@@ -190,7 +217,7 @@ class Chain:
         relation = self.graph._known(hop.pop("relation"))
         name = hop.pop("name")
         self._fanout = hop["fanout"]
-        layer = sample_neighbors(self.seeds, relation.edges, hop.pop("strategy"), hop.pop("fanout"), hop.pop("padding"), elst=relation.cfg.elst, seed=relation.cfg.seed, **hop)
+        layer = sample_neighbors(self.seeds, relation.edges, hop.pop("strategy"), hop.pop("fanout"), hop.pop("padding"), elst=relation.cfg.elst, seed=relation.cfg.seed, nodes=relation.nodes, now=self.graph.now(), **hop)
         self.layers[name] = layer
         self.name, self.seeds = name, next_seeds(layer, self._fanout)
 
@@ -237,19 +264,27 @@ class Delete:
     """Collects pairs to delete."""
 
     def __init__(self, graph: Graph, relation: str):
-        self.graph, self.relation, self.rows = graph, relation, []
+        self.graph, self.relation, self.rows, self.run = graph, relation, [], 0
 
     def more_edges(self, src: Sequence[int], dst: Sequence[int]) -> Delete:
         if len(src) != len(dst):
             raise ValueError("src and dst differ in length")
-        self.rows += [(int(a), int(b)) for a, b in zip(src, dst, strict=True)]
+        for a, b in zip(src, dst, strict=True):
+            self.run += bool(self.rows) and self.rows[-1][0] != int(a)  # rows of one source that follow each other are a group
+            self.rows.append((int(a), int(b), self.run))
         return self
 
     def emit(self, now: int) -> None:
-        pairs = self.graph.spark.createDataFrame(self.rows, "src long, dst long")
+        pairs = self.graph.spark.createDataFrame(self.rows, "src long, dst long, run long")
         self.graph.relations[self.relation] = self.graph.relations[self.relation].delete(pairs, now)
 
 
+def whole(n: int) -> int:
+    if not isinstance(n, int) or isinstance(n, bool):
+        raise TypeError(f"a whole number is asked for, not {n!r}")
+    return n
+
+
 def seconds(t: int) -> int:
     """A time in seconds, milliseconds or microseconds as seconds; 0 where it is none of them."""
     from tidegraph.functions.scalars import YEARS_137

@@ -76,6 +76,31 @@ class RelationConfig:
         return self.expire_interval or TEN_YEARS
 
 
+#: Names that a configuration document gives to settings of a relation.
+SETTINGS = {
+    "relation_name": "name", "edge_max_num": "edge_max_num", "expire_interval": "expire_interval", "elst": "elst",
+    "edge_expire_interval_s": "edge_expire_interval_s", "weight_decay_ratio": "weight_decay_ratio", "degree_decay_ratio": "degree_decay_ratio",
+    "delete_threshold_weight": "delete_threshold_weight", "decay_interval_s": "decay_interval_s",
+    "max_occupancy_rate": "max_occupancy_rate", "reduce_occupancy_rate": "reduce_occupancy_rate",
+}
+
+
+def relation_configs(document: dict, host: str) -> list[tuple[RelationConfig, list[dict]]]:
+    """Each relation of a host with its loaders."""
+    found = []
+    for db in resolve_config(document, host)["dbs"]:
+        given = {SETTINGS[k]: v for k, v in db.items() if k in SETTINGS}
+        for prefix in ("", "edge_"):
+            sizes = db.get(f"{prefix}attr_op_config", {})
+            given |= {f"{prefix}{kind}_attr_len": sizes.get(f"{name}_max_size", 0) for kind, name in (("int", "int"), ("float", "float"))}
+        if "oversize_replace_strategy" in db:
+            given["eviction"] = EVICTIONS[db["oversize_replace_strategy"]]
+        if "reduce_occupancy_strategy" in db:
+            given["reduce_by"] = ("degree", "age")[db["reduce_occupancy_strategy"]]
+        found.append((RelationConfig(**given), db["init"]))
+    return found
+
+
 def resolve_config(document: dict, host: str) -> dict:
     """The service settings of a host: host entry or 'default', with its relations and loaders looked up by name."""
     hosts, services = document["host_service_config"], document["service_config"]
