@@ -8,8 +8,9 @@ of the windows, and compares the whole window, word by word, where one is found.
 
 Defined results: a null text, or one without words, has no hits; an item without words has no
 window; items of one id count as one, a null item id counts as an empty one; repeated documents
-are judged one by one; without documents or items nothing is hit; extra columns are ignored
-by the digest and kept by `decontaminate`.
+are judged once and each gets the result; a very long text is one row whose words are held
+together in a task, all of them scanned; without documents or items nothing is hit; extra columns,
+whatever their names, are ignored by the digest and kept by `decontaminate`.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 CASED_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The grams are broadcast up to this many rows (some 200 bytes each); beyond it they are shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Windows and their grams are broadcast up to this size; beyond it they are shuffled.
+BROADCAST_BYTES = 64 << 20
+#: Documents found (an id and a hash, and the few spans) are broadcast up to this number.
+BROADCAST_ROWS = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -75,31 +78,52 @@ def doc_grams(words: Column, lengths: list[int]) -> Column:
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per text (doc_id, key) with hits: spans (sorted array of start and length) and items (sorted distinct ids)."""
+    """Per document id and text (id, key): n_rows of docs alike in both, n_words, spans (sorted array of
+    start and length) and items (sorted distinct ids).
+
+    Each text is read and cut into words once. A row with a gram of null stands for the text itself; it and the
+    verified hits are all that is exchanged, never a text.
+    """
     wins = materialise(windows_of(benchmark, window), "windows")
     lengths = sorted(r[0] for r in wins.select("length").distinct().collect()) or [window]
     grams = materialise(grams_of(wins), "grams")
-    small = grams.count() <= BROADCAST_ROWS
-    own = docs.select("doc_id", F.xxhash64("text").alias("key"), words_of(F.col("text")).alias("words"))
-    own = own.where(F.size("words") > 0)
+    small = fits(grams, wins)
+    own = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), words_of(F.col("text")).alias("words"))
+    itself = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("long").alias("gram")))
+    scanned = own.select("id", "key", "words", F.explode(F.concat(itself, doc_grams(F.col("words"), lengths))).alias("g"))
     if small:
-        scanned = own.select("doc_id", "key", "words", F.explode(doc_grams(F.col("words"), lengths)).alias("g"))
-        met = scanned.join(F.broadcast(grams), F.col("g.gram") == grams["gram"])
+        met = scanned.join(F.broadcast(grams), F.col("g.gram") == grams["gram"], "left").where("g.at < 0 or win is not null")
     else:
-        scanned = own.select("doc_id", "key", F.explode(doc_grams(F.col("words"), lengths)).alias("g"))
-        found = scanned.join(grams, F.col("g.gram") == grams["gram"]).select("doc_id", "key", "g", "ahead", "length", "win")
-        found = found.withColumnsRenamed({"doc_id": "d", "key": "k"})
-        met = own.dropDuplicates(["doc_id", "key"]).join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
+        # grams too many to send to every task: those found come back to the texts that hold them
+        asked = own.select("id", "key", F.explode(doc_grams(F.col("words"), lengths)).alias("g")).distinct()
+        found = asked.join(grams, F.col("g.gram") == grams["gram"]).select("id", "key", F.struct("g", "ahead", "length", "win").alias("f"))
+        found = found.withColumnsRenamed({"id": "d", "key": "k"})
+        each = own.dropDuplicates(["id", "key"]).join(found, F.col("id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
+        nothing = F.lit(None).cast("int").alias("ahead"), F.lit(None).cast("int").alias("length"), F.lit(None).cast("string").alias("win")
+        texts = own.select("id", "key", "words", F.element_at(itself, 1).alias("g"), *nothing)
+        met = texts.unionByName(each.select("id", "key", "words", "f.*"))
     start = F.col("g.at") - F.col("ahead")
     same = (start >= 0) & (F.array_join(F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("length")), " ") == F.col("win"))
-    hits = met.where(same).select("doc_id", "key", start.alias("start"), "length", "win").distinct()
-    named = hits.join(F.broadcast(wins) if small else wins, ["length", "win"])
-    return named.groupBy("doc_id", "key").agg(
-        F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"),
+    text = F.col("g.at") < 0
+    met = met.where(text | same).select("id", "key", text.alias("whole"), F.size("words").alias("n_words"), start.alias("start"), "length", "win")
+    # a hit is met once for each gram of its window
+    hits = met.groupBy("id", "key", "whole", "n_words", "start", "length", "win").agg(F.count("*").alias("n"))
+    named = hits.join(F.broadcast(wins) if small else wins, ["length", "win"], "left")
+    return named.groupBy("id", "key").agg(
+        F.sum(F.when(F.col("whole"), F.col("n")).otherwise(0)).alias("n_rows"), F.first("n_words").cast("long").alias("n_words"),
+        F.array_sort(F.collect_set(F.when(~F.col("whole"), F.struct("start", "length")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
 
 
+def fits(grams: DataFrame, wins: DataFrame) -> bool:
+    """Whether the tables of grams and windows, with all their text, are small enough to broadcast."""
+    size = sum(F.length(c) for c in ("win",)) + 64
+    own = grams.agg(F.sum(size)).first()[0] or 0
+    more = wins.agg(F.sum(size + F.aggregate("items", F.lit(0), lambda a, x: a + F.length(x) + 16))).first()[0] or 0
+    return own + more <= BROADCAST_BYTES
+
+
 def covered(spans: Column) -> Column:
     """Words inside any of the sorted spans."""
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
@@ -111,22 +135,30 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, add, lambda state: state["n"])
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Each row of docs (its columns in `row`) with n_words, n_hit, spans, items and contaminated."""
-    hits = occurrences(docs, benchmark, window).withColumnsRenamed({"doc_id": "d", "key": "k"})
+def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """occurrences with n_hit and contaminated."""
+    out = occurrences(docs, benchmark, window).withColumn("n_hit", F.coalesce(covered(F.col("spans")), F.lit(0)).cast("long"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def with_marks(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
+    """Rows of docs (as `row`) joined with marks (id, key and maybe spans), which are broadcast up to BROADCAST_ROWS rows and spans."""
+    marks = materialise(marks.withColumnsRenamed({"id": "m_id", "key": "m_key"}), "marks")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    own = docs.select(row, F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    out = own.join(hits, F.col("id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
-    out = out.withColumn("n_hit", F.coalesce(covered(F.col("spans")), F.lit(0)).cast("long"))
-    bad = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    return out.select("row", "n_words", "n_hit", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"), bad.alias("contaminated"))
+    own = docs.select(row, F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
+    rows, spans = marks.agg(F.count("*"), F.sum(F.size("spans")) if "spans" in marks.columns else F.lit(0)).first()
+    side = F.broadcast(marks) if rows + (spans or 0) <= BROADCAST_ROWS else marks
+    return own.join(side, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("key") == F.col("m_key")), how)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", window: int = WINDOW) -> DataFrame:
-    """docs without contaminated documents, or (remove="spans") without the hit words of any document."""
-    judged = judge(docs, benchmark, window)
+    """docs without contaminated documents, or (remove="spans") without the hit words of any document.
+
+    Only what is found joins the texts again: contaminated documents, or those with spans.
+    """
+    found = judged(docs, benchmark, window)
     if remove == "documents":
-        return judged.where(~F.col("contaminated")).select("row.*")
+        return with_marks(docs, found.where("contaminated").select("id", "key"), "left_anti").select("row.*")
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
     text = F.col("row.text")
@@ -138,16 +170,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
         hit = F.exists("spans", lambda s: (at >= s["start"]) & (at < s["start"] + s["length"]))
         return ((j - first) % 2 != 0) | ~hit
 
-    cut = F.when(F.col("n_hit") > 0, F.array_join(F.filter(pieces, stays), "")).otherwise(text)
-    return judged.withColumn("row", F.col("row").withField("text", cut)).select("row.*")
+    marked = with_marks(docs, found.where("n_hit > 0").select("id", "key", "spans"), "left")
+    cut = F.when(F.col("spans").isNotNull(), F.array_join(F.filter(pieces, stays), "")).otherwise(text)
+    return marked.withColumn("row", F.col("row").withField("text", cut)).select("row.*")
 
 
 def decontaminate_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    judged = judge(docs.select("doc_id", "text"), benchmark)
-    names = F.array_join("items", ",")
-    return judged.select(
-        "row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(names.cast("binary"), 256).alias("items_sha256"), "contaminated",
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each row of docs."""
+    found = judged(docs.select("doc_id", "text"), benchmark)
+    each = found.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
+    return each.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
     )
 
 
