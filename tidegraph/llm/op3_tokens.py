@@ -40,6 +40,8 @@ END_ID = 1
 #: Ids of a block, and ids after which a file is closed.
 BLOCK = 1 << 15
 FILE_TOKENS = BLOCK * 192
+#: Bytes of text that are encoded at once; the arrays about them take some 60 times as much.
+STEP_BYTES = 1 << 19
 #: Blocks that travel in one batch, and the number that marks a row with the documents of a file.
 BATCH_BLOCKS = 16
 DOCUMENTS = -1
@@ -121,7 +123,7 @@ def id_blocks(docs: DataFrame, tokenizer: str, end_id: int, file_tokens: int, si
                 doc_ids, lengths, n_file, block, seq = [], [], 0, 0, seq + 1
 
         for batch in batches:
-            for piece, texts in steps(batch, "text"):
+            for piece, texts in steps(batch, "text", STEP_BYTES):
                 ids, bounds = coder.encode(texts)
                 names, start = piece.column(0).to_pylist(), 0
                 while start < len(names):

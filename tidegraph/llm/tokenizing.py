@@ -11,7 +11,7 @@ import pyarrow as pa
 from tidegraph.llm.words import Words, scan
 
 #: Words whose ids a worker keeps (some 60 bytes each); beyond it the store starts anew.
-KEEP_WORDS = 1_500_000
+KEEP_WORDS = 800_000
 #: Unseen words that one call of the library encodes.
 CALL_WORDS = 4000
 
