@@ -1,9 +1,7 @@
-"""What the operators share: the scratch folder, table readers and Arrow batch helpers."""
+"""What the operators share: table readers, Arrow batch helpers, and the scratch folder of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,31 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegraph.scratch import materialise, scratch_dir
+
+__all__ = ["arrow_rows", "fold_of", "materialise", "read", "scratch_dir", "steps"]
+
 #: Rows handed to Python at once. Texts are a few kB, long ones 100 kB and more.
 ARROW_ROWS = 1000
 #: Bytes of text that one vectorised step works on; a single longer text is its own step.
 STEP_BYTES = 2 << 20
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share.
-
-    Where the setting is unset (tests on one machine) a folder of this machine is set first.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidegraph-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tidegraph-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str = "table", where: str | None = None) -> DataFrame:
-    """Write df as Parquet in the shared scratch folder and return it as read back (cuts lineage)."""
-    path = f"{where or scratch_dir(df.sparkSession)}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def arrow_rows(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch, so that a batch of long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
