@@ -10,7 +10,8 @@ Labels come only from rows whose crc32(doc_id as text) mod 5 is not 0; a documen
 labels counts with their mean. Labels, lang, source and doc_id are never inputs of a score.
 
 Defined results: a null or empty text has statistics of 0 and a score like any other; without
-labels every score is 0.5; repeated rows are scored one by one; an empty table gives an empty
+labels every score is 0.5; repeated rows are scored one by one; a very long text is measured
+as a whole; an empty table gives an empty
 table; extra columns are ignored; a null doc_id has no label.
 """
 
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +33,9 @@ FEATURES = 384
 RIDGE = 1e-3
 BINS = 1000
 THRESHOLD = 0.3
-#: Rows of Z'Z that one summed row carries.
+#: Rows of Z'Z that one summed row carries, and the groups in which partitions are added up before the last sum.
 BLOCK_ROWS = 48
+GROUPS = 64
 
 _CLASSES = (b"!?", b".,;:", b"|", b"0123456789", b"\n")
 STATS = 13 + len(_CLASSES)
@@ -144,14 +147,19 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
             total[:, :size] += z.T @ z
             total[:, size] += z.T @ batch.column(1).to_numpy()
         blocks = [total[i : i + BLOCK_ROWS].tobytes() for i in range(0, size, BLOCK_ROWS)]
-        yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(blocks)), pa.int32()), "sums": pa.array(blocks, pa.binary())})
+        part = [TaskContext.get().partitionId() % GROUPS] * len(blocks)
+        yield pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int32()), "block": pa.array(range(len(blocks)), pa.int32()), "sums": pa.array(blocks, pa.binary())})
 
     def merge(table: pa.Table) -> pa.Table:
-        out = sum(np.frombuffer(x.as_py()) for x in table.column("sums"))
-        return pa.table({"block": table.column("block")[:1], "sums": pa.array([out.tobytes()], pa.binary())})
-
-    summed = rows.where("not apart").select("stats", "y").mapInArrow(sums, "block int, sums binary")
-    got = summed.groupBy("block").applyInArrow(merge, "block int, sums binary").collect()
+        out = np.zeros(len(table.column("sums")[0].as_py()) // 8)
+        for x in table.column("sums"):
+            out += np.frombuffer(x.as_py())
+        return pa.table({"part": table.column("part")[:1], "block": table.column("block")[:1], "sums": pa.array([out.tobytes()], pa.binary())})
+
+    # a task adds up a block of one in GROUPS partitions, then one of the GROUPS sums
+    kind = "part int, block int, sums binary"
+    summed = rows.where("not apart").select("stats", "y").mapInArrow(sums, kind)
+    got = summed.groupBy("part", "block").applyInArrow(merge, kind).groupBy("block").applyInArrow(merge, kind).collect()
     full = np.concatenate([np.frombuffer(r["sums"]).reshape(-1, size + 1) for r in sorted(got, key=lambda r: r["block"])])
     n = max(full[size - 1, size - 1], 1.0)
     penalty = np.full(size, RIDGE * n / FEATURES)
