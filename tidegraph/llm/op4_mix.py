@@ -4,13 +4,14 @@ Each source gets a share of all words by its weight (5, 2, 1, repeating over the
 code-point order, null last), at most CAP times its own size; what a capped source cannot
 take is shared again by weight. Document rates r = exp(lambda_source), at most CAP, minimise
 the relative entropy of the mix's words to the corpus's words under one token constraint a
-source; distributed Newton iterations on the convex dual find lambda. Rates become copies:
+source; Newton iterations on the convex dual, over the table of sources, find lambda. Rates become copies:
 floor(r) copies of each document, then one more for documents in the order of a hash of
 their id until their source's words are nearest to its target.
 
 Defined results: a null text has size 0 and is never repeated; a source without words has
 target 0; repeated rows are separate documents, and rows alike in id and text are taken
-together by the last step; an empty table gives an empty table; extra columns are ignored
+together by the last step; a very long text is one document, which a source's words may miss their
+target by; an empty table gives an empty table; extra columns are ignored
 by the digest and kept by `mixed`.
 """
 
@@ -77,28 +78,25 @@ def attach(docs: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
     return docs.join(side, docs["source"].eqNullSafe(sources["source"]), "left").drop(sources["source"])
 
 
-def solve(docs: DataFrame, sources: DataFrame, n_sources: int, where: str) -> DataFrame:
+def solve(sources: DataFrame, where: str) -> DataFrame:
     """Adds tilt (lambda) to the sources.
 
     Dual: sum over documents of size * exp(lambda) minus sum over sources of lambda * target.
-    Its gradient and curvature are sums over documents, taken anew in each iteration.
+    All documents of a source have one lambda, so the sums over documents that a Newton step needs
+    are source_size * exp(lambda): documents are summed once, steps run over the sources. Steps fall
+    to the solution from above after the first one; MAX_STEPS without it raise RuntimeError.
     """
     sources = sources.withColumn("tilt", F.lit(0.0))
     for step in range(MAX_STEPS):
-        rated = attach(docs, sources.select("source", "tilt"), n_sources)
-        mass = rated.groupBy("source").agg(F.sum(F.col("size") * F.exp("tilt")).alias("mass"))
-        joined = attach(sources, mass, n_sources)
-        mass_ = F.coalesce(F.col("mass"), F.lit(0.0))
-        gap = mass_ - F.col("target")
-        moved = F.when(mass_ > 0, F.col("tilt") - gap / mass_).otherwise(F.lit(0.0))
-        # Past the first step the iterates fall from above, so a bound on a step only guards the first one.
-        moved = F.least(moved, F.col("tilt") + 2.0)
-        sources = materialise(joined.withColumn("gap", F.abs(gap) / F.greatest(F.col("target"), F.lit(1.0))).withColumn("tilt", moved).drop("mass"), f"tilt{step}", where)
-        worst = sources.agg(F.max("gap")).first()[0] or 0.0
+        mass = F.col("source_size") * F.exp("tilt")
+        gap = mass - F.col("target")
+        moved = F.when(mass > 0, F.least(F.col("tilt") - gap / mass, F.col("tilt") + 2.0)).otherwise(0.0)
+        share = F.abs(gap) / F.greatest(F.col("target"), F.lit(1.0))
+        sources = materialise(sources.withColumn("gap", share).withColumn("tilt", moved), f"tilt{step}", where)
+        if (sources.agg(F.max("gap")).first()[0] or 0.0) < TOLERANCE:
+            return sources.drop("gap")
         sources = sources.drop("gap")
-        if worst < TOLERANCE:
-            break
-    return sources
+    raise RuntimeError(f"no weights after {MAX_STEPS} Newton steps")
 
 
 def plan(small: DataFrame) -> tuple[DataFrame, int]:
@@ -109,7 +107,7 @@ def plan(small: DataFrame) -> tuple[DataFrame, int]:
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int"))
     sources = materialise(water_fill(sources.withColumn("weight", weight)).drop("rank", "weight"), "targets", where)
     n_sources = sources.count()
-    sources = solve(small, sources, n_sources, where)
+    sources = solve(sources, where)
     # a rate a hair below a whole number is that number
     rate = F.least(F.round(F.exp("tilt"), 9), F.lit(float(CAP)))
     whole = F.when(F.col("source_size") > 0, F.floor(rate)).otherwise(0).cast("long")
