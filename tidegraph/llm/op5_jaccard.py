@@ -19,8 +19,8 @@ lose it below 1 - RECALL at the deepest level.
 Results: per row its class_id (the smallest doc_id among the texts that links join, directly or
 through others) and n_links (other rows whose sets have a similarity of at least 0.8, copies
 included). Defined results: a null text or one without words has no links and is its own
-class; repeated rows are copies of each other; a null doc_id sorts before others; an empty
-table gives an empty table; extra columns are ignored.
+class; repeated rows are copies of each other; a null doc_id sorts before others; a very long
+text is compared as a whole; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -408,18 +408,19 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their class, with all their columns."""
-    kept = classes(docs).where("first").groupBy("doc_id", "key").agg(F.count("*").alias("kept"))
-    kept = kept.withColumnsRenamed({"doc_id": "kept_id", "key": "kept_key"})
-    own = docs.withColumn("__key", F.xxhash64("text"))
-    same = own["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & (own["__key"] == kept["kept_key"])
-    again = own.groupBy("doc_id", "__key").agg(F.count("*").alias("n")).where("n > 1").withColumnsRenamed({"doc_id": "again_id", "__key": "again_key"})
-    repeated = own["doc_id"].eqNullSafe(again["again_id"]) & (own["__key"] == again["again_key"])
-    found = own.join(kept, same, "left_semi")
-    single = found.join(again, repeated, "left_anti")
-    # rows alike in id and text: the first by all their columns
-    several = found.join(again, repeated, "left_semi").dropDuplicates(["doc_id", "__key"])
-    return single.unionByName(several).drop("__key")
+    """The rows of docs that stand for their class, with all their columns.
+
+    Of rows alike in doc_id and text the one stays that is the first as JSON.
+    """
+    kept = classes(docs).where("first").select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    own = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"))
+    found = own.join(kept, own["id"].eqNullSafe(kept["kept_id"]) & (own["key"] == kept["kept_key"]), "left_semi")
+    again = own.groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("again_id"), F.col("key").alias("again_key"))
+    repeated = found["id"].eqNullSafe(again["again_id"]) & (found["key"] == again["again_key"])
+    single = found.join(again, repeated, "left_anti").select("row")
+    several = found.join(again, repeated, "left_semi").groupBy("id", "key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return single.unionByName(several).select("row.*")
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
