@@ -7,11 +7,14 @@ The reader checks each member's crc32, its header and its block digest. After a
 searches for the next offset at which a member decompresses to a version line (in a file that
 is not compressed: for the next version line), goes on there, and logs the bytes between as a
 quarantined gap. Of a member that is damaged or cut off, the records that came out of it and whose
-block digests hold are kept. Only file parts that fail are lost.
+block digests hold are kept. Only file parts that fail are lost. Records of other types than
+response and revisit are passed over; one without a type or with a number that is none is logged
+as a gap.
 
 Defined results: a null html is an empty payload; a null url writes no target; a null page_id is
 kept as null, and such a page is a response only where no page with an id has its payload;
-repeated rows of the smallest page_id are all responses; an empty table writes no file; extra
+repeated rows of the smallest page_id are all responses and, being the same record, have one
+record id; a very long html is one record; an empty table writes no file; extra
 columns are ignored.
 """
 
@@ -23,7 +26,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -87,6 +90,8 @@ def gzip_member(data: bytes) -> bytes:
 class Record:
     headers: dict[str, str]
     block: bytes
+    start: int = field(default=0, compare=False)  # the bytes of the file that it, or the member around it, takes
+    stop: int = field(default=0, compare=False)
 
     @property
     def payload(self) -> bytes:
@@ -174,7 +179,7 @@ def salvage(data: bytes) -> tuple[list[Record], list[tuple[int, int, str]]]:
                 inner, stop, broken = _member(data, at)
                 if broken:
                     kept, intact = kept_of(inner)
-                    records += kept
+                    records += placed(kept, at, stop)
                     start = _packed_bytes(data, at, stop, intact) if intact else at
                     until, at = stop, next_start(data, max(start, at + 1))
                     gaps.append((min(start, len(data) - 1), at, broken))
@@ -182,11 +187,11 @@ def salvage(data: bytes) -> tuple[list[Record], list[tuple[int, int, str]]]:
                 found, lost = (records_of(inner)) if inner else ([], "")
                 if lost:
                     gaps.append((at, stop, lost))
-                records += found
+                records += placed(found, at, stop)
             else:
                 record, stop = parse_record(data, at)
                 if at >= until or record not in kept:  # stored members show their records
-                    records.append(record)
+                    records += placed([record], at, stop)
             at = stop
         except ValueError as error:
             stop = next_start(data, at + 1)
@@ -195,6 +200,12 @@ def salvage(data: bytes) -> tuple[list[Record], list[tuple[int, int, str]]]:
     return records, gaps
 
 
+def placed(records: list[Record], start: int, stop: int) -> list[Record]:
+    for r in records:
+        r.start, r.stop = start, stop
+    return records
+
+
 def kept_of(inner: bytes) -> tuple[list[Record], int]:
     """The records of a damaged member whose block digests hold, and the bytes before the first that is lost."""
     found, at, intact = [], 0, None
@@ -279,6 +290,26 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     return materialise(with_revisits(pages).mapInArrow(run, "path string, n_records long"), "manifest", folder)
 
 
+def page_row(record: Record) -> tuple | None:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to; None for records that hold no page.
+
+    ValueError where a header that says so is missing or is no number.
+    """
+    h = record.headers
+    kind = h.get("warc-type")
+    if kind is None:
+        raise ValueError("record without a type")
+    if kind not in ("response", "revisit"):
+        return None
+    page = int(h["x-page-id"]) if "x-page-id" in h else None
+    if kind == "response":
+        return page, len(record.payload), hashlib.sha256(record.payload).hexdigest(), kind, None
+    missing = {"x-payload-length", "warc-payload-digest", "x-refers-to-page"} - h.keys()
+    if missing:
+        raise ValueError(f"revisit without {min(missing)}")
+    return page, int(h["x-payload-length"]), h["warc-payload-digest"].partition(":")[2], kind, int(h["x-refers-to-page"])
+
+
 def _each_file(paths: DataFrame) -> DataFrame:
     return paths.select("path").repartition(max(1, min(paths.count(), 100_000)), "path")
 
@@ -294,14 +325,13 @@ def salvaged(paths: DataFrame) -> DataFrame:
                 rows = []
                 records, gaps = salvage(read_bytes(path))
                 for r in records:
-                    h = r.headers
-                    page = int(h["x-page-id"]) if "x-page-id" in h else None
-                    if h["warc-type"] == "revisit":
-                        row = (page, int(h["x-payload-length"]), h["warc-payload-digest"].partition(":")[2], "revisit", int(h["x-refers-to-page"]))
-                    else:
-                        payload = r.payload
-                        row = (page, len(payload), hashlib.sha256(payload).hexdigest(), "response", None)
-                    rows.append((*row, None, None, None, None))
+                    try:
+                        row = page_row(r)
+                    except ValueError as error:
+                        gaps.append((r.start, r.stop, str(error)))
+                        continue
+                    if row is not None:
+                        rows.append((*row, None, None, None, None))
                 rows += [(None, None, None, None, None, path, *gap) for gap in gaps]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
