@@ -94,7 +94,8 @@ def test_forward_is_exact_and_training_helps():
         direct += p
     assert abs(op1_hmm.forward(model, seq, np.array([0]), np.array([5]))[0] - math.log10(direct)) < 1e-9
     # expected counts against enumeration
-    e, m, s = op1_hmm.expected_counts(model, seq, np.array([0]), np.array([5]), np.array([True]))
+    e, m, s, total = op1_hmm.expected_counts(model, seq, np.array([0]), np.array([5]))
+    assert abs(total - math.log10(direct)) < 1e-4
     we, wm, ws = np.zeros((6, 3)), np.zeros((3, 3)), np.zeros(3)
     for path in np.ndindex(*(3,) * 5):
         p = model.start[path[0]] * model.emit[seq[0], path[0]]
@@ -109,6 +110,80 @@ def test_forward_is_exact_and_training_helps():
     assert np.allclose(e, we, atol=1e-4) and np.allclose(m, wm, atol=1e-4) and np.allclose(s, ws, atol=1e-4)
 
 
+def plain_counts(model, texts):
+    """Baum-Welch sums by the unscaled recursions of one text after another."""
+    e, m, s = np.zeros_like(model.emit), np.zeros_like(model.move), np.zeros_like(model.start)
+    for x in texts:
+        alpha = np.zeros((len(x), len(model.start)))
+        beta = np.ones_like(alpha)
+        for t in range(len(x)):
+            alpha[t] = (model.start if t == 0 else alpha[t - 1] @ model.move) * model.emit[x[t]]
+            alpha[t] /= alpha[t].sum()
+        for t in range(len(x) - 2, -1, -1):
+            beta[t] = model.move @ (model.emit[x[t + 1]] * beta[t + 1])
+            beta[t] /= beta[t].sum()
+        for t in range(len(x)):
+            gamma = alpha[t] * beta[t]
+            e[x[t]] += gamma / gamma.sum()
+            if t == 0:
+                s += gamma / gamma.sum()
+            else:
+                xi = alpha[t - 1][:, None] * model.move * (model.emit[x[t]] * beta[t])[None, :]
+                m += xi / xi.sum()
+    return e, m, s
+
+
+def test_expected_counts_of_whole_texts_in_pieces():
+    rng = np.random.default_rng(4)
+    model = op1_hmm.Hmm(np.full(9, 1 / 9), 4)
+    texts = [rng.integers(0, 9, n) for n in (1, 700, 3, 40, 700, 2, 263)]
+    length = np.array([len(x) for x in texts])
+    seq, begin = np.concatenate(texts), np.cumsum(length) - length
+    want = plain_counts(model, texts)
+    for hold in (1, 64, 1000, 1 << 20):
+        got = op1_hmm.expected_counts(model, seq, begin, length, hold)
+        for g, w in zip(got, want, strict=False):
+            assert np.allclose(g, w, rtol=2e-4, atol=2e-3)
+        assert np.allclose(op1_hmm.forward(model, seq, begin, length, hold), op1_hmm.forward(model, seq, begin, length))
+        assert abs(got[3] - op1_hmm.forward(model, seq, begin, length).sum()) < 0.05
+
+
+def test_scores_are_those_of_plain_training(spark, docs, monkeypatch):
+    """The score of every text, against training and scoring in plain loops; long texts are taken apart and together."""
+    monkeypatch.setattr(op1_hmm, "LONG_TOKENS", 500)
+    own = docs.select("doc_id", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1).alias("held_out"), "text")
+    counts = op1_hmm.count_words(own).cache()
+    vocabulary = op1_hmm.Vocabulary(counts)
+    known = {int(h): i for i, h in enumerate(vocabulary.word)}
+    every, training = [], []
+    for doc_id, text, *_ in TEXTS:
+        w = scan(pa.array([(text or "")], pa.large_string()))
+        x = [*(known[int(h)] if int(h) in known else op1_hmm.END_CLASS + 1 + int(c) for h, c in zip(op1_hmm._hashes(w), op1_hmm.suffix_class(w), strict=True)), op1_hmm.END_CLASS]
+        every.append(np.array(x))
+        if zlib.crc32(str(doc_id if doc_id is not None else "").encode()) % 5 != 1:
+            training.append(every[-1])
+    model, likelihood = op1_hmm.Hmm(vocabulary.unigrams()), []
+    for _ in range(op1_hmm.ITERATIONS):
+        e, m, s = plain_counts(model, training)
+        likelihood.append(sum(op1_hmm.forward(model, x, np.array([0]), np.array([len(x)]))[0] for x in training))
+        model = op1_hmm.Hmm(vocabulary.unigrams())
+        model.learn(e, m, s)
+    assert all(b > a for a, b in zip(likelihood[:-1], likelihood[1:], strict=True))
+    class_n, class_v, total = vocabulary.class_tokens, vocabulary.class_words, Counter({int(r["word"]): r["n"] for r in counts.collect()})
+    want = []
+    for (doc_id, text, *_), x in zip(TEXTS, every, strict=True):
+        score = op1_hmm.forward(model, x, np.array([0]), np.array([len(x)]))[0]
+        w = scan(pa.array([(text or "")], pa.large_string()))
+        for h, c in zip(op1_hmm._hashes(w), op1_hmm.suffix_class(w), strict=True):
+            if int(h) not in known:
+                score += math.log10((total[int(h)] + 0.5) / (class_n[c] + 0.5 * (class_v[c] + 1)))
+        want.append((doc_id or -1, score))
+    got = sorted((r["doc_id"] or -1, r["score"]) for r in op1_hmm.score_texts(docs).collect())
+    for (a, x), (b, y) in zip(got, sorted(want), strict=True):
+        assert a == b and abs(x - y) < 1e-3 * max(1, abs(y))
+    counts.unpersist()
+
+
 def test_class_model_sums_to_one(spark, docs):
     """States' tables sum to 1, and seen words of a suffix class leave only the unseen ones' share."""
     own = docs.select("doc_id", (F.col("doc_id") == 8).alias("held_out"), "text").fillna({"held_out": False})
@@ -145,6 +220,34 @@ def test_quality_learns_and_keeps_labels_apart(spark):
     assert op2_quality.score_quality(docs.limit(0), labels).count() == 0
 
 
+def test_quality_solves_the_normal_equations(spark):
+    """Sums of partitions, in two levels, against one least-squares problem over all rows; repeated rows, long texts and odd columns."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 90, 30 + i % 50)) + "!" * (i % 3), "x") for i in range(300)]
+    rows += [(5, rows[5][1], "x"), (900, LONG * 3, "x"), (901, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, stats string").withColumns({"fold": F.lit("z"), "y": F.lit(1)}).repartition(70)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 300, 2)] + [(900, 1), (4, 1), (4, 0)], "doc_id long, quality int")
+    stats = op2_quality.with_statistics(docs)
+    model = op2_quality.fit(stats, labels)
+    marks = {}
+    for r in labels.collect():
+        marks.setdefault(r["doc_id"], []).append(r["quality"])
+    apart = {r["doc_id"] for r in labels.where(F.xxhash64("doc_id") % 5 == 0).collect()}
+    used = [(r["stats"], np.mean(marks[r["doc_id"]]), r["doc_id"]) for r in stats.collect() if r["doc_id"] in marks and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    every = np.array([x for x, _, _ in used], np.float64)
+    assert np.allclose(model.mean, every.mean(axis=0), rtol=1e-5, atol=1e-6) and np.allclose(model.scale, np.maximum(every.std(axis=0), 1e-6), rtol=1e-4, atol=1e-6)
+    z = model.lift(np.array([x for x, _, d in used if d not in apart], np.float64))
+    y = np.array([m for _, m, d in used if d not in apart])
+    n = len(y)
+    penalty = np.full(z.shape[1], op2_quality.RIDGE * n / op2_quality.FEATURES)
+    penalty[-1] = 1e-9 * n
+    # ridge as plain least squares with one more row for each weight
+    want = np.linalg.lstsq(np.concatenate([z, np.diag(np.sqrt(penalty))]), np.concatenate([y, np.zeros(len(penalty))]), rcond=None)[0]
+    assert np.allclose(z @ model.beta, z @ want, atol=1e-6)
+    got = op2_quality.score_quality(docs, labels)
+    assert got.count() == len(rows) and len({r["score"] for r in got.where("doc_id = 5").collect()}) == 1
+
+
 def test_isotonic():
     at, level = op2_quality.isotonic(np.arange(4.0), np.array([0, 2, 1, 2.0]), np.array([2.0] * 4))
     assert np.allclose(np.interp([0, 1, 2, 3], at, level), [0, 0.75, 0.75, 1])
@@ -300,6 +403,18 @@ def test_join_against_brute_force(spark, docs):
     assert kept.count() == 14 - 1 - 1 - 1 - 1  # 2 and both rows of 3 go with 1 and one of 8 and 9 goes
 
 
+def test_one_of_each_keeps_any_columns(spark):
+    """Columns named like the operator's own, and rows alike in id and text that differ elsewhere."""
+    text = " ".join(BASE)
+    rows = [(2, text, "b", 1.0, [1]), (2, text, "a", None, None), (1, text + " more", "c", 2.0, []), (3, None, None, None, None), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key string, row double, id array<int>").repartition(3)
+    got = sorted((tuple(r) for r in op5_jaccard.one_of_each(docs).collect()), key=repr)
+    assert got == sorted([(1, text + " more", "c", 2.0, []), (3, None, None, None, None)], key=repr)
+    same = op5_jaccard.one_of_each(docs.where("doc_id = 2")).collect()
+    assert [tuple(r) for r in same] == [(2, text, "a", None, None)]
+    assert op5_jaccard.one_of_each(docs.limit(0)).columns == docs.columns
+
+
 def test_join_of_large_groups_splits_and_blocks(spark, monkeypatch):
     """Groups beyond SMALL and BLOCK, with and without a passage that all share."""
     monkeypatch.setattr(op5_jaccard, "SMALL", 6)
@@ -443,6 +558,19 @@ def test_query_logs_gaps(spark, tmp_path, monkeypatch, caplog):
     assert len(logged) == 1 and logged[0]["start"] == 0 < logged[0]["stop"] and "quarantine" in caplog.text
 
 
+def test_foreign_records_do_not_stop_the_reader(spark, tmp_path):
+    """Records of other types are passed over; what has no type or no number is logged with its bytes."""
+    page = op6_warc.pack_record(4, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None, False)
+    revisit = op6_warc.pack_record(5, "u", b"x" * 200, hashlib.sha256(b"x" * 200).hexdigest(), 4, True)
+    odd = [page.replace(b"response\r\nWARC-Record", b"metadata\r\nWARC-Record"), page.replace(b"WARC-Type", b"X-Type"), page.replace(b"X-Page-Id: 4", b"X-Page-Id: four"), revisit.replace(b"X-Refers-To-Page", b"X-Other")]
+    parts = [op6_warc.gzip_member(x) for x in (*odd, page, revisit)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(parts))
+    paths = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz",)], "path string")
+    assert [(r["page_id"], r["record_type"]) for r in op6_warc.read_warc(paths).orderBy("page_id").collect()] == [(4, "response"), (5, "revisit")]
+    at = np.cumsum([0, *map(len, parts)]).tolist()
+    assert [(r["start"], r["stop"]) for r in op6_warc.read_gaps(paths).orderBy("start").collect()] == [(at[i], at[i + 1]) for i in (1, 2, 3)]
+
+
 def test_salvage():
     records = [op6_warc.pack_record(i, f"u{i}", bytes([65 + i]) * 300, hashlib.sha256(bytes([65 + i]) * 300).hexdigest(), None, False) for i in range(6)]
     members = [op6_warc.gzip_member(r) for r in records]
@@ -554,9 +682,23 @@ def test_rules_in_any_order_agree():
     texts = pa.array([t[1] or "" for t in TEXTS], pa.large_string())
     one = op8_rules.cascade(texts, op8_rules.RULES)
     assert (one == op8_rules.cascade(texts, op8_rules.RULES[::-1])).all()
-    measured = [("short", 2.0, 0.5), ("repeats", 1.0, 0.5), ("symbols", 1.0, 0.0)]
     rules = tuple(r for r in op8_rules.RULES if r.name in ("short", "repeats", "symbols"))
-    assert [r.name for r in op8_rules.order_rules(measured, rules)] == ["repeats", "short", "symbols"]
+    # rejected by none: 40; by short alone 25, by short and repeats 20, by repeats alone 5, by symbols alone 10
+    sets = {0: 40, 1: 25, 3: 20, 2: 5, 4: 10}
+    names = lambda seconds: [r.name for r in op8_rules.order_rules(dict(enumerate(seconds)), sets, rules)]
+    assert names((1.0, 1.0, 1.0)) == ["short", "symbols", "repeats"]  # behind short, repeats rejects 5 and symbols 10
+    assert names((9.0, 1.0, 1.0)) == ["repeats", "symbols", "short"]
+    assert [r.name for r in op8_rules.order_rules({}, {}, rules)] == ["repeats", "short", "symbols"]
+    got = op8_rules.measure(texts, rules).to_pylist()
+    assert sum(r["n"] for r in got if r["rule"] < 0) == len(TEXTS)
+    for i, rule in enumerate(rules):
+        assert sum(r["n"] for r in got if r["rule"] < 0 and r["rejected"] >> i & 1) == rule.reject(op8_rules.Texts(texts)).sum()
+
+
+def test_rules_are_ordered_by_a_sample(spark, docs, monkeypatch):
+    monkeypatch.setattr(op8_rules, "SAMPLE_ROWS", 5)
+    assert sorted(r.name for r in op8_rules.sample_order(docs)) == sorted(r.name for r in op8_rules.RULES)
+    assert len(op8_rules.sample_order(docs.limit(0))) == len(op8_rules.RULES)
 
 
 # 9

@@ -81,3 +81,30 @@ def test_pipeline(spark, tmp_path):
         assert stage.columns == docs.columns
         stage = spark.createDataFrame(stage.collect(), docs.schema)
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, ties, columns that clash, and empty tables."""
+    text = " ".join(f"word{i % 23} other{i}" for i in range(60))
+    rows = [
+        (1, text, "en", "a", 5, "k", 1), (1, text, "en", "a", 5, "k", 1), (None, text + " x", None, None, None, None, None), (2, None, None, None, None, None, 2),
+        (3, "", "en", "a", 0, "", 3), (4, " ".join(f"long{i} w{i % 613}" for i in range(30000)), "en", "b", 1, "z", 4), (5, text.upper() + " one two three", "en", "a", 1, "z", 4),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `key` string, `row` int")
+    bench = spark.createDataFrame([(1, " ".join(f"long{i} w{i}" for i in range(500, 520))), (None, None), (1, "a b"), (2, "")], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    bench.limit(0).write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    for name, f in corpus_pipeline.STAGES:
+        for where in (tmp_path, tmp_path / "none"):
+            got, none = f(spark, docs, str(where)), f(spark, docs.limit(0), str(where))
+            assert none.count() == 0, name
+            if f is corpus_pipeline.token_files:
+                assert got.count() == len(rows)
+                continue
+            assert got.columns == docs.columns and none.columns == docs.columns
+            kept = [tuple(r) for r in got.collect()]
+            assert set(map(repr, kept)) <= set(map(repr, rows)), name
+            if f is corpus_pipeline.near_duplicates:
+                assert sorted(r[0] or -1 for r in kept) == [-1, 2, 3, 4]  # the null id sorts first, so it stands for 1 and 5
+            if f is corpus_pipeline.quality_rules:
+                assert sorted(r[0] or -1 for r in kept) == [-1, 1, 1, 4]
