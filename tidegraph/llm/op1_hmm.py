@@ -9,20 +9,23 @@ the states' tables have a fixed size, whatever the vocabulary, and
                 + sum over its other words of log((c + 0.5) / (C + 0.5 * (V + 1)))
 
 with c the word's count, C and V its class's tokens and distinct words, all from training texts.
-Baum-Welch sums expected counts over all training texts in each of ITERATIONS passes: tasks add
-them up, as fixed-point whole numbers, so that their order does not matter. For these counts
-only, texts are cut into segments of SEGMENT tokens; scores use whole texts.
+Baum-Welch sums expected counts over all whole training texts in each of ITERATIONS passes: tasks
+add them up, as fixed-point whole numbers, so that their order does not matter, and the sums of
+all tasks are decimals, which no corpus overflows. A text too long for a task's memory is run
+through in pieces, forward once to learn where each begins and then backward, with the same counts.
 
 Counts of the other words are never broadcast: they are joined by a 64-bit hash of the word.
 
 Defined results: a null text is empty and holds the end alone; a null doc_id counts as an empty
-text for the fold; repeated rows are scored one by one; without training texts N and V are 0,
+text for the fold; repeated rows are scored one by one; a very long text is scored and trained
+on as a whole; without training texts N and V are 0,
 the base takes 0.5 / 0.5 for each token and the model has its starting tables; an empty table
 gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +37,17 @@ from pyspark.sql import functions as F
 from tidegraph.llm.common import arrow_rows, fold_of, materialise, read, scratch_dir, steps
 from tidegraph.llm.words import Words, mix, scan
 
+log = logging.getLogger(__name__)
+
 STATES = 8
 ITERATIONS = 8
 FREQUENT = 32768
 SUFFIXES = 4096
-SEGMENT = 256
-#: Tokens that one vectorised pass of the recursions takes together.
+#: Tokens that one vectorised pass of the recursions takes together, and the most it holds at once.
 LANE_TOKENS = 1 << 20
+HOLD_TOKENS = 3 << 20
+#: Texts of more tokens wait for each other, since each step of a pass takes one token of every text.
+LONG_TOKENS = 2048
 #: Pseudo-tokens of the class unigrams in each state's table.
 PRIOR = 50.0
 FIXED = 1e6
@@ -175,87 +182,112 @@ def code_texts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 class Hmm:
-    """start [K], later [K] (start of later segments), move [K, K], emit [CLASSES, K]."""
+    """start [K], move [K, K], emit [CLASSES, K]; likelihood: log10 of the training texts under the model before."""
 
     def __init__(self, unigrams: np.ndarray, states: int = STATES):
         rng = np.random.Generator(np.random.PCG64(11))
         self.unigrams = unigrams
         self.start = np.full(states, 1 / states)
-        self.later = np.full(states, 1 / states)
         self.move = np.full((states, states), 0.1 / max(1, states - 1))
         np.fill_diagonal(self.move, 0.9)
         emit = unigrams[:, None] * np.exp(rng.standard_normal((len(unigrams), states)))
         self.emit = emit / emit.sum(axis=0)
+        self.likelihood: float | None = None
 
     def learn(self, emitted: np.ndarray, moved: np.ndarray, started: np.ndarray) -> None:
         """The M step, with PRIOR pseudo-tokens of the unigrams in each state."""
         self.emit = (emitted + PRIOR * self.unigrams[:, None]) / (emitted.sum(axis=0) + PRIOR)
         self.move = (moved + 0.1) / (moved + 0.1).sum(axis=1, keepdims=True)
         self.start = (started + 0.1) / (started + 0.1).sum()
-        self.later = (emitted.sum(axis=0) + 0.1) / (emitted.sum(axis=0) + 0.1).sum()
-
-
-def expected_counts(model: Hmm, seq: np.ndarray, begin: np.ndarray, length: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch sums of segments seq[begin:begin+length]; `first` marks the first one of a text."""
-    order = np.argsort(-length, kind="stable")
-    begin, length, first = begin[order], length[order], first[order]
-    n, k, steps_ = len(begin), len(model.start), int(length[0])
-    active = np.searchsorted(-length, -np.arange(steps_), side="left")  # segments longer than t
-    emit, move = model.emit.astype(np.float32), model.move.astype(np.float32)
-    scale_of = np.float32(1 / model.unigrams.max())  # keeps float32 products well above zero
-    alphas, bs, xs = [], [], []
-    alpha = np.where(first[:, None], model.start[None, :], model.later[None, :]).astype(np.float32)
-    for t in range(steps_):
-        a = active[t]
-        x = seq[begin[:a] + t]
-        b = emit[x] * scale_of
-        if t:
-            alpha = alpha[:a] @ move
-        alpha = alpha * b
-        alpha /= np.maximum(alpha.sum(axis=1, keepdims=True), np.float32(1e-30))
-        alphas.append(alpha)
-        bs.append(b)
-        xs.append(x)
-    moved = np.zeros((k, k))
-    beta = np.ones((active[-1], k), np.float32)
-    gammas = [None] * steps_
-    for t in range(steps_ - 1, -1, -1):
-        a = active[t]
-        if len(beta) < a:
-            beta = np.concatenate([beta, np.ones((a - len(beta), k), np.float32)])
-        gamma = alphas[t] * beta
-        gamma /= np.maximum(gamma.sum(axis=1, keepdims=True), np.float32(1e-30))
-        gammas[t] = gamma
-        if t:
-            ahead = bs[t] * beta
-            before = alphas[t - 1][:a]
-            beta = ahead @ move.T
-            norm = np.maximum((before * beta).sum(axis=1, keepdims=True), np.float32(1e-30))
-            moved += (before / norm).T @ ahead
-            beta /= np.maximum(beta.max(axis=1, keepdims=True), np.float32(1e-30))
-    moved *= model.move
-    started = gammas[0][first].sum(axis=0, dtype=np.float64)
-    x, gamma = np.concatenate(xs), np.concatenate(gammas)
-    emitted = np.stack([np.bincount(x, weights=gamma[:, i], minlength=len(model.emit)) for i in range(k)], axis=1)
-    return emitted, moved, started
-
-
-def forward(model: Hmm, seq: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+
+
+class _Lanes:
+    """Texts side by side, the longest first, with their tokens in the order of time: step t takes the t-th of each."""
+
+    def __init__(self, seq: np.ndarray, begin: np.ndarray, length: np.ndarray):
+        self.order = np.argsort(-length, kind="stable")
+        begin, length = begin[self.order], length[self.order]
+        self.seq, self.begin, self.n = seq, begin, len(begin)
+        self.active = np.searchsorted(-length, -np.arange(int(length[0])), side="left")  # texts longer than t
+        self.first = np.concatenate([[0], np.cumsum(self.active)])
+
+    def pieces(self, hold: int) -> list[tuple[int, int]]:
+        """Ranges of steps that hold about so many tokens."""
+        cuts, t = [0], 0
+        while t < len(self.active):
+            t = max(t + 1, int(np.searchsorted(self.first, self.first[t] + hold, side="right")) - 1)
+            cuts.append(min(t, len(self.active)))
+        return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+    def classes(self, t0: int, t1: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """The classes and the texts of steps t0 to t1, one step after another, and where each step begins."""
+        active = self.active[t0:t1]
+        at = (self.first[t0 : t1 + 1] - self.first[t0]).tolist()
+        text = np.arange(at[-1]) - np.repeat(at[:-1], active)
+        return self.seq[self.begin[text] + np.repeat(np.arange(t0, t1), active)], text, at
+
+
+def _forward(model_start: np.ndarray, move: np.ndarray, emit: np.ndarray, at: list[int], before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward variables of a range of steps, whose emissions are given, and the scales."""
+    alpha, scale, ones = np.empty_like(emit), np.empty(len(emit), emit.dtype), np.ones(emit.shape[1], emit.dtype)
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        now = alpha[a:b]
+        if before is None:
+            now[:] = model_start
+        else:
+            np.matmul(before[: b - a], move, out=now)
+        np.multiply(now, emit[a:b], out=now)
+        c = np.matmul(now, ones, out=scale[a:b])
+        np.divide(now, c[:, None], out=now)
+        before = now
+    return alpha, scale
+
+
+def expected_counts(model: Hmm, seq: np.ndarray, begin: np.ndarray, length: np.ndarray, hold: int = HOLD_TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch sums of the whole texts seq[begin:begin+length], and their log10 likelihood."""
+    lanes, k = _Lanes(seq, begin, length), len(model.start)
+    start, emit, move = (x.astype(np.float32) for x in (model.start, model.emit, model.move))
+    back = np.ascontiguousarray(move.T)
+    pieces = lanes.pieces(hold)
+    reached: list[np.ndarray | None] = [None]  # forward variables of the step before each piece
+    for t0, t1 in pieces[:-1]:
+        x, _, at = lanes.classes(t0, t1)
+        reached.append(_forward(start, move, emit[x], at, reached[-1])[0][at[-2] :].copy())
+    emitted, moved, total = np.zeros((len(emit), k)), np.zeros((k, k)), 0.0
+    behind = np.ones((0, k), np.float32)  # of the step behind: emission times backward variable over scale
+    for (t0, t1), before in zip(reversed(pieces), reversed(reached), strict=True):
+        x, _, at = lanes.classes(t0, t1)
+        b = emit[x]
+        alpha, scale = _forward(start, move, b, at, before)
+        total += float(np.log10(scale).sum(dtype=np.float64))
+        for i in range(len(at) - 2, -1, -1):
+            now = slice(at[i], at[i + 1])
+            own = np.ones((at[i + 1] - at[i], k), np.float32)
+            if len(behind):
+                moved += alpha[now][: len(behind)].T @ behind
+                np.matmul(behind, back, out=own[: len(behind)])
+            behind = b[now] * own
+            behind /= scale[now][:, None]
+            b[now] = own  # emissions make room for backward variables
+        np.multiply(alpha, b, out=alpha)
+        for i in range(k):
+            emitted[:, i] += np.bincount(x, weights=alpha[:, i], minlength=len(emit))
+        if t0 == 0:
+            started = alpha[: at[1]].sum(axis=0, dtype=np.float64)
+    return emitted, moved * model.move, started, total
+
+
+def forward(model: Hmm, seq: np.ndarray, begin: np.ndarray, length: np.ndarray, hold: int = HOLD_TOKENS) -> np.ndarray:
     """log10 likelihood of each text's classes by the scaled forward recursion."""
-    order = np.argsort(-length, kind="stable")
-    at, size = begin[order], length[order]
-    active = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
-    total = np.zeros(len(at))
-    alpha = np.broadcast_to(model.start, (len(at), len(model.start)))
-    for t, a in enumerate(active.tolist()):
-        if t:
-            alpha = alpha[:a] @ model.move
-        alpha = alpha * model.emit[seq[at[:a] + t]]
-        c = alpha.sum(axis=1)
-        alpha = alpha / c[:, None]
-        total[:a] += np.log10(c)
-    out = np.empty(len(at))
-    out[order] = total
+    lanes = _Lanes(seq, begin, length)
+    total, before = np.zeros(lanes.n), None
+    for t0, t1 in lanes.pieces(hold):
+        x, text, at = lanes.classes(t0, t1)
+        alpha, scale = _forward(model.start, model.move, model.emit[x], at, before)
+        before = alpha[at[-2] :].copy()
+        total += np.bincount(text, weights=np.log10(scale), minlength=lanes.n)
+    out = np.empty(lanes.n)
+    out[lanes.order] = total
     return out
 
 
@@ -282,6 +314,30 @@ def _classes(held: list[pa.RecordBatch], column: int) -> tuple[np.ndarray, np.nd
     return np.concatenate(parts).astype(np.int32), np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int64)
 
 
+def _training_lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(classes, begin, length) of texts to take together; long ones are held back until enough have come."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def long_ones() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        length = np.array([len(x) for x in held])
+        return np.concatenate(held), np.cumsum(length) - length, length
+
+    for _, seq, bounds in _gathered(batches, 0):
+        length = np.diff(bounds)
+        short = length <= LONG_TOKENS
+        if short.any():
+            yield seq, bounds[:-1][short], length[short]
+        for i in np.flatnonzero(~short).tolist():
+            held.append(seq[bounds[i] : bounds[i + 1]].copy())
+            size += len(held[-1])
+        if size >= LANE_TOKENS:
+            yield long_ones()
+            held, size = [], 0
+    if held:
+        yield long_ones()
+
+
 def baum_welch(coded: DataFrame, unigrams: np.ndarray, states: int = STATES, iterations: int = ITERATIONS) -> Hmm:
     """Train on the rows of coded that are not held out."""
     model = Hmm(unigrams, states)
@@ -291,27 +347,26 @@ def baum_welch(coded: DataFrame, unigrams: np.ndarray, states: int = STATES, ite
     for _ in range(iterations):
 
         def run(batches: Iterator[pa.RecordBatch], model: Hmm = model) -> Iterator[pa.RecordBatch]:
-            emitted, moved, started = np.zeros((len(model.emit), states)), np.zeros((states, states)), np.zeros(states)
-            for _, seq, bounds in _gathered(batches, 0):
-                length = np.diff(bounds)
-                parts = -(-length // SEGMENT)
-                text = np.repeat(np.arange(len(length)), parts)
-                piece = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
-                begin = bounds[text] + piece * SEGMENT
-                e, m, s = expected_counts(model, seq, begin, np.minimum(SEGMENT, bounds[text + 1] - begin), piece == 0)
+            emitted, moved, started, total = np.zeros((len(model.emit), states)), np.zeros((states, states)), np.zeros(states), np.zeros(states)
+            for seq, begin, length in _training_lanes(batches):
+                e, m, s, likelihood = expected_counts(model, seq, begin, length)
                 emitted, moved, started = emitted + e, moved + m, started + s
-            table = np.rint(np.concatenate([emitted, moved, started[None, :]]) * FIXED).astype(np.int64)
+                total[0] += likelihood
+            table = np.rint(np.concatenate([emitted, moved, started[None, :], total[None, :]]) * FIXED).astype(np.int64)
             keep = np.flatnonzero(table.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(keep.astype(np.int32)), *(pa.array(table[keep, i]) for i in range(states))], names=["line", *names])
 
         sums = train.mapInArrow(run, "line int, " + ", ".join(f"{x} long" for x in names))
-        got = sums.groupBy("line").agg(*[F.sum(x).alias(x) for x in names]).toPandas()
+        # decimals: the whole numbers of all tasks together may exceed 64 bits
+        got = sums.groupBy("line").agg(*[F.sum(F.col(x).cast("decimal(20,0)")).cast("double").alias(x) for x in names]).toPandas()
         if got.empty:
             break
-        table = np.zeros((len(unigrams) + states + 1, states))
+        table = np.zeros((len(unigrams) + states + 2, states))
         table[got["line"].to_numpy()] = got[names].to_numpy() / FIXED
         fresh = Hmm(unigrams, states)
-        fresh.learn(table[: len(unigrams)], table[len(unigrams) : -1], table[-1])
+        fresh.learn(table[: len(unigrams)], table[len(unigrams) : -2], table[-2])
+        fresh.likelihood = float(table[-1, 0])
+        log.info("log10 likelihood of the training texts' classes: %.1f", fresh.likelihood)
         model = fresh
     return model
 
