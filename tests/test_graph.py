@@ -121,6 +121,19 @@ def test_upsert_in_two_batches_equals_one(spark):
     assert whole.nodes.collect()[0]["degree"] == both.nodes.collect()[0]["degree"]
 
 
+def test_batches_meet_their_sources(spark):
+    """Tables that are all dealt by source, of different sizes: a batch finds the edges and nodes it changes."""
+    many = spark.range(40000).select((F.col("id") % 500 + 1).alias("src"), (F.col("id") % 37 + 1).alias("dst"), F.lit(1.0).alias("weight"), F.col("id").alias("ts"), F.col("id").alias("seq"))
+    packed = many.groupBy("src").agg(F.slice(F.array_sort(F.collect_list(F.struct("seq", "dst"))), 1, 30).alias("own"))
+    relation = Relation(spark, RelationConfig("r"))
+    for low, high in ((1, 20), (21, 5), (26, 5)):
+        batch = packed.select("src", F.explode(F.slice("own", low, high)).alias("e")).select("src", "e.dst", F.lit(1.0).alias("weight"), F.col("e.seq").alias("ts"), "e.seq")
+        relation = relation.upsert(batch, NOW, "add")
+    nodes = relation.nodes.collect()
+    assert len(nodes) == 500 and {r["degree"] for r in nodes} == {30}
+    assert relation.edges.agg(F.sum("weight")).first()[0] == 15000 and stats.broken_edges(relation.edges, 1000).count() == 0
+
+
 def test_time_to_live(spark):
     cfg = RelationConfig("r", expire_interval=100)
     relation = Relation(spark, cfg).upsert(log(spark, [(1, 1, NOW - 50)]), NOW, use_item_ts=True)

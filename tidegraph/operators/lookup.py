@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.functions.scalars import expired, fit_attrs, part_of
 from tidegraph.scratch import materialise
+from tidegraph.unions import union
 
 
 def node_attrs(layer: DataFrame, nodes: DataFrame, int_len: int, float_len: int) -> DataFrame:
@@ -125,7 +126,7 @@ def reverse(edges: DataFrame) -> DataFrame:
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(reverse(edges))
+    return union(edges, reverse(edges))
 
 
 def reindex(ids: DataFrame, column: str = "id") -> DataFrame:
@@ -141,7 +142,7 @@ def subgraph(nodes: DataFrame, hops: list[tuple[str, DataFrame, int]], strategy:
     for name, edges, fanout in hops:
         found = sample_neighbors(nodes, edges, strategy, fanout, "zero", drop_padding=True)
         rows = found.select(F.lit(name).alias("edge_type"), F.col("dst").alias("neighbour"), F.col("src").alias("node"))
-        out = rows if out is None else out.unionByName(rows)
+        out = rows if out is None else union(out, rows)
     return out
 
 
@@ -150,4 +151,4 @@ def label_pairs(positives: DataFrame, negatives: DataFrame, k: int) -> DataFrame
     pos = positives.select(F.col("seed_pos").alias("pos"), "src", "dst", F.lit(1).alias("label"))
     own = positives.select(F.col("seed_pos").alias("pos"), "src")
     neg = negatives.select(F.floor(F.col("draw") / k).cast("long").alias("pos"), F.col("id").alias("dst"))
-    return pos.unionByName(own.join(neg, "pos").select("pos", "src", "dst", F.lit(0).alias("label")))
+    return union(pos, own.join(neg, "pos").select("pos", "src", "dst", F.lit(0).alias("label")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.functions.scalars import expired
 from tidegraph.operators.pools import draw_nodes
+from tidegraph.unions import union
 
 
 def put(table: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
@@ -19,7 +20,7 @@ def put(table: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
         own = [c for c in rows.columns if c != key]
         last = rows.groupBy(key).agg(F.max_by(F.struct(*own), "seq").alias("r")).select(key, *[f"r.{c}" for c in own])
     last = last.select(*[c for c in table.columns if c in last.columns])
-    return table.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
+    return union(table.join(last.select(key), key, "left_anti"), last, missing=True)
 
 
 def merge(table: DataFrame, rows: DataFrame, update: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], key: str = "id") -> DataFrame:
@@ -31,7 +32,7 @@ def merge(table: DataFrame, rows: DataFrame, update: Callable[[pd.DataFrame, pd.
     touched = rows.select(key).distinct()
     stored = table.join(touched, key, "left_semi")
     fresh = stored.groupBy(key).cogroup(rows.groupBy(key)).applyInPandas(update, table.schema)
-    return table.join(touched, key, "left_anti").select(*table.columns).unionByName(fresh)
+    return union(table.join(touched, key, "left_anti").select(*table.columns), fresh)
 
 
 def erase_keys(table: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:

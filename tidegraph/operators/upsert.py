@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.schema import EVICTIONS, INSERT_ACTIONS, NO_NODE, RelationConfig, choose
+from tidegraph.unions import union
 
 MIN_WEIGHT, MAX_WEIGHT = 0.001, 1000.0
 EDGE = "src long, dst long, weight double, ts long, seq long, int_attrs array<long>, float_attrs array<float>"
@@ -83,7 +84,8 @@ def delete_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 def overwrite(edges: DataFrame, log: DataFrame, action: str = "replace") -> DataFrame:
     """The log's sources lose all their edges before its edges are inserted."""
     kept = edges.join(log.select("src").distinct(), "src", "left_anti")
-    return kept.unionByName(combine(log, action).select(*[c for c in kept.columns]), allowMissingColumns=True)
+    fresh = combine(log, action)
+    return union(kept, fresh.select(*[c for c in kept.columns if c in fresh.columns]), missing=True)
 
 
 class _List:
@@ -205,11 +207,11 @@ def fold(edges: DataFrame | None, nodes: DataFrame | None, batch: DataFrame, cfg
     touched = batch.select("src").distinct()
     if edges is not None:
         own = edges.join(touched, "src", "left_semi")
-        rows = rows.unionByName(own.select(F.lit(1).alias("kind"), *[col(own, n, k) for n, k in shape], F.lit(0).cast("long").alias("degree"), F.lit(0).cast("long").alias("expire_ts")))
+        rows = union(rows, own.select(F.lit(1).alias("kind"), *[col(own, n, k) for n, k in shape], F.lit(0).cast("long").alias("degree"), F.lit(0).cast("long").alias("expire_ts")))
     if nodes is not None:
         own = nodes.withColumnRenamed("id", "src").join(touched, "src", "left_semi")
         own = own.withColumnsRenamed({"int_attrs": "node_ints", "float_attrs": "node_floats"})
-        rows = rows.unionByName(own.select(F.lit(0).alias("kind"), *[col(own, n, k) for n, k in shape], "degree", "expire_ts"))
+        rows = union(rows, own.select(F.lit(0).alias("kind"), *[col(own, n, k) for n, k in shape], "degree", "expire_ts"))
     dealt = rows.repartition("src").sortWithinPartitions("src", "kind", "seq", "dst", "ts", "weight")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +279,7 @@ def join_folded(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         fields = [x.split(" ") for x in FOLDED.split(", ")[1:]]
         return df.select(F.lit(kind).alias("kind"), *[(F.col(names.get(n, n)) if names.get(n, n) in df.columns else F.lit(None)).cast(k).alias(n) for n, k in fields])
 
-    return shaped(edges, 0, {}).unionByName(shaped(nodes, 1, {"src": "id"}))
+    return union(shaped(edges, 0, {}), shaped(nodes, 1, {"src": "id"}))
 
 
 def split_folded(folded: DataFrame) -> tuple[DataFrame, DataFrame]:

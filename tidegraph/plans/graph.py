@@ -13,6 +13,7 @@ from tidegraph.operators import lookup, maintain, pools, upsert
 from tidegraph.operators.sampling import next_seeds, sample_neighbors
 from tidegraph.schema import EDGE_SCHEMA, PADDINGS, SEED_SCHEMA, STRATEGIES, RelationConfig, choose, relation_configs
 from tidegraph.scratch import materialise
+from tidegraph.unions import union
 
 
 class Relation:
@@ -32,7 +33,7 @@ class Relation:
         folded = upsert.fold(self.edges, self.nodes, batch, self.cfg, action, now, use_item_ts)
         touched = batch.select("src").distinct()
         others = upsert.join_folded(self.edges, self.nodes).join(touched, "src", "left_anti").select(*folded.columns)
-        return Relation(self.spark, self.cfg, *upsert.split_folded(materialise(folded.unionByName(others), "folded", where)))
+        return Relation(self.spark, self.cfg, *upsert.split_folded(materialise(union(folded, others), "folded", where)))
 
     def stored(self, where: str | None = None) -> Relation:
         """The same relation, written as Parquet."""

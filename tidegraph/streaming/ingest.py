@@ -13,6 +13,7 @@ from tidegraph.operators import upsert
 from tidegraph.plans.graph import Relation
 from tidegraph.schema import EDGE_SCHEMA
 from tidegraph.sources.checkpoint import hadoop_fs
+from tidegraph.unions import union
 
 
 class TableSink:
@@ -97,7 +98,7 @@ class TableSink:
             edges, nodes = upsert.split_folded(state) if state is not None else (None, None)
             folded = upsert.fold(edges, nodes, batch, self.relation.cfg, self.action, self.clock(batch_id))
             if state is not None:
-                folded = folded.unionByName(state.join(batch.select("src").distinct(), "src", "left_anti").select(*folded.columns))
+                folded = union(folded, state.join(batch.select("src").distinct(), "src", "left_anti").select(*folded.columns))
             self._write(folded, old, {self.run: batch_id})
         finally:
             batch.unpersist()

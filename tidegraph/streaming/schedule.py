@@ -15,6 +15,7 @@ from tidegraph.operators import stats
 from tidegraph.operators.maintain import ticks_between
 from tidegraph.plans.graph import Graph, Relation
 from tidegraph.sources import checkpoint
+from tidegraph.unions import union
 
 log = logging.getLogger(__name__)
 
@@ -55,7 +56,7 @@ class Monitors:
                 row = measure(own)
                 pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("double").alias("value")) for c in row.columns]))
                 each = row.select(F.lit(relation).alias("relation"), F.lit(monitor).alias("monitor"), pairs.alias("p")).select("relation", "monitor", "p.*")
-                out = each if out is None else out.unionByName(each)
+                out = each if out is None else union(out, each)
         if out is None:
             return self.graph.spark.createDataFrame([], "relation string, monitor string, name string, value double")
         return out
