@@ -2,7 +2,9 @@
 
 Fields are separated by |, elements of node attributes and destinations by commas; a
 destination is id, weight, ints, floats separated by \\x03, elements of its attributes by \\x04.
-\\N stands for an empty field. A line without a source is bad and goes to a side table.
+\\N stands for an empty field. A line without a source is bad and goes to a side table. A destination
+of one part (an id) or two (id and weight) loads as well as one of all four; any other number of
+parts makes that destination invalid.
 """
 
 from __future__ import annotations
