@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidegraph.llm import block_coder, op1_hmm, op2_quality, op3_tokens, op4_mix, op5_jaccard, op6_warc, op7_decontaminate, op8_rules, op9_sections, op10_license
+from tidegraph.llm import block_coder, op1_hmm, op2_quality, op3_tokens, op4_mix, op5_jaccard, op6_warc, op7_decontaminate, op8_rules, op9_sections, op10_license, oracles
 from tidegraph.llm.components import components
 from tidegraph.llm.files import read_bytes
 from tidegraph.llm.tokenizing import WordEncoder, _Places
@@ -728,21 +728,49 @@ def test_sections(spark, docs):
 # 10
 
 def test_licenses(spark, docs):
-    got = {r["n_words"]: r for r in op10_license.scan_licenses(docs).collect()}
-    for _, text, *_ in TEXTS:
+    """Against brute force for the base scan, and against the SQL for all columns."""
+    got = rows_of(op10_license.scan_licenses(docs))
+    want = []
+    for doc_id, text, *_ in TEXTS:
         w = op_words(text)
         places = {label: [i for i in range(len(w)) if w[i : i + len(p.split())] == p.split()] for p, label in op10_license.BASE.items()}
         every = [i for x in places.values() for i in x]
-        r = got[len(w)]
-        assert (r["n_base"], r["first_word"], r["last_word"]) == (len(every), min(every, default=None), max(every, default=None))
-        assert r["base_labels"] == ",".join(sorted(k for k, v in places.items() if v))
-        assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(","))) and 0 <= r["score"] <= 1
-    more = [(1, "Licensed under CC BY-NC 4.0."), (2, "x " * 50 + "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"), (3, "we met the license office and were permitted in"), (4, "This work is licensed under the GNU General Public License, version 3.")]
-    labels = {r["doc_id"]: r["labels"] for r in op10_license.scan_licenses(spark.createDataFrame(more, "doc_id long, text string")).collect()}
-    assert labels == {1: "cc-by-nc", 2: "bsd", 3: "", 4: "gpl"}
+        want.append((doc_id, len(w), len(every), min(every, default=None), max(every, default=None), ",".join(sorted(k for k, v in places.items() if v))))
+    assert sorted((r[:6] for r in got), key=repr) == sorted(want, key=repr)
+    assert all(set(filter(None, r[5].split(","))) <= set(filter(None, r[6].split(","))) and 0 <= r[7] <= 1 for r in got)
+    assert licenses_by_sql(TEXTS) == got
     assert op10_license.scan_licenses(docs.limit(0)).count() == 0
 
 
+def licenses_by_sql(rows):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    return sorted(con.execute(oracles.LICENSES).fetchall(), key=repr)
+
+
+def test_license_texts(spark):
+    whole = {label: text for label, text, _ in op10_license.TEMPLATES if len(text.split()) > 40}
+    filler = "plain words about nothing of note stand here again "
+    more = [
+        ("cc-by-nc", "Licensed under CC BY-NC 4.0."), ("bsd", "x " * 50 + "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+        ("", "we met the license office and were permitted in"), ("gpl", "This work is licensed under the GNU General Public License, version 3."),
+        ("", "unless required by applicable law or agreed to in writing software " + filler), ("", ""), ("", None),
+        ("gpl,mit", f"{filler} {whole['mit']} {filler * 3} {whole['gpl']}"), ("mit", whole["mit"].replace("sublicense", "s").replace("merge", "blend") + " " + filler),
+        ("proprietary", "All rights reserved. " * 3000),
+    ]
+    # "general public license" is a base phrase, whose label stays
+    also = {"agpl": "agpl,gpl", "lgpl": "gpl,lgpl"}
+    more += [(also.get(label, label), f"{filler * (i % 4)}{text.upper()}") for i, (label, text) in enumerate(sorted(whole.items()))]
+    rows = [(i, text) for i, (_, text) in enumerate(more)] + [(100 + i, filler) for i in range(40)]
+    got = rows_of(op10_license.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert {r[0]: r[6] for r in got if r[0] < 100} == {i: label for i, (label, _) in enumerate(more)}
+    assert got == licenses_by_sql(rows)
+    assert all(r[7] == 1 for r in got if len(more) - len(whole) <= r[0] < 100)
+
+
 def op_words(text):
     import re
 

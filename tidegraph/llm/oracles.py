@@ -123,3 +123,51 @@ deg AS (SELECT a AS r, count(*) AS n FROM e GROUP BY a)
 SELECT doc_id, coalesce(least(class_id, doc_id), doc_id) AS class_id, coalesce(deg.n, 0)::BIGINT AS n_links
 FROM t LEFT JOIN least_id USING (r) LEFT JOIN deg USING (r)
 """
+
+
+def licenses() -> str:
+    """The license scan from its fixed texts: postings joined to the words of every document."""
+    from tidegraph.llm.op10_license import AGREE, ANCHORS, BASE, RARE, TEMPLATES, key_place
+
+    values = ", ".join(f"({t}, '{label}', '{text}', '{key}', {key_place(text, key)})" for t, (label, text, key) in enumerate(TEMPLATES))
+    phrases = ", ".join(f"('{phrase}', '{label}')" for phrase, label in BASE.items())
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+places AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+tmpl(t, label, body, phrase, ahead) AS (VALUES {values}),
+tw AS (SELECT t, unnest(string_split(body, ' ')) AS word, unnest(range(len(string_split(body, ' ')))) AS p FROM tmpl),
+df AS (SELECT word, count(DISTINCT r) AS n FROM places WHERE word IN (SELECT word FROM tw) GROUP BY word),
+total AS (SELECT count(*) AS n FROM d),
+wt AS (
+  SELECT DISTINCT tw.word, coalesce(df.n, 0) AS seen, ln((total.n + 1.0::DOUBLE) / (coalesce(df.n, 0) + 1)) + 0.001::DOUBLE AS weight, total.n AS texts
+  FROM tw CROSS JOIN total LEFT JOIN df ON df.word = tw.word),
+held AS (
+  SELECT t, word FROM (SELECT DISTINCT t, word FROM tw) JOIN wt USING (word)
+  QUALIFY row_number() OVER (PARTITION BY t ORDER BY weight DESC, word) <= {ANCHORS} OR {RARE} * seen <= texts),
+posts AS (
+  SELECT t, p, tw.word, weight / sum(weight) OVER (PARTITION BY t) AS share FROM tw JOIN held USING (t, word) JOIN wt ON wt.word = tw.word),
+begins AS (SELECT DISTINCT r, t, i - p AS s FROM places JOIN posts USING (word)),
+stands AS (
+  SELECT b.r, b.t, b.s FROM begins b JOIN tmpl USING (t) JOIN d USING (r)
+  WHERE b.s + ahead >= 0 AND array_to_string(w[b.s + ahead + 1:b.s + ahead + len(string_split(phrase, ' '))], ' ') = phrase),
+agree AS (
+  SELECT st.r, st.t, st.s, sum(share) AS share FROM stands st JOIN posts USING (t) JOIN d ON d.r = st.r
+  WHERE st.s + p >= 0 AND st.s + p < len(w) AND w[st.s + p + 1] = posts.word GROUP BY ALL HAVING sum(share) >= {AGREE} - 1e-9),
+base(phrase, label) AS (VALUES {phrases}),
+hits AS (
+  SELECT r, label, i FROM (SELECT r, w, unnest(range(len(w))) AS i FROM d WHERE list_contains(w, 'license')) CROSS JOIN base
+  WHERE array_to_string(w[i + 1:i + len(string_split(phrase, ' '))], ' ') = phrase),
+b AS (SELECT r, count(*) AS n, min(i) AS a, max(i) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hits GROUP BY r),
+l AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM hits UNION ALL SELECT r, label FROM agree JOIN tmpl USING (t)) GROUP BY r),
+g AS (SELECT r, max(share) AS share FROM agree GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, z::BIGINT AS last_word,
+       coalesce(b.labels, '') AS base_labels, coalesce(l.labels, '') AS labels,
+       round(greatest(least(coalesce(g.share, 0), 1), CASE WHEN b.n > 0 THEN 0.5 ELSE 0 END), 6)::DOUBLE AS score
+FROM d LEFT JOIN b USING (r) LEFT JOIN l USING (r) LEFT JOIN g USING (r)
+"""
+
+
+LICENSES = licenses()

@@ -31,4 +31,5 @@ ORACLES = {
     "op6_warc": oracles.WARC,
     "op7_decontaminate": oracles.DECONTAMINATE,
     "op8_rules": oracles.RULES,
+    "op10_license": oracles.LICENSES,
 }
