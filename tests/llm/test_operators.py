@@ -727,6 +727,32 @@ def test_sections(spark, docs):
 
 # 10
 
+def test_fields(spark, docs):
+    """Tokens of fields that are encoded as one text, against the bytes of each token."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coder = op9_sections.span_encoder(path, public_tokenizers.PATTERN)
+    rows = [(1, "A title", "the body\nin lines", "x"), (2, None, "é" * 50, None), (3, "", "", ""), (4, "no", None, "end  "), (4, "no", None, "end  "), (5, "t", LONG, "y")]
+    table = spark.createDataFrame(rows, "doc_id long, title string, text string, ends string")
+    got = op9_sections.count_fields(table, ["title", "text", "ends"], path, public_tokenizers.PATTERN, "")
+    want = []
+    for doc_id, *fields in rows:
+        fields = [(f or "").encode() for f in fields]
+        ids = coder.encoding.encode_ordinary(b"".join(fields).decode())
+        owner = [i for i, f in enumerate(fields) for _ in f]
+        counts, at, crossing = [0] * 3, 0, 0
+        for t in ids:
+            own = owner[at : at + len(coder.encoding.decode_single_token_bytes(t))]
+            at += len(own)
+            counts[max(sorted(set(own)), key=own.count)] += 1
+            crossing += len(set(own)) > 1
+        want.append((doc_id, len(ids), 3, crossing, counts))
+    assert rows_of(got) == sorted(want, key=repr)
+    assert op9_sections.count_fields(table.limit(0), ["title"], path, public_tokenizers.PATTERN).count() == 0
+    assert op9_sections.count_sections(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
+
+
 def test_licenses(spark, docs):
     """Against brute force for the base scan, and against the SQL for all columns."""
     got = rows_of(op10_license.scan_licenses(docs))

@@ -2,22 +2,24 @@
 
 A whole text is encoded once with a byte-level tokenizer, whose tokens cover every byte, so the
 lengths of the tokens give their character spans. Sections are character spans that cover the
-text; here each line with its line end is one. Spans are joined by their bounds, and a token
+text: each line with its line end, or each of several fields that are encoded as one text. Spans are joined by their bounds, and a token
 that crosses one belongs to the section that holds most of its bytes, of equals to the earlier.
 
 Defined results: a null or empty text has no sections and no tokens; a text that ends in a line
-end has no empty section behind it; repeated rows are counted one by one; an empty table gives
-an empty table; extra columns are ignored.
+end has no empty section behind it; repeated rows are counted one by one; a very long
+text is encoded as a whole; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidegraph.llm.common import arrow_rows, read, steps
 
@@ -77,18 +79,19 @@ def attribute(token_ends: np.ndarray, section_ends: np.ndarray) -> tuple[np.ndar
     return np.bincount(owner, minlength=len(section_ends)).astype(np.int64), len(cross)
 
 
-def count_sections(docs: DataFrame, tokenizer: str, pattern: str, sections: Callable[[np.ndarray], np.ndarray] = line_sections) -> DataFrame:
-    """Per row of docs (doc_id, text): n_tokens, n_sections, n_crossing, section_tokens in order."""
+def _counted(docs: DataFrame, tokenizer: str, pattern: str, sections: Callable[[np.ndarray], np.ndarray] | None) -> DataFrame:
+    """SCHEMA rows of docs (doc_id, text, and without `sections` the array ends)."""
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = span_encoder(tokenizer, pattern)
         for batch in batches:
             for part, texts in steps(batch, "text"):
+                given = [None] * len(texts) if sections is not None else part.column(2).to_pylist()
                 counts, crossing, total = [], [], []
-                for text in texts.to_pylist():
+                for text, bounds in zip(texts.to_pylist(), given, strict=True):
                     ends = coder.ends(text)
-                    found, crossed = attribute(ends, sections(np.frombuffer(text.encode(), np.uint8)))
+                    found, crossed = attribute(ends, sections(np.frombuffer(text.encode(), np.uint8)) if bounds is None else np.array(bounds))
                     counts.append(found)
                     crossing.append(crossed)
                     total.append(len(ends))
@@ -96,7 +99,23 @@ def count_sections(docs: DataFrame, tokenizer: str, pattern: str, sections: Call
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(counts), pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(total, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crossing, pa.int64()), lists], names=["doc_id", "n_tokens", "n_sections", "n_crossing", "section_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(run, SCHEMA)
+
+
+def count_sections(docs: DataFrame, tokenizer: str, pattern: str, sections: Callable[[np.ndarray], np.ndarray] = line_sections) -> DataFrame:
+    """Per row of docs (doc_id, text): n_tokens, n_sections, n_crossing, section_tokens in order."""
+    return _counted(docs.select("doc_id", "text"), tokenizer, pattern, sections)
+
+
+def count_fields(docs: DataFrame, fields: list[str], tokenizer: str, pattern: str, separator: str = "\n") -> DataFrame:
+    """The same for fields of a document, encoded as one text: each field with the separator behind it is a section.
+
+    A null field is empty and may still hold its separator's token.
+    """
+    behind = [separator] * (len(fields) - 1) + [""]
+    parts = [F.concat(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit(s)) for c, s in zip(fields, behind, strict=True)]
+    ends = [reduce(lambda a, b: a + b, [F.octet_length(p) for p in parts[: i + 1]]).cast("long") for i in range(len(parts))]
+    return _counted(docs.select("doc_id", F.concat(*parts).alias("text"), F.array(*ends).alias("ends")), tokenizer, pattern, None)
 
 
 def op9_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
