@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +12,12 @@ from pyspark.sql import functions as F
 
 from tidegraph.scratch import materialise, scratch_dir
 
-__all__ = ["arrow_rows", "fold_of", "materialise", "read", "scratch_dir", "steps"]
+__all__ = ["KEPT", "arrow_rows", "fold_of", "materialise", "read", "release_memory", "scratch_dir", "steps"]
 
 #: Rows handed to Python at once. Texts are a few kB, long ones 100 kB and more.
 ARROW_ROWS = 1000
 #: Bytes of text that one vectorised step works on; a single longer text is its own step.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 def arrow_rows(spark: SparkSession) -> None:
@@ -24,6 +25,24 @@ def arrow_rows(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+#: Clears what operators keep in a worker between tasks.
+KEPT: list[Callable[[], None]] = []
+
+
+def release_memory() -> None:
+    """Give memory back that earlier tasks hold in this worker.
+
+    Spark hands a worker from stage to stage, with the tokenizer that one stage has loaded and the free
+    memory of its arrays; a stage that needs neither begins with this.
+    """
+    for clear in KEPT:
+        clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*columns) if columns else df

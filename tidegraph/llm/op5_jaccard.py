@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import arrow_rows, materialise, read, scratch_dir, steps
+from tidegraph.llm.common import arrow_rows, materialise, read, release_memory, scratch_dir, steps
 from tidegraph.llm.components import components
 from tidegraph.llm.words import mix, scan, windows
 
@@ -45,11 +45,11 @@ LEVELS, BRANCH = 3, 2.0
 #: Least chance of each link to be found, also of one whose buckets are split at all levels.
 RECALL = 0.9999
 SMALL = 64
-BLOCK = 2048
+BLOCK = 1024
 #: Bytes kept of a token's hash where sets are compared.
 TOKEN_BYTES = 5
 #: Cells of a dense block of sets by tokens.
-CELLS = 1 << 23
+CELLS = 1 << 22
 #: Tokens by paths of a step in which crowded buckets choose.
 CHOICES = 1 << 17
 
@@ -128,6 +128,7 @@ def describe(docs: DataFrame) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part, texts in steps(batch, "text"):
@@ -170,6 +171,7 @@ def branches(docs: DataFrame, reps: DataFrame, large: DataFrame) -> DataFrame:
     crowded = with_texts(docs, reps, large.groupBy("row").agg(F.collect_list("path").alias("paths"))).select("row", "paths", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             for part, texts in steps(batch, "text"):
                 tokens, bounds = token_sets(texts)
@@ -245,7 +247,7 @@ def shared_tokens(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.
         cells = np.zeros((len(sets), min(width, n_tokens - first)), np.float32)
         cells[owner[a:b], token[a:b] - first] = 1
         out += cells[: len(left)] @ (cells[len(left) :] if right is not None else cells).T
-    return out.astype(np.int64)
+    return out.astype(np.int32)
 
 
 def _owned_elsewhere(path: int, a: list[list[int]], b: list[list[int]], out: np.ndarray) -> None:
@@ -288,8 +290,10 @@ def compare(path: int, rows: list[tuple]) -> list[tuple[int, int, int]]:
     b = [r for r in rows if r[4] == 1] or None
     right = b or a
     inter = shared_tokens([r[3] for r in a], None if b is None else [r[3] for r in b])
-    size_a, size_b = (np.array([len(r[3]) for r in x]) for x in (a, right))
-    linked = DENOMINATOR * inter >= NUMERATOR * (size_a[:, None] + size_b[None, :] - inter)
+    size_a, size_b = (np.array([len(r[3]) for r in x], np.int32) for x in (a, right))
+    # shared / (a + b - shared) >= NUMERATOR / DENOMINATOR
+    linked = (DENOMINATOR + NUMERATOR) * inter >= NUMERATOR * (size_a[:, None] + size_b[None, :])
+    del inter
     if b is None:
         np.fill_diagonal(linked, False)
     _owned_elsewhere(path, [r[2] for r in a], [r[2] for r in right], linked)
@@ -324,6 +328,7 @@ def find_links(docs: DataFrame, reps: DataFrame, buckets: DataFrame) -> DataFram
     met = met.select("row", "copies", F.col("buckets.path").alias("paths"), F.col("buckets.size").alias("sizes"), "text")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             for part, texts_ in steps(batch, "text"):
                 tokens, bounds = token_sets(texts_)
@@ -349,6 +354,7 @@ def find_links(docs: DataFrame, reps: DataFrame, buckets: DataFrame) -> DataFram
     dealt = dealt.repartition("path", "block").sortWithinPartitions("path", "block")
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         now, rows, seen = None, [], set()
 
         def done() -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import arrow_rows, read, steps
+from tidegraph.llm.common import arrow_rows, read, release_memory, steps
 from tidegraph.llm.words import Words, mix, per_text, scan, windows
 
 #: Rows, about, on which costs and selectivities are estimated, and the seed that draws them. They only order the rules.
@@ -226,6 +226,7 @@ def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
     ordered = sample_order(docs, text, rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             for part, texts in steps(batch, text):
                 kept = part.filter(pa.array(cascade(texts, ordered)))

@@ -8,6 +8,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
+from tidegraph.llm.common import KEPT
 from tidegraph.llm.words import Words, scan
 
 #: Words whose ids a worker keeps (some 60 bytes each); beyond it the store starts anew.
@@ -213,6 +214,7 @@ class WordEncoder:
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
+KEPT.append(_encoders.clear)
 
 
 def encoder(path: str, end_id: int) -> WordEncoder:
