@@ -309,6 +309,31 @@ def test_token_files_of_many_blocks(spark, docs, tmp_path):
         op3_tokens.read_tokens(manifest).collect()
 
 
+def test_token_tasks_have_one_worker(spark, docs, tmp_path):
+    """Between two Python steps of the token files stands an exchange, and batches of decoded blocks are bounded by bytes."""
+
+    def steps_between_exchanges(df):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        return [part.count("MapInArrow") for part in plan.split("Exchange")]
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    tokenizer = op3_tokens.default_tokenizer()
+    coded = op3_tokens.coded_blocks(docs, tokenizer, 1, 500, 64)
+    assert max(steps_between_exchanges(coded.mapInArrow(sizes, "n long"))) == 1
+    order = [tuple(r) for r in coded.select("part", "first", F.col("block") < 0, "block").collect()]
+    for part in {r[0] for r in order}:
+        own = [r for r in order if r[0] == part]
+        assert own == sorted(own) and {r[1] for r in own} == {r[1] for r in own if r[2]}
+    manifest = op3_tokens.write_tokens(docs, f"file://{tmp_path}/tokens", tokenizer, file_tokens=500, block=64)
+    each = steps_between_exchanges(op3_tokens.read_tokens(manifest))
+    assert sum(each) == 2 and max(each) == 1
+    large = spark.range(300).selectExpr("cast(repeat('x', 131072) as binary) as b").coalesce(1)
+    assert max(r["n"] for r in large.mapInArrow(sizes, "n long").collect()) < 3 * op3_tokens.BATCH_BYTES
+
+
 def test_token_file_checks():
     data = op3_tokens.pack_file(op3_tokens.pack_documents([1, None], [3, 1]), [b"abc", b"d"])
     documents, blocks = op3_tokens.unpack_file(data)

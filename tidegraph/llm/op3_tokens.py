@@ -5,6 +5,8 @@ another hold them in ascending order. A task encodes its texts with the tokenize
 appends the end id to each document, cuts the ids of all documents into blocks of BLOCK ids and
 closes a file whenever FILE_TOKENS ids have come together, always at the end of a document.
 The coder (block_coder) turns each block into bytes and back; only one block at a time is held as ids.
+Coded blocks are exchanged before they are written, and after they are read, so that a task has one
+Python worker at a time, and the tasks that encode write no tables.
 The rows that the write stage returns are the manifest; only files named there are read, so files
 of lost attempts do no harm.
 
@@ -26,12 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegraph.llm.block_coder import decode_block, encode_block
-from tidegraph.llm.common import arrow_rows, materialise, read, scratch_dir, steps
+from tidegraph.llm.common import arrow_rows, materialise, read, release_memory, scratch_dir, steps
 from tidegraph.llm.files import read_bytes, write_bytes
 from tidegraph.llm.tokenizing import encoder
 
@@ -45,6 +46,8 @@ STEP_BYTES = 1 << 19
 #: Blocks that travel in one batch, and the number that marks a row with the documents of a file.
 BATCH_BLOCKS = 16
 DOCUMENTS = -1
+#: Bytes of an Arrow batch: decoded blocks are much larger than the rows that ARROW_ROWS bounds.
+BATCH_BYTES = 1 << 22
 PARTS = "first long, block int, data binary"
 
 
@@ -79,6 +82,12 @@ def unpack_file(data: bytes) -> tuple[bytes, list[bytes]]:
     return head[16 : 16 + n], [data[a:b] for a, b in zip([20 + size, *ends[:-1].tolist()], ends.tolist(), strict=True)] if k else []
 
 
+def _arrow_batches(spark: SparkSession) -> None:
+    """Bound the rows and bytes of an Arrow batch."""
+    arrow_rows(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 class _Batches:
     """Rows (first, block, data) gathered into batches of some blocks."""
 
@@ -142,19 +151,26 @@ def id_blocks(docs: DataFrame, tokenizer: str, end_id: int, file_tokens: int, si
     return docs.mapInArrow(run, PARTS)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, file_tokens: int = FILE_TOKENS, block: int = BLOCK) -> DataFrame:
-    """Write the files of docs (doc_id, text) below folder; returns the manifest."""
+def coded_blocks(docs: DataFrame, tokenizer: str, end_id: int, file_tokens: int, block: int) -> DataFrame:
+    """PARTS rows of docs (doc_id, text) with the task that made them as part; those of a part stand together, in order, a file's documents last."""
     spark = docs.sparkSession
-    arrow_rows(spark)
+    _arrow_batches(spark)
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     dealt = keyed.repartitionByRange("doc_id", "key", F.monotonically_increasing_id()).sortWithinPartitions("doc_id", "key").select(F.col("doc_id").cast("long"), "text")
     blocks = id_blocks(dealt, tokenizer, end_id, file_tokens, block)
-    coded = blocks.select("first", "block", F.when(F.col("block") >= 0, encode_block(spark, F.col("data"))).otherwise(F.col("data")).alias("data"))
+    data = F.when(F.col("block") >= 0, encode_block(spark, F.col("data"))).otherwise(F.col("data")).alias("data")
+    coded = blocks.select(F.spark_partition_id().alias("part"), "first", "block", data)
+    return coded.repartition("part").sortWithinPartitions("part", "first", F.col("block") < 0, "block")
+
+
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, file_tokens: int = FILE_TOKENS, block: int = BLOCK) -> DataFrame:
+    """Write the files of docs (doc_id, text) below folder; returns the manifest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = TaskContext.get().partitionId(), []
+        release_memory()
+        held = []
         for batch in batches:
-            for seq, number, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for part, seq, number, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if number >= 0:
                     held.append(data)
                     continue
@@ -164,6 +180,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [path], "n_docs": [len(lengths)], "n_tokens": [sum(lengths)], "n_bytes": [len(whole)]})
                 held = []
 
+    coded = coded_blocks(docs, tokenizer, end_id, file_tokens, block)
     return materialise(coded.mapInArrow(run, "part int, seq int, path string, n_docs long, n_tokens long, n_bytes long"), "manifest", folder)
 
 
@@ -171,6 +188,7 @@ def file_parts(placed: DataFrame) -> DataFrame:
     """PARTS rows of files (path, first): each file's documents (first: the ids of all files before it), then its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         out = _Batches()
         for batch in batches:
             for path, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -192,13 +210,16 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     placed = manifest.join(before, "part").select("path", (F.col("before") + F.sum("n_tokens").over(within) - F.col("n_tokens")).alias("first"))
     spark = manifest.sparkSession
     n_files = manifest.count()
-    placed = placed.repartition(max(1, min(n_files, 100_000)), "path")
+    tasks = max(1, min(n_files, 100_000))
+    placed = placed.repartition(tasks, "path")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    arrow_rows(spark)
-    each = file_parts(placed)
+    _arrow_batches(spark)
+    # a file's documents, then its blocks
+    each = file_parts(placed).repartition(tasks, "first").sortWithinPartitions("first", "block")
     decoded = each.select("first", "block", F.when(F.col("block") >= 0, decode_block(spark, F.col("data"))).otherwise(F.col("data")).alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         doc_ids: list[int | None] = []
         lengths: list[int] = []
         at = have = crc = start = 0  # the next document, its ids so far, their crc32, and where it starts
