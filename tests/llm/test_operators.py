@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -281,6 +282,42 @@ def test_word_encoder_equals_whole_texts():
         assert ids[bounds[i] : bounds[i + 1]].tolist() == [*coder.tokenizer.encode(t, add_special_tokens=False).ids, 1]
 
 
+def test_block_coder_asks_for_all_candidates_first(spark):
+    """Symbols that a context has had once are candidates too: three that follow each other at random cost little."""
+    rng = np.random.default_rng(8)
+    follow, draw, ids = rng.integers(0, 400, (400, 3)), rng.integers(0, 3, 20000), np.zeros(20000, "<u4")
+    for i in range(1, len(ids)):
+        ids[i] = follow[ids[i - 1], draw[i]]
+    coded = spark.createDataFrame([(bytearray(ids.tobytes()),)], "b binary").select("b", block_coder.encode_block(spark, F.col("b")).alias("code"))
+    row = coded.select("code", (block_coder.decode_block(spark, F.col("code")) == F.col("b")).alias("same")).first()
+    assert row["same"] and len(row["code"]) < 6000  # 6,341 where each candidate is asked for by itself
+
+
+def test_word_encoder_takes_few_arrays():
+    """Words are hashed by eight bytes and not by sums over all bytes of the texts."""
+    coder, rng = WordEncoder(op3_tokens.default_tokenizer(), 1), np.random.default_rng(3)
+    text = " ".join(f"w{'abcdefghij'[a]}{'klmnopqrst'[b]}o" for a, b in rng.integers(0, 10, (60_000, 2))) + "|"
+    texts = pa.array([text], pa.large_string())
+    coder.encode(texts)
+    tracemalloc.start()
+    try:
+        coder.encode(texts)
+        assert tracemalloc.get_traced_memory()[1] < 24 * len(text)  # 31 times before, 17 since
+    finally:
+        tracemalloc.stop()
+
+
+def test_word_encoder_of_long_words_and_many_stops():
+    coder = WordEncoder(op3_tokens.default_tokenizer(), 1)
+    head = "xY" * 32
+    texts = [f"{head}a {head}b {head.upper()}A {head}|a {head}|b", "a" + "!" * 7 + " b" + "!" * 8 + " c" + "!" * 9 + " é" + "." * 40 + " " + "." * 40, "", "!" * 30, "12345678 123456789 1234567 A|b a|b A|B", "x" * 1000 + "." * 1000]
+    texts += ["".join(rng.choice(list("aB.!|<>é× \n7"), rng.integers(0, 90))) for rng in [np.random.default_rng(4)] for _ in range(300)]
+    for _ in range(2):
+        ids, bounds = coder.encode(pa.array(texts, pa.large_string()))
+        for i, t in enumerate(texts):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == [*coder.tokenizer.encode(t, add_special_tokens=False).ids, 1]
+
+
 def test_token_files(spark, docs):
     coder = WordEncoder(op3_tokens.default_tokenizer(), 1).tokenizer
     want, start = [], 0
